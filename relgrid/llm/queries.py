@@ -7,6 +7,8 @@ from importlib import import_module
 #: query name -> module that holds it; a query is imported when it is first called
 MODULES = {
     "op3_quality_rules": "quality_rules",
+    "op7_decontaminate": "decontaminate",
+    "op10_token_ids": "token_store",
 }
 
 
