@@ -81,7 +81,7 @@ def fit_platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(p[0] / scale), float(p[1])
 
 
-def fit_ordinal(x: Sparse, y: np.ndarray, width: int, grades: int, *, rounds: int = 300, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: Sparse, y: np.ndarray, width: int, grades: int, *, rounds: int = 500, rate: float = 0.1, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Cumulative-link model P(grade <= j) = sigmoid(theta_j - w.x): one weight vector, ordered thresholds.
 
     The thresholds are theta_0 and positive steps, kept positive as exponentials.
