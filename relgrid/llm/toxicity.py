@@ -1,7 +1,7 @@
 """Toxicity grades by cumulative-link ordinal regression (operator 8).
 
-Terms are words (runs of digits, letters and everything beyond ASCII, A-Z lower-cased) and pairs of
-neighbouring words, hashed. A bounded sample of labelled rows selects the terms that lean clearly to either
+Terms are words (runs of digits, letters and everything beyond ASCII, A-Z lower-cased), their first 6 and 8
+bytes as stems, and pairs of neighbouring words, hashed. A bounded sample of labelled rows selects the terms that lean clearly to either
 label, by a z-score of their log-odds over documents; this keeps the features few and sparse, and lets one
 word in a very long text count. Labels say toxic or not; the severity of a toxic document is graded 1 to 3
 by the terciles of its toxic evidence, the summed log-odds of its selected terms. One weight vector is
@@ -26,6 +26,7 @@ from .runtime import ship, table
 from .sample import labelled_sample
 
 U = np.uint64
+STEMS = (6, 8)
 BITS, GRADES, SAMPLE_ROWS, MIN_Z, MAX_TERMS = 20, 4, 6000, 3.0, 4096
 
 
@@ -36,7 +37,13 @@ def terms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = flat.BYTES.spans(flat.BYTES.prefix(low), starts, ends)
     two, at = flat.gram_hashes(h, bounds, 2)
     doc = flat.doc_of(bounds)
-    return np.concatenate([doc, doc[at]]), (np.concatenate([h, two]) >> U(64 - BITS)).astype(np.int64)
+    prefix = flat.BYTES.prefix(low)
+    owner, found = [doc, doc[at]], [h, two]
+    for n in STEMS:
+        long = ends - starts > n
+        owner.append(doc[long])
+        found.append(flat.mix(flat.BYTES.spans(prefix, starts[long], starts[long] + n) + U(n)))
+    return np.concatenate(owner), (np.concatenate(found) >> U(64 - BITS)).astype(np.int64)
 
 
 @dataclass
