@@ -9,6 +9,7 @@ MODULES = {
     "op3_quality_rules": "quality_rules",
     "op7_decontaminate": "decontaminate",
     "op10_token_ids": "token_store",
+    "op1_lm_score": "lm_score",
     "op2_near_duplicates": "minhash",
     "op8_toxicity": "toxicity",
     "op9_quality_classifier": "neighbours",
