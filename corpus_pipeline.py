@@ -1,12 +1,45 @@
-"""Corpus pipeline: stages that read what the one before wrote."""
+"""Corpus pipeline: quality, near duplicates, contamination, mixture, token files; each stage reads what the one before wrote."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relgrid.llm.runtime import stored, table
+from relgrid.llm import decontaminate, minhash, mixing, neighbours, token_store
+from relgrid.llm.runtime import stored, table, tokenizer_file
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest-neighbour classifier does not reject."""
+    return neighbours.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    return minhash.keep_one(docs, width=5, percent=80)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark does not contaminate."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the tempered mixture of sources takes them."""
+    return mixing.mixed(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files; doc_id, start, n_tokens and ids_crc32 as read back from them."""
+    return token_store.token_files(spark, docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminated),
+    ("mixture", mixture),
+    ("token_files", token_files),
+]
 
 #: the stages learn, hash and tokenise, which SQL cannot express; tests hold them against brute force
 ORACLE_SQL = None

@@ -190,6 +190,33 @@ def contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def clean(docs: DataFrame, bench: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents that are not contaminated, with all their columns; docs should be a scan.
+
+    A benchmark of one block is judged where the documents are read; beyond it the rows found are taken out by a join.
+    """
+    ship(docs.sparkSession)
+    blocks = _blocks(bench, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is not None:
+        bad = find_contamination(docs, bench, block_words=block_words).where(contaminated()).select(F.col("row").alias("__row"))
+        marked = docs.withColumn("__row", F.monotonically_increasing_id())
+        return marked.join(bad, "__row", "left_anti").drop("__row")
+    shared = docs.sparkSession.sparkContext.broadcast(first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for _, _, buf, off in flat.chunks(batch.column("text")):
+                h, bounds = word_hashes(buf, off)
+                start, stop, _ = shared.value.hits(h, bounds)
+                n = flat.sums(flat.covered(len(h), start, stop), bounds)
+                keep.append(~((n > 0) & (20 * n >= np.diff(bounds))))
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
