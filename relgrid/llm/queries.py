@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name -> module that holds it; a query is imported when it is first called
 MODULES = {
     "op3_quality_rules": "quality_rules",
+    "op4_suffix_dedup": "suffix_dedup",
     "op5_secret_scan": "secret_scan",
     "op6_mix_sources": "mixing",
     "op7_decontaminate": "decontaminate",
