@@ -122,10 +122,10 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as the mixture takes it."""
     _, decisions = decide(docs, **options)
-    own = docs.columns
-    slim = _keyed(docs.select(*own, F.monotonically_increasing_id().alias("row")))
-    chosen = slim.join(decisions, ["key", "block"]).withColumn("copies", _copies()).where("copies > 0")
-    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*own)
+    # the document travels as one column, so its columns' names cannot clash with ours
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.monotonically_increasing_id().alias("row"))
+    chosen = _keyed(whole).join(decisions, ["key", "block"]).withColumn("copies", _copies()).where("copies > 0")
+    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__doc.*")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,8 +125,8 @@ def vote(z: np.ndarray, m: Model, k: int = NEIGHBOURS, sharpness: float = SHARPN
     return np.clip(out, 0, 1)
 
 
-def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and `score`, one row for each input row."""
+def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The kept columns and the score under `name`, one row for each input row."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM x LATENT and sample x LATENT numbers
 
@@ -135,11 +135,11 @@ def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",))
         for batch in batches:
             for a, b, buf, off in flat.chunks(batch.column("__text")):
                 p = [vote(project(counts(buf[off[i] : off[j]], off[i : j + 1] - off[i]), m.weights), m) for i, j in ((i, min(i + BLOCK_ROWS, b - a)) for i in range(0, b - a, BLOCK_ROWS))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in keep), pa.array(np.concatenate(p))], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in keep), pa.array(np.concatenate(p))], [*keep, name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    schema = StructType([*(docs.schema[c] for c in keep), StructField("score", DoubleType())])
+    schema = StructType([*(docs.schema[c] for c in keep), StructField(name, DoubleType())])
     return docs.select(*keep, F.col("text").cast("binary").alias("__text")).mapInArrow(run, schema)
 
 
@@ -157,4 +157,4 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
     """Documents whose score reaches the threshold, with all their columns."""
     model = fit(docs, labels, where=trained_on())
-    return score(docs, model, keep=tuple(docs.columns)).where(F.col("score") >= threshold).drop("score")
+    return score(docs, model, keep=tuple(docs.columns), name="__score").where(F.col("__score") >= threshold).drop("__score")

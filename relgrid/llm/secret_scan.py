@@ -9,9 +9,10 @@ Base kinds, leftmost and not overlapping within a kind, positions in code points
 The method adds spans of kind markov: runs of 16 or more characters of [A-Za-z0-9+/_=-] that touch no base
 span and that a first-order Markov model of random strings explains better than one of ordinary
 identifiers, by a log-likelihood ratio of at least MIN_RATIO and MIN_RATE for each character. Both models
-are learned from a bounded sample of documents, labelled by the base rules: values they find are random
-strings, all other runs are identifiers. Counts are smoothed towards uniform transitions, so without any
-labelled secret the first model is that of uniformly random characters.
+are learned from a bounded sample of documents, labelled by rules: values that the base rules find are random
+strings, other runs whose digits, if any, are a short number at the end are identifiers. Transitions are smoothed towards single
+characters, and those of random strings mixed evenly with uniform ones, so that secrets over other alphabets
+than the labelled ones are known as well.
 
 Matches of a pattern and the gaps between them (a split by the same pattern) give positions. A null text
 counts as empty and has no spans; repeated rows are scanned each; extra columns are ignored.
@@ -32,6 +33,7 @@ HEX = r"[0-9a-f]{24,}"  # a run matches whole or, being too short, not at all
 KINDS = ("assign", "access", "hex", "markov")
 
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
+IDENTIFIER = r"^[^0-9]+[0-9]{0,4}$"  # digits, if any, are a short number at the end
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE_DOCS, SMOOTHING, MIN_RATIO, MIN_RATE = 16_384, 33.0, 12.0, 0.6
 SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
@@ -88,14 +90,16 @@ def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     some = candidates(base_spans(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")))  # ids: sample_docs at most
     strings = F.concat(
         F.transform("__base", lambda s: F.struct(F.lit(1).alias("random"), F.coalesce(F.nullif(F.regexp_extract(s["value"], ASSIGN, 1), F.lit("")), s["value"]).alias("value"))),
-        F.transform("__runs", lambda s: F.struct(F.lit(0).alias("random"), s["value"].alias("value"))),
+        F.transform(F.filter("__runs", lambda s: s["value"].rlike(IDENTIFIER)), lambda s: F.struct(F.lit(0).alias("random"), s["value"].alias("value"))),
     )
     counts = some.select(F.explode(strings).alias("s")).select("s.random", F.explode(_pairs(F.col("s.value"))).alias("pair")).groupBy("random", "pair").agg(F.count("*").alias("n"))
     size = len(ALPHABET) + 1
     n = np.zeros((2, size, size))
     for r in counts.collect():  # at most 2 * size**2 rows
         n[r["random"]].flat[r["pair"]] = r["n"]
-    p = (n + SMOOTHING / size) / (n.sum(2, keepdims=True) + SMOOTHING)
+    single = (n.sum(1) + 1) / (n.sum((1, 2)) + size)[:, None]
+    p = (n + SMOOTHING * single[:, None, :]) / (n.sum(2, keepdims=True) + SMOOTHING)
+    p[1] = (p[1] + 1 / size) / 2
     return np.round(np.log(p[1] / p[0]), 3)
 
 
