@@ -39,4 +39,4 @@ def components(links: DataFrame) -> DataFrame:
         if not now[0]:
             break
         edges = stored(_small_star(_large_star(edges)), "links")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return stored(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct(), "components")

@@ -10,10 +10,11 @@ so every coordinate is filled, long documents need one round, and estimates conc
 without replacement. Bands of `rows` coordinates give candidates; their number follows from the wanted
 chance `miss` of overlooking a link exactly at the threshold. Every link is confirmed on the full sets.
 
-Skew: equal sets are collapsed first (a partial aggregation), so a group of copies is one node. Inside a
-bucket the members are compared with its least member only, and members that this does not connect are
-compared with the members of other components, so a large group of near copies costs a star and not its
-pairs. Comparisons with a popular centre are dealt over salts in proportion to their number.
+Skew: equal sets are collapsed first (a partial aggregation), so a group of copies is one node. The members
+of a bucket are compared with its least member only; those that this leaves in another component are
+compared with the centre's whole family, block by block inside tasks that give links alone. So a large
+group of near copies costs a star, plus blocks for what the star does not reach. Comparisons with a popular
+centre are dealt over salts in proportion to their number.
 
 Rows are told apart by their place, so repeated rows and repeated or null ids do no harm: the id of a
 component is the least non-null doc_id in it. Extra columns are ignored.
@@ -35,7 +36,8 @@ from .runtime import ship, stored, table
 
 U = np.uint64
 ROWS, MISS = 5, 1e-7
-PER_SALT = 256
+PER_SALT = BLOCK = 256
+FILTER_BITS = 1 << 23
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -114,74 +116,129 @@ def sketches(docs: DataFrame, width: int, n_bands: int, rows: int = ROWS) -> Dat
     return _texts(docs).mapInArrow(run, "row long, doc_id long, n_shingles long, sig_a long, sig_b long, bands array<long>")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (u, v) pairs of rows whose sets have 100 * intersection >= percent * union."""
-    need = pairs.select(F.col("u").alias("row")).union(pairs.select(F.col("v").alias("row"))).distinct()
+def shingle_sets(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(row, set) of the given rows, and by chance of some others: ascending 64-bit shingle hashes, as bytes.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The rows are found where texts are read, by a filter of FILTER_BITS bits whatever their number, so no text
+    is shuffled; the more rows, the more others come along.
+    """
+    slot = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
+    masks = rows.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).collect()  # FILTER_BITS / 64 rows at most
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[[m["word"] for m in masks]] = [m["bits"] for m in masks]
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            slot = batch.column("slot").to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((shared.value[slot >> 6] >> (slot & 63)) & 1 == 1))
             for a, b, buf, off in flat.chunks(batch.column("text")):
                 h, bounds = shingles(buf, off, width)
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((bounds * 8).astype(np.int64).tobytes()), pa.py_buffer(h.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), raw.cast(pa.binary())], ["row", "set"])
 
-    whole = stored(_texts(docs).select("row", "text").join(need, "row").mapInArrow(sets, "row long, set binary"), "shingle-sets")
+    return _texts(docs).select("row", slot.alias("slot"), "text").mapInArrow(run, "row long, set binary")
+
+
+def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) -> (u, v, both, all, bits, extra): sizes of intersection and union, and u's set told by v's:
+    which of v's elements it holds, and those it has besides."""
     salts = pairs.groupBy("v").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
     dealt = pairs.join(salts, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"))
-    left = dealt.join(whole.select(F.col("row").alias("u"), F.col("set").alias("set_u")), "u")
-    right = salts.join(whole.select(F.col("row").alias("v"), F.col("set").alias("set_v")), "v").select("v", "set_v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    left = dealt.join(sets.select(F.col("row").alias("u"), F.col("set").alias("set_u")), "u")
+    right = salts.join(sets.select(F.col("row").alias("v"), F.col("set").alias("set_v")), "v").select("v", "set_v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [flat.as_binary(batch.column(k)) for k in ("set_u", "set_v")]
-            ok = []
-            for x, y in zip(*cols, strict=True):
+            both, whole, bits, extra = [], [], [], []
+            for x, y in zip(*(flat.as_binary(batch.column(k)) for k in ("set_u", "set_v")), strict=True):
                 x, y = (np.frombuffer(z.as_buffer(), U) for z in (x, y))
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    ok.append(False)
-                    continue
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    return left.join(right, ["v", "salt"]).select("u", "v", "set_u", "set_v").mapInArrow(test, "u long, v long")
+                shared = y[at] == x
+                held = np.zeros(len(y), bool)
+                held[at[shared]] = True
+                both.append(int(shared.sum()))
+                whole.append(len(x) + len(y) - both[-1])
+                bits.append(np.packbits(held).tobytes())
+                extra.append(x[~shared].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(both, pa.int64()), pa.array(whole, pa.int64()), pa.array(bits, pa.binary()), pa.array(extra, pa.binary())], ["u", "v", "both", "all", "bits", "extra"])
+
+    return left.join(right, ["v", "salt"]).select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long, both long, all long, bits binary, extra binary")
+
+
+def missing_links(star: DataFrame, percent: int) -> DataFrame:
+    """Links inside families beyond those to their centres.
+
+    star: (u, v, both, all, bits, extra, u_of, v_of), a row for each member u of the family of centre v, with its
+    set told by the centre's and the components that both are in so far. Members outside their centre's
+    component (probes) are compared with all members of other components; blocks of probes meet blocks of
+    members in one task each, and a task gives one link for a probe and a component at most, so no pairs are
+    listed. As near copies hardly differ from their centre, what is sent is a small part of the sets.
+    """
+    sizes = star.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("member_blocks"), F.ceil(F.count_if(F.col("u_of") != F.col("v_of")) / BLOCK).cast("int").alias("probe_blocks")).where("probe_blocks > 0")
+    full = star.join(sizes, "v").withColumn("apart", F.col("u_of") != F.col("v_of"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("u"), F.col(n)).cast("int")
+    cols = ["v", "i", "j", "probe", "u", F.col("u_of").alias("of"), "apart", "both", "bits", "extra"]
+    probes = full.where("apart").withColumn("i", own("probe_blocks")).withColumn("j", upto("member_blocks")).withColumn("probe", F.lit(True)).select(*cols)
+    members = full.withColumn("j", own("member_blocks")).withColumn("i", upto("probe_blocks")).withColumn("probe", F.lit(False)).select(*cols)
+
+    def run(group: pa.Table) -> pa.Table:
+        probe = group["probe"].to_numpy(zero_copy_only=False)
+        u, of, apart, both = (group[k].to_numpy(zero_copy_only=False) for k in ("u", "of", "apart", "both"))
+        extra = [np.frombuffer(x.as_buffer(), U) for x in flat.as_binary(group["extra"])]
+        size = both + np.array([len(x) for x in extra])
+        xs, ys = np.flatnonzero(probe), np.flatnonzero(~probe)
+        held = np.stack([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8)) for x in flat.as_binary(group["bits"])]).astype(np.float32)
+        inside = np.rint(held[xs] @ held[ys].T).astype(np.int64)  # counts below 2**24 are exact
+        values = np.concatenate([np.zeros(0, U), *(extra[y] for y in ys)])
+        owner = np.repeat(np.arange(len(ys)), [len(extra[y]) for y in ys])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        found = []
+        for k, x in enumerate(xs):
+            lo, hi = np.searchsorted(values, extra[x], "left"), np.searchsorted(values, extra[x], "right")
+            n = hi - lo
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            common = inside[k] + np.bincount(owner[at], minlength=len(ys))
+            ok = (100 * common >= percent * (size[ys] + size[x] - common)) & (of[ys] != of[x]) & (~apart[ys] | (u[ys] > u[x]))
+            hit = np.flatnonzero(ok)
+            _, first = np.unique(of[ys[hit]], return_index=True)
+            found += [(int(u[x]), int(u[ys[h]])) for h in hit[first]]
+        return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
+
+    return probes.unionByName(members).groupBy("v", "i", "j").applyInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """One row for each input row: row, doc_id, n_shingles, component_id (least doc_id of its group).
 
-    docs should be a table or file scan: it is read several times and rows are known by their place.
+    docs should be a table or file scan: it is read twice and rows are known by their place.
     """
     ship(docs.sparkSession)
     known = stored(sketches(docs, width, bands_for(percent / 100, rows, miss), rows), "sketches")
     classes = known.where("n_shingles > 0").groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"))
     classes = stored(classes, "classes")
     nodes = known.join(classes.select(F.col("rep").alias("row")), "row").select(F.col("row").alias("rep"), F.explode("bands").alias("bucket"))
-    crowd = nodes.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    members = stored(nodes.join(crowd.select("bucket", "centre"), "bucket").select("bucket", "centre", "rep"), "buckets")
-    star = members.where("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct()
-    links = stored(confirmed(docs, stored(star, "candidates"), width, percent), "links")
+    crowd = nodes.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
+    star = nodes.join(crowd, "bucket").where("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct()
+    star = stored(star, "candidates")
+    need = star.select(F.col("u").alias("row")).union(star.select(F.col("v").alias("row"))).distinct()
+    sets = stored(shingle_sets(docs, need, width), "shingle-sets")
+    measured = stored(similarities(star, sets), "similarities")
+    links = measured.where(f"100 * both >= {percent} * all").select("u", "v")
     joined = components(links)
 
-    # members that the star left outside their centre's component meet the rest of their bucket
-    of = joined.select(F.col("node").alias("rep"), "component")
-    placed = members.join(of, "rep", "left").select("bucket", "centre", "rep", F.coalesce("component", "rep").alias("component"))
-    placed = placed.join(of.select(F.col("rep").alias("centre"), F.col("component").alias("main")), "centre", "left").withColumn("main", F.coalesce("main", "centre"))
-    placed = stored(placed, "placed")
-    out = placed.where("component <> main").select("bucket", F.col("rep").alias("u"), F.col("component").alias("u_of"))
-    rest = placed.where("rep <> centre").select("bucket", F.col("rep").alias("v"), F.col("component").alias("v_of"), (F.col("component") != F.col("main")).alias("also"))
-    # of two such members each pair counts once; a pair is one of different components in any case
-    more = out.join(rest, "bucket").where("u_of <> v_of and (not also or u < v)").select("u", "v").distinct()
-    more = stored(more.join(star, ["u", "v"], "left_anti"), "candidates")
+    # members that the star left outside their centre's component meet the rest of their family
+    of = lambda name: joined.select(F.col("node").alias(name), F.col("component").alias(f"{name}_of"))
+    placed = measured.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    placed = placed.select("u", "v", "both", "bits", "extra", F.coalesce("u_of", "u").alias("u_of"), F.coalesce("v_of", "v").alias("v_of"))
+    more = stored(missing_links(placed, percent), "links")
     if not more.isEmpty():
-        found = stored(confirmed(docs, more, width, percent), "links")
-        if not found.isEmpty():
-            joined = components(links.union(found))
+        joined = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
-    of = stored(joined, "components")
-    reps = classes.join(of.select(F.col("node").alias("rep"), "component"), "rep", "left").select("sig_a", "sig_b", "n_shingles", "least_id", F.coalesce("component", "rep").alias("component"))
+    reps = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("sig_a", "sig_b", "n_shingles", "least_id", F.coalesce("component", "rep").alias("component"))
     least = reps.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = reps.join(least, "component").select("sig_a", "sig_b", "n_shingles", "component_id")
     full = known.select("row", "doc_id", "n_shingles", "sig_a", "sig_b")
