@@ -44,7 +44,7 @@ def check(model: Model, tuples: DataFrame, requests: DataFrame, contextual: Data
         wanted = asked.select("qid", "object_id")
         must = e.value(t, r, False, wanted)
         sure = _hits(wanted, must)
-        if e.conditional:
+        if e.conditional((t, r)):
             maybe = _hits(wanted, e.value(t, r, True, wanted))
             answer = wanted.select("qid").join(sure.withColumn("s", F.lit(True)), "qid", "left").join(maybe.withColumn("m", F.lit(True)), "qid", "left")
         else:

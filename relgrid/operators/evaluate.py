@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relgrid.functions.cel import condition_column
-from relgrid.plans.model import Computed, Difference, Intersection, Model, ModelError, This, Union, Via, children, dependencies, strata, walk
+from relgrid.plans.model import Computed, Difference, Intersection, Model, ModelError, This, Union, Via, children, dependencies, strata, tuplesets, walk
 from relgrid.sources.storage import cut
 
 VALUE = ("qid", "object_id")
@@ -88,7 +88,13 @@ class Evaluator:
         self.kinds = {(k[0], k[1]) for k in kinds}
         self.memo: dict = {}
         self.group: dict = {}
-        self.conditional = any(x.condition for rs in model.types.values() for rel in rs.values() for x in rel.restrictions)
+        self.reach: dict = {}
+
+    def conditional(self, node) -> bool:
+        """Whether conditions have a say in the relation, so that what may hold can differ from what must."""
+        if node not in self.reach:
+            self.reach[node] = any(x.condition for g in strata(self.m, node) for t, r in g for n in {r, *tuplesets(self.m, t, r)} for x in self.m.types[t][n].restrictions)
+        return self.reach[node]
 
     # which relations can lead to the subjects at all
     def _reached(self, node) -> bool:
@@ -100,7 +106,7 @@ class Evaluator:
 
     def value(self, t: str, r: str, may: bool = False, within: DataFrame | None = None) -> DataFrame | None:
         """(qid, object_id) of t#r, or None if no data could give any; within: the objects asked for."""
-        may = may and self.conditional
+        may = may and self.conditional((t, r))
         if (t, r, may) in self.memo:
             return self.memo[t, r, may]
         if not self._reached((t, r)):
@@ -108,6 +114,10 @@ class Evaluator:
         for group in strata(self.m, (t, r)):
             if any((*n, may) in self.memo for n in group):
                 continue
+            if may and not self.conditional(group[0]):
+                self.value(*group[0])
+                self.memo.update({(*n, True): self.memo.get((*n, False)) for n in group})
+                continue
             recursive = len(group) > 1 or group[0] in dependencies(self.m, *group[0])
             if recursive:
                 self._fixpoint(group, may)
@@ -189,7 +199,7 @@ class Evaluator:
         if isinstance(e, Via):
             return self._via(node, e, env, may, within)
         if isinstance(e, Difference):
-            base, minus = self._full(node, e.base, env, may, within), self._full(node, e.subtract, env, not may if self.conditional else may)
+            base, minus = self._full(node, e.base, env, may, within), self._full(node, e.subtract, env, not may)
             return base if base is None or minus is None else base.join(minus, list(VALUE), "left_anti")
         parts = [self._full(node, p, env, may, within) for p in e.parts]
         return _combined(e, parts)
@@ -218,7 +228,7 @@ class Evaluator:
         if isinstance(e, Difference):
             if self._touches(node, e.subtract, group):
                 raise ModelError(f"'{node[0]}#{node[1]}' excludes what depends on itself")
-            base, minus = self._step(node, e.base, new, acc, may), self._full(node, e.subtract, {}, not may if self.conditional else may)
+            base, minus = self._step(node, e.base, new, acc, may), self._full(node, e.subtract, {}, not may)
             return base if base is None or minus is None else base.join(minus, list(VALUE), "left_anti")
         recursive = [p for p in e.parts if self._touches(node, p, group)]
         if isinstance(e, Union):
