@@ -222,6 +222,21 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS bw FROM benchmark),
+starts AS (SELECT item_id, bw, least(len(bw), {WINDOW}) AS m, unnest(range(1, len(bw) - least(len(bw), {WINDOW}) + 2)) AS i FROM b WHERE len(bw) > 0),
+win AS (SELECT DISTINCT item_id, m, list_slice(bw, i, i + m - 1) AS g FROM starts),
+places AS (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT DISTINCT m FROM win) WHERE len(ws) >= m),
+hit AS (SELECT doc_id, p.m, i, item_id FROM places p JOIN win ON win.m = p.m AND win.g = list_slice(ws, i, i + p.m - 1)),
+pos AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 def brute_force(docs: list[tuple], bench: list[tuple]) -> dict:
     """Plain Python reading of the contract, for tests: {doc_id: (n_words, n_hit, items, contaminated)}."""
     import re
