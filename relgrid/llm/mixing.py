@@ -31,7 +31,7 @@ from .runtime import ship, stored, table
 
 BLOCKS, SEED = 4096, 20240
 TARGET_ENTROPY, MAX_REPEATS = 0.98, 4.0
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def measured(docs: DataFrame) -> DataFrame:
