@@ -29,13 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
-from .linear import sigmoid
 from .runtime import id_crc, ship, stored, table
 
 U = np.uint64
 HEAD, OWN, ENDINGS = 1 << 18, 704, 64
 CLASSES = OWN + ENDINGS
-DIM, NOISE, BATCH, ROUNDS, RATE = 24, 64, 1024, 2, 0.15
+DIM, NOISE, BATCH, ROUNDS, RATE = 24, 32, 1024, 2, 0.15
 BLOCKS = 64
 END = U(1)
 LOG10 = float(np.log(10))
@@ -162,6 +161,15 @@ class LogBilinear:
         return out
 
 
+def logistic(x: np.ndarray) -> np.ndarray:
+    """In place, in single precision."""
+    np.negative(x, out=x)
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 class Trainer:
     """Noise-contrastive estimation with AdaGrad steps; the noise words of a batch are shared by its tokens."""
 
@@ -187,8 +195,8 @@ class Trainer:
         ca, cb = m.context[a], m.context[b]
         q = ca @ m.first + cb @ m.second
         qw, qn = m.output[w], m.output[noise]
-        g_data = (sigmoid((q * qw).sum(1) + m.bias[w] - self.log_noise[w]) - 1).astype(np.float32) / n
-        g_noise = sigmoid(q @ qn.T + m.bias[noise] - self.log_noise[noise]).astype(np.float32) / n
+        g_data = (logistic(np.einsum("ij,ij->i", q, qw) + m.bias[w] - self.log_noise[w]) - 1) / n
+        g_noise = logistic(q @ qn.T + (m.bias - self.log_noise)[noise]) / np.float32(n)
         back = g_data[:, None] * qw + g_noise @ qn
         grads = {
             "output": self._add(w, np.column_stack([g_data[:, None] * q, g_data]), CLASSES) + self._add(noise, np.column_stack([g_noise.T @ q, g_noise.sum(0)]), CLASSES),
