@@ -139,6 +139,23 @@ def test_lm_learns_context(spark, tmp_path):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_lm_noise_words_of_a_batch():
+    """A step contrasts its tokens with 64 noise words."""
+    share = np.full(lm_score.CLASSES, 1 / lm_score.CLASSES)
+    t = lm_score.Trainer(lm_score.LogBilinear(share), share, 1)
+    drawn, draw = [], t.rng.random
+
+    class Spy:
+        def random(self, n):
+            drawn.append(n)
+            return draw(n)
+
+    t.rng = Spy()
+    one = np.zeros(3, np.int32)
+    t.step(one, one, one)
+    assert drawn == [64]
+
+
 def junk(i: int) -> str:
     return " ".join(w + "***" for w in prose(60, i).split())
 
