@@ -5,21 +5,26 @@ document; a null text counts as empty and has the end token alone. Words are kno
 
 Corpus counts come first and cover every training document: partial sums by task, then one aggregation by
 word. The most frequent words are classes of their own; every other word belongs to a class of words that
-end alike, inside which it has the probability (c + 1) / (N_class + V_class + 1), unseen words together
-being one more member. The neural model predicts classes: the vectors of the two classes before, each through
-its own matrix, add up to a predicted vector, whose products with the output vectors (plus biases) are the
-logits. Each task trains a copy by noise-contrastive estimation on all its training documents; the copies'
-averages, weighted by tokens, start the next round. For scoring, batched matrix products over all pairs of
-context classes give exact normalisers, so class probabilities sum to one.
-
-What is broadcast has fixed sizes: the HEAD most frequent words with their counts, and tables over pairs of
-classes. Words beyond HEAD meet their counts in a join; none of them is frequent, so no key is hot.
+end alike. The neural model predicts classes: the vectors of the two words before, each through its own
+matrix, add up to a predicted vector, whose products with the output vectors (plus biases) are the logits. A
+word's vector is that of its class plus, for every HEAD word of a shared class, one of its own. Inside a class
+the predicted vector decides at the nodes of a Huffman tree over its HEAD words and one leaf for the rest, so
+probabilities sum to one without normalisers; without context they would be (c + 1) / (N_class + V_class + 1).
+The words of the rest share its leaf by (c + 1) / (N_rest + V_rest + 1), unseen words together being one more.
+The number of own vectors and nodes grows with the corpus' distinct words up to HEAD. Each task trains a copy by noise-contrastive estimation on all its training documents; the copies'
+averages, weighted by tokens (rows of words and nodes by their own uses), start the next round. For scoring,
+matrix products give exact normalisers, over all pairs of context classes or token by token where a word
+before has an own vector, so class probabilities sum to one.
+
+What is broadcast has bounded sizes: the HEAD most frequent words with counts, vectors and tree nodes, and
+tables over pairs of classes. Words beyond HEAD meet their counts in a join; none of them is frequent, so no key is hot.
 Rows are told apart by place; repeated rows are scored each, a null doc_id counts as the empty text in
 crc32, extra columns are ignored, and without training documents all probabilities are uniform.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,7 +40,8 @@ U = np.uint64
 HEAD, OWN, ENDINGS = 1 << 18, 704, 64
 CLASSES = OWN + ENDINGS
 DIM, NOISE, BATCH, ROUNDS, RATE = 24, 64, 1024, 2, 0.15
-BLOCKS = 64
+BLOCKS, BLOCK_ROWS, SCORED = 64, 1024, 256
+PAST = 0.1  # start of the sums of squares of words' and nodes' steps
 END = U(1)
 LOG10 = float(np.log(10))
 
@@ -89,6 +95,27 @@ def _fold(keys: list, endings: list, counts: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(e[at]), pa.array(np.bincount(back, n, len(u)).astype(np.int64))], ["key", "ending", "n"])
 
 
+ROW = np.dtype([("id", "<i4"), ("n", "<f4"), ("v", "<f4", (DIM,))])  # of the words' vectors, then of the nodes'
+
+
+def coding_tree(weights: np.ndarray, groups: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A Huffman tree over the leaves of each group: parents (-1: none) and sides of leaves, then nodes, and the
+    log odds that weights alone give to side 1 of each node."""
+    n = len(weights)
+    up, side, odds = np.full(2 * n, -1, np.int32), np.zeros(2 * n, np.float32), []
+    for leaves in groups:
+        heap = list(zip(weights[leaves].tolist(), leaves.tolist(), strict=True))
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (x, i), (y, j) = heapq.heappop(heap), heapq.heappop(heap)
+            node = n + len(odds)
+            up[i] = up[j] = node
+            side[i], side[j] = 1, -1
+            odds.append(np.log(x / y))
+            heapq.heappush(heap, (x + y, node))
+    return up, side, np.array(odds, np.float32)
+
+
 @dataclass
 class Vocabulary:
     keys: np.ndarray  # the HEAD most frequent words, ascending hashes
@@ -99,6 +126,10 @@ class Vocabulary:
     ending_total: np.ndarray
     ending_distinct: np.ndarray
     share: np.ndarray = field(default=None)  # of each class, smoothed
+    rest: np.ndarray = field(default=None)  # by ending, weight of the words beyond HEAD and the unseen
+    up: np.ndarray = field(default=None)  # trees inside classes: leaves are head words, then a rest for each ending
+    side: np.ndarray = field(default=None)
+    odds: np.ndarray = field(default=None)
 
     def classify(self, key: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class of each token, and its place among the head words (-1: none)."""
@@ -109,6 +140,26 @@ class Vocabulary:
         at = np.where(self.keys[at] == key, at, -1)
         return np.where(at >= 0, self.classes[at], OWN + ending), at
 
+    def places(self, classes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each token's own context vector (len(keys): none), and its leaf."""
+        head = len(self.keys)
+        return np.where((at >= 0) & (classes >= OWN), at, head), np.where(at >= 0, at, head + classes - OWN)
+
+    def path(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Decisions between leaves and roots: place in `leaf`, node, side taken."""
+        place, at, found = np.arange(len(leaf)), leaf, []
+        while True:
+            up = self.up[at]
+            go = up >= 0
+            if not go.any():
+                break
+            place, at, up = place[go], at[go], up[go]
+            found.append((place, up - len(self.up) // 2, self.side[at]))
+            at = up
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     sums = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # ENDINGS rows
@@ -126,20 +177,29 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     mass[: min(len(n), OWN)] = n[:OWN]
     mass[OWN:] = total
     order = np.argsort(key)
-    return Vocabulary(key[order], n[order].astype(np.int64), classes[order].astype(np.int32), n_all, v_all, total, distinct, (mass + 1) / (n_all + CLASSES))
+    shared = np.arange(len(key)) >= OWN
+    tail, kinds = total.copy(), distinct.copy()
+    np.subtract.at(tail, ending[shared], n[shared])
+    np.subtract.at(kinds, ending[shared], 1)
+    rest = tail + kinds + 1
+    place = np.where(shared, ending, -1)[order]
+    up, side, odds = coding_tree(np.concatenate([n[order] + 1, rest]), [np.append(np.flatnonzero(place == e), len(key) + e) for e in range(ENDINGS)])
+    return Vocabulary(key[order], n[order].astype(np.int64), classes[order].astype(np.int32), n_all, v_all, total, distinct, (mass + 1) / (n_all + CLASSES), rest, up, side, odds)
 
 
 class LogBilinear:
-    """Context vectors (one more for a document's start), two matrices, output vectors and biases."""
+    """Context vectors (one more for a document's start), two matrices, output vectors and biases of classes; own
+    context vectors of words (one more, zero, for the others) and vectors of tree nodes."""
 
     NAMES = ("context", "first", "second", "output", "bias")
 
-    def __init__(self, share: np.ndarray, seed: int = 3):
+    def __init__(self, share: np.ndarray, head: int = 0, nodes: int = 0, seed: int = 3):
         rng = np.random.default_rng(seed)
         small = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
         self.context, self.output = small(CLASSES + 1, DIM), small(CLASSES, DIM)
         self.first, self.second = np.eye(DIM, dtype=np.float32) * 0.5, np.eye(DIM, dtype=np.float32) * 0.5
         self.bias = np.log(share).astype(np.float32)
+        self.word, self.node = np.zeros((head + 1, DIM), np.float32), np.zeros((nodes, DIM), np.float32)
 
     def pack(self) -> np.ndarray:
         return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
@@ -150,6 +210,9 @@ class LogBilinear:
             setattr(self, k, x[: a.size].reshape(a.shape).astype(np.float32).copy())
             x = x[a.size :]
 
+    def predicted(self, a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (self.context[a] + self.word[x]) @ self.first + (self.context[b] + self.word[y]) @ self.second
+
     def normalisers(self) -> np.ndarray:
         """Log of the sum over all classes for every pair (class before the last, last class)."""
         out = np.empty((CLASSES + 1, CLASSES + 1), np.float32)
@@ -173,7 +236,9 @@ def logistic(x: np.ndarray) -> np.ndarray:
 class Trainer:
     """Noise-contrastive estimation with AdaGrad steps; the noise words of a batch are shared by its tokens."""
 
-    def __init__(self, model: LogBilinear, share: np.ndarray, seed: int):
+    def __init__(self, model: LogBilinear, share: np.ndarray, seed: int, vocab: Vocabulary | None = None):
+        self.v, self.used = vocab, {k: np.zeros(len(getattr(model, k)), np.float32) for k in ("word", "node")}
+        self.past_rows = {k: np.full(len(u), PAST, np.float32) for k, u in self.used.items()}
         self.m, self.rng = model, np.random.default_rng(seed)
         self.edge = np.cumsum(share)
         self.log_noise = np.log(NOISE * share).astype(np.float32)
@@ -188,21 +253,55 @@ class Trainer:
         out[s[first]] = np.add.reduceat(rows[order], first, axis=0)
         return out
 
-    def step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
+    def _rows(self, name: str, at: np.ndarray, grads: np.ndarray) -> None:
+        """AdaGrad steps, one rate a row, for the rows met."""
+        order = np.argsort(at, kind="stable")
+        s = at[order]
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        g, u = np.add.reduceat(grads[order], first, axis=0), s[first]
+        past = self.past_rows[name][u] + np.einsum("ij,ij->i", g, g) / DIM
+        self.past_rows[name][u] = past
+        self.used[name][u] += np.diff(np.append(first, len(s)))
+        getattr(self.m, name)[u] -= (RATE / np.sqrt(past))[:, None] * g
+
+    def decide(self, q: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Step for the decisions inside classes; the sums' gradients by predicted vector."""
+        place, node, side = self.v.path(leaf)
+        if not len(place):
+            return np.zeros_like(q)
+        vec, met = self.m.node[node], q[place]
+        g = -side * logistic(-side * (np.einsum("ij,ij->i", met, vec) + self.v.odds[node]))
+        back = self._add(place, g[:, None] * vec, len(q))
+        self._rows("node", node, g[:, None] * met)
+        return back
+
+    def step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None = None, leaf: np.ndarray | None = None) -> None:
+        """a, b, w: classes of the two words before and of the word; x, y: rows of their own vectors; leaf: the word's."""
         m, n = self.m, len(w)
         self.seen += n
         noise = np.minimum(np.searchsorted(self.edge, self.rng.random(NOISE) * self.edge[-1], "right"), CLASSES - 1)
         ca, cb = m.context[a], m.context[b]
+        if leaf is not None:
+            ca += m.word[x]
+            cb += m.word[y]
         q = ca @ m.first + cb @ m.second
         qw, qn = m.output[w], m.output[noise]
         g_data = (logistic(np.einsum("ij,ij->i", q, qw) + m.bias[w] - self.log_noise[w]) - 1) / n
         g_noise = logistic(q @ qn.T + (m.bias - self.log_noise)[noise]) / np.float32(n)
         back = g_data[:, None] * qw + g_noise @ qn
+        if leaf is not None:
+            back += self.decide(q, leaf) / np.float32(n)
+        far, near = back @ m.first.T, back @ m.second.T
+        if leaf is not None:
+            at = np.concatenate([x, y])
+            own = np.flatnonzero(at < len(m.word) - 1)
+            if len(own):
+                self._rows("word", at[own], np.concatenate([far, near])[own] * np.float32(n))
         grads = {
             "output": self._add(w, np.column_stack([g_data[:, None] * q, g_data]), CLASSES) + self._add(noise, np.column_stack([g_noise.T @ q, g_noise.sum(0)]), CLASSES),
             "first": ca.T @ back,
             "second": cb.T @ back,
-            "context": self._add(np.concatenate([a, b]), np.concatenate([back @ m.first.T, back @ m.second.T]), CLASSES + 1),
+            "context": self._add(np.concatenate([a, b]), np.concatenate([far, near]), CLASSES + 1),
         }
         grads["bias"] = grads["output"][:, -1]
         grads["output"] = grads["output"][:, :-1]
@@ -212,46 +311,69 @@ class Trainer:
             p -= RATE * (0.1 if k in ("first", "second") else 1) * g / np.sqrt(self.past[k])
 
 
-def contexts(classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes two and one before each token of its document; CLASSES stands for places before its start."""
-    near, far = np.full(len(classes), CLASSES, classes.dtype), np.full(len(classes), CLASSES, classes.dtype)
+def contexts(classes: np.ndarray, bounds: np.ndarray, start: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+    """Classes two and one before each token of its document; `start` stands for places before its start."""
+    near, far = np.full(len(classes), start, classes.dtype), np.full(len(classes), start, classes.dtype)
     near[1:] = classes[:-1]
-    near[bounds[:-1]] = CLASSES  # every document has its end token
+    near[bounds[:-1]] = start  # every document has its end token
     far[1:] = near[:-1]
-    far[bounds[:-1]] = CLASSES
+    far[bounds[:-1]] = start
     return far, near
 
 
 def train(docs: DataFrame, vocab: Vocabulary, *, rounds: int = ROUNDS) -> LogBilinear:
     """Train over all given documents, task by task, averaging after each round."""
     spark = docs.sparkSession
-    model = LogBilinear(vocab.share)
+    head = len(vocab.keys)
+    model = LogBilinear(vocab.share, head, len(vocab.odds))
     if not vocab.total:
         return model
     words = spark.sparkContext.broadcast(vocab)
     texts = docs.select(F.col("text").cast("binary").alias("text"))
     for r in range(rounds):
-        start = spark.sparkContext.broadcast(model.pack())  # about 40,000 numbers
+        # about 40,000 numbers, then DIM for each head word and node
+        start = spark.sparkContext.broadcast((model.pack(), *((model.word, model.node) if r else (None, None))))
 
         def run(batches: Iterator[pa.RecordBatch], r=r, start=start) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
             v = words.value
-            m = LogBilinear(v.share)
-            m.unpack(start.value)
-            t = Trainer(m, v.share, 1000 * r + TaskContext.get().partitionId())
+            m = LogBilinear(v.share, head, len(v.odds))
+            shared, word, node = start.value
+            m.unpack(shared)
+            if r:
+                m.word, m.node = word.copy(), node.copy()
+            t = Trainer(m, v.share, 1000 * r + TaskContext.get().partitionId(), v)
             for batch in batches:
                 for _, _, buf, off in flat.chunks(batch.column("text")):
                     key, ending, bounds = tokens(buf, off)
-                    w = v.classify(key, ending)[0]
-                    a, b = contexts(w, bounds)
+                    w, at = v.classify(key, ending)
+                    own, leaf = v.places(w, at)
+                    tokens_of = (*contexts(w, bounds), w, *contexts(own, bounds, head), leaf)
                     for i in range(0, len(w), BATCH):
-                        t.step(a[i : i + BATCH], b[i : i + BATCH], w[i : i + BATCH])
+                        t.step(*(z[i : i + BATCH] for z in tokens_of))
             if t.seen:
                 parts = np.array_split(m.pack().astype(np.float32), BLOCKS)
                 yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([float(t.seen)] * BLOCKS), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "weight", "part"])
+                for shift, name in ((0, "word"), (head, "node")):
+                    at = np.flatnonzero(t.used[name])
+                    rows = np.empty(len(at), ROW)
+                    rows["id"], rows["n"], rows["v"] = at + shift, t.used[name][at], getattr(m, name)[at]
+                    block = rows["id"] // BLOCK_ROWS
+                    cuts = np.flatnonzero(np.diff(block)) + 1
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(block[np.append(0, cuts)] + BLOCKS, pa.int32()), pa.array([float(t.seen)] * (len(cuts) + 1)), pa.array([p.tobytes() for p in np.split(rows, cuts)], pa.binary())], ["block", "weight", "part"])
 
         def average(rows: pa.Table) -> pa.Table:
+            if rows["block"][0].as_py() >= BLOCKS:
+                got = np.concatenate([np.frombuffer(p, ROW) for p in rows["part"].to_pylist()])
+                u, back = np.unique(got["id"], return_inverse=True)
+                out = np.zeros(len(u), ROW)
+                mean = np.zeros((len(u), DIM))
+                np.add.at(mean, back, got["v"] * got["n"].astype(float)[:, None])
+                weight = np.bincount(back, got["n"], len(u))
+                out["id"], out["n"], out["v"] = u, weight, mean / weight[:, None]
+                return pa.table({"block": rows["block"][:1], "part": pa.array([out.tobytes()], pa.binary())})
             total, weight = None, 0.0
             for w, p in zip(rows["weight"].to_pylist(), rows["part"].to_pylist(), strict=True):
                 x = np.frombuffer(p, np.float32).astype(float) * w
@@ -259,8 +381,15 @@ def train(docs: DataFrame, vocab: Vocabulary, *, rounds: int = ROUNDS) -> LogBil
             return pa.table({"block": rows["block"][:1], "part": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
 
         got = texts.mapInArrow(run, "block int, weight double, part binary").groupBy("block").applyInArrow(average, "block int, part binary").collect()
-        if len(got) == BLOCKS:
-            model.unpack(np.concatenate([np.frombuffer(g["part"], np.float32) for g in sorted(got, key=lambda g: g["block"])]))
+        shared = sorted((g for g in got if g["block"] < BLOCKS), key=lambda g: g["block"])
+        if len(shared) == BLOCKS:
+            model.unpack(np.concatenate([np.frombuffer(g["part"], np.float32) for g in shared]))
+        for g in got:
+            if g["block"] >= BLOCKS:
+                rows = np.frombuffer(g["part"], ROW)
+                word = rows["id"] < head
+                model.word[rows["id"][word]] = rows["v"][word]
+                model.node[rows["id"][~word] - head] = rows["v"][~word]
     return model
 
 
@@ -268,23 +397,36 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilin
     """One row for each input row: doc_id, n_tokens, n_known, base_score, score (both log10)."""
     spark = docs.sparkSession
     far, near = (model.context @ x @ model.output.T for x in (model.first, model.second))
-    inside = -np.log10(vocab.ending_total + vocab.ending_distinct + 1.0)
-    shared = spark.sparkContext.broadcast((vocab, far, near + model.bias, model.normalisers(), inside))
+    shared = spark.sparkContext.broadcast((vocab, model, far, near + model.bias, model.normalisers()))
     base = float(np.log10(vocab.total + vocab.distinct + 1.0))
     names = ["row", "key", "n", "doc_id", "n_tokens", "n_known", "base", "model"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, far, near, normal, inside = shared.value
-        head_log = np.log10(v.counts + 1.0)
+        v, m, far, near, normal = shared.value
+        head_log, rest_log, head = np.log10(v.counts + 1.0), np.log10(v.rest), len(v.keys)
         for batch in batches:
             for i, j, buf, off in flat.chunks(batch.column("text")):
                 key, ending, bounds = tokens(buf, off)
                 w, at = v.classify(key, ending)
                 a, b = contexts(w, bounds)
-                p = (far[a, w] + near[b, w] - normal[a, b]).astype(float) / LOG10
+                p = (far[a, w] + near[b, w] - normal[a, b]).astype(float)
+                place, leaf = v.places(w, at)
+                x, y = contexts(place, bounds, head)
+                more = np.flatnonzero((x < head) | (y < head) | (w >= OWN))
+                for k in (more[s : s + SCORED] for s in range(0, len(more), SCORED)):
+                    q = m.predicted(a[k], b[k], x[k], y[k])
+                    z = q @ m.output.T + m.bias
+                    own = z[np.arange(len(k)), w[k]]
+                    top = z.max(1)
+                    z -= top[:, None]
+                    p[k] = own - top - np.log(np.exp(z, out=z).sum(1))
+                    at_leaf, node, side = v.path(leaf[k])
+                    z = side * (np.einsum("ij,ij->i", q[at_leaf], m.node[node]) + v.odds[node])
+                    p[k] -= np.bincount(at_leaf, np.logaddexp(0, -z), len(k))
+                p /= LOG10
                 known = at >= 0
                 own = np.where(known, head_log[at], 0.0) if len(head_log) else np.zeros(len(w))
-                p += np.where(w < OWN, 0.0, own + inside[np.maximum(w - OWN, 0)])
+                p -= np.where(known, 0.0, rest_log[np.maximum(w - OWN, 0)])
                 row, doc_id = batch.column("row").slice(i, j - i), batch.column("doc_id").slice(i, j - i)
                 number = row.to_numpy(zero_copy_only=False)
                 n = np.diff(bounds)

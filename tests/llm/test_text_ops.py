@@ -156,6 +156,32 @@ def test_lm_noise_words_of_a_batch():
     assert drawn == [64]
 
 
+def test_lm_predicts_words_beyond_the_own_classes(spark, tmp_path):
+    """Equally frequent words of one ending class are told apart by context, and so are their contexts."""
+    many = " ".join(f"f{i}zz" for i in range(lm_score.OWN + 20))
+    r = np.random.default_rng(5)
+    rows = [(i, many) for i in range(200)]
+    rows += [(1000 + i, " ".join(f"{'ab'[i % 2]}{k}qq" for k in r.permutation(20))) for i in range(300)]
+    rows += [(3000, " ".join(f"a{k}qq" for k in range(10)) + " " + " ".join(f"b{k}qq" for k in range(10))), (3001, " ".join(f"{c}{k}qq" for k in range(10) for c in "ab"))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    learn = d.where("doc_id < 3000")
+    counts = lm_score.stored(lm_score.count_words(learn), "counts")
+    vocab = lm_score.vocabulary(counts)
+    model = lm_score.train(learn, vocab)
+    got = {x.doc_id: x for x in lm_score.score(d, counts, vocab, model).where("doc_id >= 3000").collect()}
+    assert abs(got[3000].base_score - got[3001].base_score) < 1e-9
+    assert got[3000].score > got[3001].score + 0.5
+    # inside every class the leaves' probabilities sum to one, in a context of its own
+    head = len(vocab.keys)
+    q = model.predicted(*(np.array([i]) for i in (700, 701, head - 1, head - 2)))[0]
+    leaf = np.concatenate([np.flatnonzero(vocab.classes >= lm_score.OWN), head + np.arange(lm_score.ENDINGS)])
+    place, node, side = vocab.path(leaf)
+    p = np.exp(-np.bincount(place, np.logaddexp(0, -side * (model.node[node] @ q + vocab.odds[node])), len(leaf)))
+    of = np.concatenate([vocab.classes[vocab.classes >= lm_score.OWN] - lm_score.OWN, np.arange(lm_score.ENDINGS)])
+    assert np.allclose(np.bincount(of, p), 1, atol=1e-5)
+
+
 def junk(i: int) -> str:
     return " ".join(w + "***" for w in prose(60, i).split())
 
