@@ -212,7 +212,8 @@ def missing_links(star: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, rows: int = ROWS, miss: float = MISS) -> DataFrame:
-    """One row for each input row: row, doc_id, n_shingles, component_id (least doc_id of its group).
+    """One row for each input row: row, doc_id, n_shingles, component (a row of its group), component_id (least
+    doc_id of its group).
 
     docs should be a table or file scan: it is read twice and rows are known by their place.
     """
@@ -240,10 +241,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, rows:
 
     reps = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("sig_a", "sig_b", "n_shingles", "least_id", F.coalesce("component", "rep").alias("component"))
     least = reps.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = reps.join(least, "component").select("sig_a", "sig_b", "n_shingles", "component_id")
+    named = reps.join(least, "component").select("sig_a", "sig_b", "n_shingles", "component", "component_id")
     full = known.select("row", "doc_id", "n_shingles", "sig_a", "sig_b")
     linked = full.join(named, ["sig_a", "sig_b", "n_shingles"], "left")
-    return linked.select("row", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return linked.select("row", "doc_id", "n_shingles", F.coalesce("component", "row").alias("component"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,12 +265,10 @@ FROM (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) LEFT JOI
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those that have a near duplicate of lesser id; of repeated ids the first row stays."""
-    found = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    empty = found.where("n_shingles = 0").select("row")
-    full = found.where("n_shingles > 0").groupBy("component_id").agg(F.min("row").alias("row")).select("row")
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    return marked.join(empty.union(full).withColumnRenamed("row", "__row"), "__row", "left_semi").drop("__row")
+    """One document of each group of near duplicates, that of least id, and of equal ids the first row; null ids come last."""
+    found = near_duplicates(docs, **options).select("row", "component", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("order"))
+    kept = found.groupBy("component").agg(F.min("order").alias("order")).select(F.col("order.row").alias("__row"))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
 
 
 def brute_force(docs: list[tuple], width: int, percent: int) -> dict:

@@ -69,6 +69,15 @@ def test_near_duplicates(spark, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_keep_one_goes_by_groups_not_by_ids(spark, tmp_path):
+    """Unlike texts under null or repeated ids all stay; copies leave one row, a null id giving way to an id."""
+    a, b, c, d, e, f = (prose(60, 500 + i) for i in range(6))
+    rows = [(None, a), (None, b), (None, a), (7, c), (7, d), (7, d), (None, e), (9, e), (8, e), (None, None), (None, ""), (7, f)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = minhash.keep_one(spark.read.parquet(str(tmp_path / "d")), width=3, percent=85).collect()
+    assert multiset(got) == multiset([(None, a), (None, b), (7, c), (7, d), (8, e), (None, None), (None, ""), (7, f)])
+
+
 def test_large_family_of_near_copies(spark, tmp_path):
     """Members the star misses are found through other members, in blocks."""
     rows, w = [], prose(100, 1).split()
