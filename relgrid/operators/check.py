@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relgrid.functions.identifiers import join_object
-from relgrid.operators.evaluate import Evaluator, with_contextual
+from relgrid.operators.evaluate import Evaluator, few, with_contextual
 from relgrid.plans.model import Model, ModelError
 
-MAX_RELATIONS = 10_000
-
 
 def _contexts(requests: DataFrame) -> DataFrame | None:
     return requests.select("qid", "context").distinct() if "context" in requests.columns else None
@@ -18,7 +16,7 @@ def _contexts(requests: DataFrame) -> DataFrame | None:
 
 def _targets(requests: DataFrame) -> list[tuple[str, str]]:
     """The (type, relation) pairs asked for, of which a model has few."""
-    return sorted((r[0], r[1]) for r in requests.select("object_type", "relation").distinct().limit(MAX_RELATIONS).collect())
+    return sorted((r[0], r[1]) for r in few(requests.select("object_type", "relation")))
 
 
 def check(model: Model, tuples: DataFrame, requests: DataFrame, contextual: DataFrame | None = None, *, max_depth: int | None = None) -> DataFrame:

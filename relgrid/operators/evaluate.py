@@ -75,6 +75,17 @@ def conditions_hold(m: Model, rows: DataFrame, names: set[str], contexts: DataFr
     return rows.where(F.coalesce(ok, F.lit(may))).drop("__context")
 
 
+MAX_RELATIONS = 10_000
+
+
+def few(rows: DataFrame) -> list:
+    """Distinct rows of a table that has as few as a model has relations; more raise ModelError."""
+    got = rows.distinct().limit(MAX_RELATIONS + 1).collect()
+    if len(got) > MAX_RELATIONS:
+        raise ModelError(f"more than {MAX_RELATIONS} different {', '.join(rows.columns)} in the requests")
+    return got
+
+
 class Evaluator:
     """Values of relations for one batch of subjects: seeds (qid, subject_type, subject_id, subject_relation)."""
 
@@ -84,7 +95,7 @@ class Evaluator:
         own = seeds.select("qid", "subject_type", "subject_id", F.coalesce("subject_relation", F.lit("")).alias("subject_relation"))
         star = own.where("subject_relation = '' and subject_id <> '*'").withColumn("subject_id", F.lit("*"))
         self.seeds = own.union(star.select(own.columns)).distinct()
-        kinds = own.select("subject_type", "subject_relation").distinct().limit(10_000).collect()  # kinds of subjects, of which a model has few
+        kinds = few(own.select("subject_type", "subject_relation"))  # kinds of subjects, of which a model has few
         self.kinds = {(k[0], k[1]) for k in kinds}
         self.memo: dict = {}
         self.group: dict = {}

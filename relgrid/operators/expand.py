@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relgrid.functions.identifiers import join_object, join_user
-from relgrid.operators.evaluate import direct_filter, with_contextual
+from relgrid.operators.evaluate import direct_filter, few, with_contextual
 from relgrid.plans.model import Computed, Difference, Intersection, Model, This, Union, children
 
 
@@ -23,7 +23,7 @@ def expand(model: Model, tuples: DataFrame, requests: DataFrame, contextual: Dat
     a direct leaf (conditions are not evaluated), or the usersets a computed or tuple-to-userset leaf leads to.
     """
     rows, out = with_contextual(tuples, contextual), None
-    pairs = requests.select("object_type", "relation").distinct().limit(10_000).collect()
+    pairs = few(requests.select("object_type", "relation"))
     none = F.array().cast("array<string>")
     for t, r in sorted((p[0], p[1]) for p in pairs):
         rel = model.need(t, r)

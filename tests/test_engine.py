@@ -164,3 +164,14 @@ def test_batch_check_ids(spark):
         batch_check(m, df, one, max_checks=1)
     with pytest.raises(ModelError):
         check(m, df, spark.createDataFrame(ask("group:a#nothing@user:x"), REQUEST))
+
+
+def test_more_relations_than_the_limit_raise(spark, monkeypatch):
+    from relgrid.operators import evaluate
+    from relgrid.operators.check import _targets
+
+    monkeypatch.setattr(evaluate, "MAX_RELATIONS", 3)
+    asked = spark.range(5).selectExpr("'doc' as object_type", "concat('r', least(id, 3)) as relation")
+    with pytest.raises(evaluate.ModelError):
+        _targets(asked)
+    assert len(_targets(asked.where("relation <> 'r3'"))) == 3
