@@ -41,8 +41,9 @@ def counts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     b = buf.astype(np.uint32)
     m = max(len(b) - 2, 0)
     code = (b[:m] | (b[1 : m + 1] << np.uint32(8)) | (b[2 : m + 2] << np.uint32(16))) * np.uint32(2654435761)
-    char = (code >> np.uint32(20)).astype(np.int64)
-    char_doc = np.repeat(np.arange(n), np.diff(off))[:m]
+    char_doc = np.repeat(np.arange(n), np.diff(off))
+    inside = char_doc[:m] == char_doc[2 : m + 2]  # no trigram crosses the end of a document
+    char, char_doc = (code >> np.uint32(20)).astype(np.int64)[inside], char_doc[:m][inside]
     upper = (buf >= 65) & (buf <= 90)
     ups = np.concatenate([[0], np.cumsum(upper)])
     many = np.minimum(ups[ends] - ups[starts], 2)

@@ -205,6 +205,14 @@ def labelled(spark, tmp_path_factory):
     return str(path)
 
 
+def test_neighbour_terms_do_not_cross_documents():
+    def of(*texts):
+        return np.concatenate([neighbours.counts(buf, off) for _, _, buf, off in flat.chunks(pa.array(texts, pa.binary()))])
+
+    texts = [b"abc", b"x", b"", b"some longer text", b"yz"]
+    assert np.array_equal(of(*texts), np.concatenate([of(t) for t in texts]))
+
+
 def test_quality_rules(spark, docs, labelled, empty):
     d, labels = spark.read.parquet(f"{labelled}/documents.parquet"), spark.read.parquet(f"{labelled}/labels.parquet")
     model = quality_rules.fit(d, labels)
