@@ -29,10 +29,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset and all run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if current.isEmpty() and spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="shared-")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
@@ -47,6 +49,20 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STEADY = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "LocalRelation", "LogicalRDD", "Range"}
+
+
+def steady(docs: DataFrame) -> DataFrame:
+    """docs if it is a scan with projections and filters, whose rows keep their places when read again; else a stored copy."""
+    plans = [docs._jdf.queryExecution().analyzed()]
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName() not in _STEADY or not plan.deterministic():
+            return stored(docs, "rows")
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,13 +10,19 @@ context. Contexts are first counted by two independent 64-bit hashes:
 
 - a context that occurs twice is repeated as a whole, however many copies there are, and needs no array;
 - an anchor with several different contexts sends one copy of each to its shard, where an array over them
-  finds the windows they share;
+  (induced sorting, then permuted common prefixes) finds the windows they share;
 - anchors seen once have nothing to share.
 
 So only the surroundings of differences between copies are sorted, and a passage that a third of all
-documents repeats costs counts alone. Texts cross the network once, those with hits a second time.
-Null texts are empty; repeated rows are told apart by their place (docs should be a scan); columns beyond
-doc_id and text are ignored.
+documents repeats costs counts alone. An anchor with more than HOT different contexts would fill a task: its
+windows are dealt again by where in them the anchor stands, in runs of 64 places, then 8, then 1. All windows
+of such a run share the bytes around the anchor that the run's first and last window have in common, and
+these are the key of the next round, which counts and sorts what is still together. So no group holds more than
+HOT contexts, no document's text is sent for it twice, and shards of SHARD_BYTES bound a task's memory.
+
+Texts cross the network once, those with hits a second time. Null and empty texts give rows of zeros, and the
+digest of nothing; repeated rows are told apart by their place and all removed where they repeat; a document
+must fit a task's memory some forty times over; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,18 +36,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
-from .runtime import ship, stored, table
+from .runtime import ship, steady, stored, table
 from .suffix_array import repeated_starts
 
 U = np.uint64
 LENGTH, GRAM = 400, 32
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 19
+HOT = 512
+WIDE = U(0x9E3779B97F4A7C15)
 
 
 def least_places(g: np.ndarray, width: int) -> np.ndarray:
-    """For each window of `width` values the place of its least, leftmost one."""
-    bits = max(int(len(g)).bit_length(), 1)
-    key = (g >> U(bits) << U(bits)) | np.arange(len(g)).astype(U)
+    """For each window of `width` values the place of its least, leftmost one, by the upper 32 bits."""
+    key = (g >> U(32) << U(32)) | np.arange(len(g)).astype(U)
     rows = -(-len(key) // width)
     grid = np.full(rows * width, U(2**64 - 1))
     grid[: len(key)] = key
@@ -49,7 +56,13 @@ def least_places(g: np.ndarray, width: int) -> np.ndarray:
     upto = np.minimum.accumulate(grid, axis=1).ravel()
     onward = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     n = len(key) - width + 1
-    return (np.minimum(onward[:n], upto[width - 1 : width - 1 + n]) & U((1 << bits) - 1)).astype(np.int64)
+    return (np.minimum(onward[:n], upto[width - 1 : width - 1 + n]) & U(0xFFFFFFFF)).astype(np.int64)
+
+
+def _context(one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the bytes a..b and of where in them the anchor stands."""
+    ctx = flat.BYTES.spans(one, a, b) + before.astype(U) * WIDE
+    return flat.mix(ctx), flat.BYTES2.spans(two, a, b) ^ flat.mix(before.astype(U) + U(5))
 
 
 def anchors(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
@@ -70,10 +83,16 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
     # windows of one anchor follow each other, for least places never go back
     mine = best[begin]
     a, b = begin[np.searchsorted(mine, p, "left")], begin[np.searchsorted(mine, p, "right") - 1] + length
-    before = p - a
-    ctx = flat.BYTES.spans(one, a, b) + before.astype(U) * U(0x9E3779B97F4A7C15)
-    ctx2 = flat.BYTES2.spans(two, a, b) ^ flat.mix(before.astype(U) + U(5))
-    return doc, p - off[doc], before, b - p, flat.BYTES2.spans(two, p, p + gram), flat.mix(ctx), ctx2
+    return doc, p - off[doc], p - a, b - p, flat.BYTES2.spans(two, p, p + gram), *_context(one, two, a, b, p - a)
+
+
+ANCHOR_ROWS = "row long, anchor long, ctx long, ctx2 long, place long"
+KEY = ["anchor", "ctx", "ctx2"]
+
+
+def _packed(row: np.ndarray, p: np.ndarray, before: np.ndarray, after: np.ndarray, hashes) -> pa.RecordBatch:
+    """place packs the anchor's place, bytes before and bytes from it on."""
+    return pa.RecordBatch.from_arrays([pa.array(row), *(pa.array(h.view(np.int64)) for h in hashes), pa.array(p << 24 | before << 12 | after)], ["row", *KEY, "place"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -81,20 +100,48 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(row, anchor, ctx, ctx2, place): place packs the anchor's place, bytes before and bytes from it on."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column("row").to_numpy(zero_copy_only=False)
             for i, _, buf, off in flat.chunks(batch.column("text")):
                 doc, p, before, after, *hashes = anchors(buf, off, length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(row[i + doc]), *(pa.array(h.view(np.int64)) for h in hashes), pa.array(p << 24 | before << 12 | after)], ["row", "anchor", "ctx", "ctx2", "place"])
+                yield _packed(row[i + doc], p, before, after, hashes)
 
-    return _texts(docs).select("row", "text").mapInArrow(run, "row long, anchor long, ctx long, ctx2 long, place long")
+    return _texts(docs).select("row", "text").mapInArrow(run, ANCHOR_ROWS)
+
+
+def refined(contexts: DataFrame, length: int, gram: int, width: int) -> DataFrame:
+    """contexts (row, text, wanted: list of at (a, b) and p) -> anchor rows of runs of `width` windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, lists = batch.column("row").to_numpy(zero_copy_only=False), batch.column("wanted")
+            for i, j, buf, off in flat.chunks(batch.column("text")):
+                some = lists.slice(i, j - i)
+                item, n = some.flatten(), np.diff(some.offsets.to_numpy())
+                doc = np.repeat(np.arange(j - i), n)
+                p, at = item.field("p").to_numpy(), item.field("at")
+                # in how many places of the window the anchor stands, least and most
+                least, most = p - (at.field("b").to_numpy() - length), p - at.field("a").to_numpy()
+                runs = most // width - least // width + 1
+                pick = np.repeat(np.arange(len(p)), runs)
+                k = np.arange(len(pick)) - np.repeat(np.cumsum(runs) - runs, runs) + (least // width)[pick]
+                lo, hi = np.maximum(least[pick], k * width), np.minimum(most[pick], k * width + width - 1)
+                place, base = p[pick], off[doc[pick]]
+                q = place + base
+                one, two = flat.BYTES.prefix(buf), flat.BYTES2.prefix(buf)
+                common = flat.BYTES2.spans(two, q - k * width, q - np.minimum(k * width + width - 1, length - gram) + length)
+                key = flat.mix(common + k.astype(U) * WIDE + U(width))
+                yield _packed(rows[i + doc[pick]], place, hi, length - lo, (key, *_context(one, two, q - hi, q - lo + length, hi)))
+
+    return contexts.select("row", "text", "wanted").mapInArrow(run, ANCHOR_ROWS)
+
+
+SPAN = "row long, a int, b int"
 
 
 def shared_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """contexts (anchor, ctx, ctx2, bytes) -> (anchor, ctx, ctx2, spans): byte spans that another context of the anchor repeats."""
+    """contexts (anchor, row, a, bytes) -> (row, a, b): what another context of the anchor repeats, as spans of the row's text."""
     ordered = contexts.repartition("anchor").sortWithinPartitions("anchor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,20 +149,18 @@ def shared_spans(contexts: DataFrame, length: int) -> DataFrame:
         size = 0
 
         def done() -> pa.RecordBatch:
-            parts = [h[3] for h in held]
-            mark = repeated_starts(parts, length)
-            edges = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            rows = []
-            for k, h in enumerate(held):
-                s = np.flatnonzero(mark[edges[k] : edges[k + 1]])
-                if len(s):
-                    cut = np.flatnonzero(np.diff(s) > length) + 1
-                    lo, hi = s[np.concatenate([[0], cut])], s[np.concatenate([cut - 1, [len(s) - 1]])] + length
-                    rows.append({"anchor": h[0], "ctx": h[1], "ctx2": h[2], "spans": [{"a": int(a), "b": int(b)} for a, b in zip(lo, hi, strict=True)]})
-            return pa.RecordBatch.from_pylist(rows, pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("ctx2", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))]))
+            mark = repeated_starts([h[3] for h in held], length)
+            edges = np.concatenate([[0], np.cumsum([len(h[3]) for h in held])])
+            s = np.flatnonzero(mark)
+            part = np.searchsorted(edges, s, "right") - 1
+            first = np.flatnonzero(np.concatenate([np.ones(min(len(s), 1), bool), (np.diff(s) > length) | (np.diff(part) > 0)]))
+            last = np.append(first[1:], len(s)) - 1 if len(first) else first
+            of = part[first]
+            row, a = np.array([h[1] for h in held], np.int64)[of], np.array([h[2] for h in held], np.int64)[of] - edges[of]
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.array((s[first] + a).astype(np.int32)), pa.array((s[last] + a + length).astype(np.int32))], ["row", "a", "b"])
 
         for batch in batches:
-            for r in zip(*(batch.column(k).to_pylist() for k in ("anchor", "ctx", "ctx2", "bytes")), strict=True):
+            for r in zip(*(batch.column(k).to_pylist() for k in ("anchor", "row", "a", "bytes")), strict=True):
                 if size >= SHARD_BYTES and r[0] != held[-1][0]:
                     yield done()
                     held, size = [], 0
@@ -124,35 +169,52 @@ def shared_spans(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield done()
 
-    return ordered.mapInArrow(run, "anchor long, ctx long, ctx2 long, spans array<struct<a:int,b:int>>")
-
-
-KEY = ["anchor", "ctx", "ctx2"]
+    return ordered.mapInArrow(run, SPAN)
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row for each input row: doc_id, n_bytes, n_removed, n_spans, kept (bytes)."""
-    ship(docs.sparkSession)
-    found = _anchor_rows(docs, length, gram)
-    groups = found.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("row").alias("first"))
-    groups = stored(groups, "contexts")
+def _hits(found: DataFrame) -> DataFrame:
+    """Anchor rows of anchors that occur twice, with a, b, p, n (times the context occurs), kinds (contexts of the anchor) and first."""
+    groups = stored(found.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("row").alias("first")), "contexts")
     more = groups.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1")
     known = stored(groups.join(more.drop("all"), "anchor"), "repeated")
-    hits = stored(found.join(known, KEY), "hits")
     place, before, after = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(4095), F.col("place").bitwiseAND(4095)
-    hits_at = hits.withColumn("a", (place - before).cast("int")).withColumn("b", (place + after).cast("int"))
-
-    # one copy of each context of an anchor that has several, with its bytes
-    wanted = hits_at.where("kinds > 1 and row = first").groupBy(*KEY, "row").agg(F.min(F.struct("a", "b")).alias("at"))
-    by_row = wanted.groupBy("row").agg(F.collect_list(F.struct(*KEY, "at")).alias("wanted"))  # within one document
-    touched_rows = hits.select("row").distinct()
-    marks = touched_rows.join(by_row, "row", "left").withColumn("touched", F.lit(True))
-    texts = _texts(docs).join(marks, "row", "left")
-    split = stored(texts.select("row", "doc_id", F.length("text").cast("long").alias("n_bytes"), F.when(F.col("touched"), F.col("text")).alias("text"), F.when(F.col("touched").isNull(), F.sha2("text", 256)).alias("whole_sha256"), "wanted"), "split")
-    pieces = split.where("wanted is not null").select("text", F.explode("wanted").alias("w")).select(*(F.col(f"w.{k}").alias(k) for k in KEY), F.expr("substring(text, w.at.a + 1, w.at.b - w.at.a)").alias("bytes"))
-    shared = stored(shared_spans(pieces, length), "shared")
-    spans = hits_at.where("n > 1").select("row", "a", "b").union(hits_at.where("n = 1 and kinds > 1").join(shared, KEY).select("row", "a", F.explode("spans").alias("s")).select("row", (F.col("a") + F.col("s.a")).alias("a"), (F.col("a") + F.col("s.b")).alias("b")))
-    by_doc = spans.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # within one document
+    return stored(found.join(known, KEY).select("row", *KEY, "n", "kinds", "first", place.alias("p"), (place - before).cast("int").alias("a"), (place + after).cast("int").alias("b")), "hits")
+
+
+def _wanted(hits: DataFrame) -> DataFrame:
+    """(row, wanted): by document, one copy of each context of the anchors that have several."""
+    one = hits.where("kinds > 1 and row = first").groupBy(*KEY, "row", "kinds").agg(F.min(F.struct("a", "b", "p")).alias("m"))
+    item = F.struct("anchor", "kinds", F.struct("m.a", "m.b").alias("at"), F.col("m.p").alias("p"))
+    return one.groupBy("row").agg(F.collect_list(item).alias("wanted"))  # within one document
+
+
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """One row for each input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    if not 0 < gram <= length < 2048:
+        raise ValueError("lengths are packed into 12 bits: 0 < gram <= length < 2048")
+    spark = docs.sparkSession
+    ship(spark)
+    docs = steady(docs)
+    hits = _hits(stored(_anchor_rows(docs, length, gram), "anchors"))
+    marks = hits.select("row").distinct().join(_wanted(hits), "row", "left").withColumn("touched", F.lit(True))
+    split = _texts(docs).join(marks, "row", "left")
+    split = stored(split.select("row", "doc_id", F.length("text").cast("long").alias("n_bytes"), F.when(F.col("touched"), F.col("text")).alias("text"), F.when(F.col("touched").isNull(), F.sha2("text", 256)).alias("whole_sha256"), "wanted"), "split")
+    wanted, spans = split.where("wanted is not null").select("row", "text", "wanted"), []
+    widths = [w for w in (512, 64, 8, 1) if 4 * w < length - gram + 1]
+    while True:
+        spans.append(hits.where("n > 1").select("row", "a", "b"))
+        pieces = wanted.select("row", "text", F.explode(F.filter("wanted", lambda w: w.kinds <= hot)).alias("w"))
+        pieces = pieces.select("w.anchor", "row", F.col("w.at.a").alias("a"), F.expr("substring(text, w.at.a + 1, w.at.b - w.at.a)").alias("bytes"))
+        spans.append(stored(shared_spans(pieces, length), "shared"))
+        crowded = wanted.withColumn("wanted", F.filter("wanted", lambda w: w.kinds > hot)).where("size(wanted) > 0")
+        if not widths or hits.where(F.col("kinds") > hot).isEmpty():
+            break
+        hits = _hits(stored(refined(crowded, length, gram, widths.pop(0)), "anchors"))
+        wanted = split.select("row", "text").join(_wanted(hits), "row")
+    every = spans[0]
+    for x in spans[1:]:
+        every = every.union(x)
+    by_doc = every.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # within one document
     left = split.where("text is not null").select("row", "doc_id", "n_bytes", "text").join(by_doc, "row", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
