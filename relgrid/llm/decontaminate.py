@@ -6,7 +6,9 @@ and items keep the minimum 7-gram hash of each 7 consecutive 7-grams, so any sha
 a kept fingerprint at the same place in both; hits on fingerprints are extended word by word to the whole
 shared run, and runs of 13 words or more mark the document's words. Items shorter than 13 words are found
 by the hash of their whole text at every place of a document. Null texts, and texts without words, have
-no words and no hits. Repeated rows are judged row by row; extra columns are ignored.
+no words and no hits. Repeated rows are judged row by row; extra columns are ignored. Items of one item_id count
+as one; those with a null item_id mark words like others and count as one item without a name, which the digest
+of names leaves out. Of empty tables nothing is found.
 
 The benchmark's index is broadcast in blocks of at most `block_words` words (a fixed size); a benchmark
 beyond one block takes one pass over the documents for each block, and the passes are added up by row.
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
-from .runtime import ship, table
+from .runtime import hidden, mapped, ship, steady, table
 
 U = np.uint64
 WINDOW, GRAM, WINNOW = 13, 7, 7  # GRAM + WINNOW - 1 == WINDOW: every shared window holds a kept fingerprint
@@ -123,8 +125,6 @@ def _blocks(bench: DataFrame, block_words: int) -> Iterator[Index]:
     """Blocks of whole items; rows arrive one partition at a time, so the driver holds one block."""
     ids, texts, size = [], [], 0
     for r in bench.select(F.col("item_id").cast("string").alias("i"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t")).toLocalIterator():
-        if r["i"] is None:
-            continue
         ids.append(r["i"])
         texts.append(bytes(r["t"]))
         size += len(texts[-1]) // 2 + 1
@@ -135,10 +135,10 @@ def _blocks(bench: DataFrame, block_words: int) -> Iterator[Index]:
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row for each input row: doc_id, n_words, n_hit, item_ids (distinct, sorted as strings)."""
+    """One row for each input row: doc_id, n_words, n_hit, item_ids (distinct, sorted as strings, a null last)."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = steady(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     passes = []
     for index in _blocks(bench, block_words):
         shared = spark.sparkContext.broadcast(index)  # at most block_words words
@@ -159,7 +159,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, *, block_words: int =
                     bits = [np.packbits(mask[bounds[d] : bounds[d + 1]]).tobytes() if hit[d] else b"" for d in range(b - a)]
                     yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(np.diff(bounds)), pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string()))], ["row", "doc_id", "n_words", "hits", "item_ids"])
 
-        passes.append(rows.mapInArrow(run, SCHEMA))
+        passes.append(mapped(rows, run, SCHEMA))
     if len(passes) == 1:
         found = passes[0]
         return found.select("row", "doc_id", "n_words", _ones("hits").alias("n_hit"), F.array_sort(F.array_distinct("item_ids")).alias("item_ids"))
@@ -181,7 +181,7 @@ def _ones(col: str):
 def _merge(part: pa.Table) -> pa.Table:
     masks = [np.frombuffer(x, np.uint8) for x in part["hits"].to_pylist() if x]
     n_hit = int(np.unpackbits(np.bitwise_or.reduce(masks)).sum()) if masks else 0
-    names = sorted({x for xs in part["item_ids"].to_pylist() for x in xs})
+    names = sorted({x for xs in part["item_ids"].to_pylist() for x in xs}, key=lambda x: (x is None, x))
     return pa.table({"row": part["row"][:1], "doc_id": part["doc_id"][:1], "n_words": part["n_words"][:1], "n_hit": pa.array([n_hit], pa.int64()), "item_ids": pa.array([names], pa.list_(pa.string()))})
 
 
@@ -191,7 +191,7 @@ def contaminated():
 
 
 def clean(docs: DataFrame, bench: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents that are not contaminated, with all their columns; docs should be a scan.
+    """The documents that are not contaminated, with all their columns.
 
     A benchmark of one block is judged where the documents are read; beyond it the rows found are taken out by a join.
     """
@@ -199,9 +199,9 @@ def clean(docs: DataFrame, bench: DataFrame, *, block_words: int = BLOCK_WORDS)
     blocks = _blocks(bench, block_words)
     first, second = next(blocks), next(blocks, None)
     if second is not None:
-        bad = find_contamination(docs, bench, block_words=block_words).where(contaminated()).select(F.col("row").alias("__row"))
-        marked = docs.withColumn("__row", F.monotonically_increasing_id())
-        return marked.join(bad, "__row", "left_anti").drop("__row")
+        docs, name = steady(docs), hidden(docs, "__row")
+        bad = find_contamination(docs, bench, block_words=block_words).where(contaminated()).select(F.col("row").alias(name))
+        return docs.withColumn(name, F.monotonically_increasing_id()).join(bad, name, "left_anti").select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +214,7 @@ def clean(docs: DataFrame, bench: DataFrame, *, block_words: int = BLOCK_WORDS)
                 keep.append(~((n > 0) & (20 * n >= np.diff(bounds))))
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +248,7 @@ def brute_force(docs: list[tuple], bench: list[tuple]) -> dict:
         w = split(text)
         size = min(len(w), WINDOW)
         for i in range(len(w) - size + 1 if size else 0):
-            windows.setdefault(tuple(w[i : i + size]), set()).add(str(item))
+            windows.setdefault(tuple(w[i : i + size]), set()).add(item if item is None else str(item))
     sizes, out = {len(k) for k in windows}, {}
     for doc, text in docs:
         w, hit, items = split(text), set(), set()
@@ -257,6 +257,6 @@ def brute_force(docs: list[tuple], bench: list[tuple]) -> dict:
                 if found := windows.get(tuple(w[i : i + n])):
                     hit.update(range(i, i + n))
                     items |= found
-        names = ",".join(sorted(items))
+        names = ",".join(sorted(x for x in items if x is not None))
         out[doc] = (len(w), len(hit), len(items), hashlib.sha256(names.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
     return out

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import flat
-from .runtime import ship, stored, table
+from .runtime import mapped, steady, stored, table
 
 BLOCKS, SEED = 4096, 20240
 TARGET_ENTROPY, MAX_REPEATS = 0.98, 4.0
@@ -36,7 +36,6 @@ BROADCAST_ROWS = 250_000
 
 def measured(docs: DataFrame) -> DataFrame:
     """(row, doc_id, source, n_tokens): tokens are words between ASCII white space."""
-    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,7 +43,7 @@ def measured(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("source"), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], ["row", "doc_id", "source", "n_tokens"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, source string, n_tokens long")
+    return mapped(rows, run, "row long, doc_id long, source string, n_tokens long")
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -121,6 +120,7 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as the mixture takes it."""
+    docs = steady(docs)
     _, decisions = decide(docs, **options)
     # the document travels as one column, so its columns' names cannot clash with ours
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.monotonically_increasing_id().alias("row"))

@@ -5,7 +5,7 @@ whether it repeats the word before), all from the text alone. A bounded sample o
 weights (inverse document frequency) and a truncated singular value decomposition; its documents' latent
 vectors and labels are what is broadcast, whatever the size of the input. Every document is projected and
 compared with all labelled vectors by blocked matrix products; the `k` nearest vote with their similarity
-to the power `sharpness`. A text without terms gets the sample's share of label 1, as does every text when
+to the power `sharpness` (of equally near ones at the k-th place, those that partial sorting leaves). A text without terms gets the sample's share of label 1, as does every text when
 nothing is labelled. Null texts count as empty; rows are scored one by one, repeated ones alike; extra
 columns, lang and source among them, are not read.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
-from .runtime import id_crc, ship, table
+from .runtime import hidden, id_crc, mapped, table
 from .sample import labelled_sample
 
 U = np.uint64
@@ -88,7 +88,6 @@ def truncated_svd(x: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, *, where=None, limit: int = SAMPLE_ROWS) -> Model:
     """Fit on at most `limit` labelled rows of label column quality; `where` restricts them by doc_id."""
-    ship(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, where=None, limit: int = SAMPLE_R
 
     # only terms that occur travel: a tenth of the dense rows
     sample = labelled_sample(docs, labels, "quality", limit, where).select("label", F.col("text").cast("binary").alias("text"))
-    got = sample.mapInArrow(rows, "label int, cols binary, vals binary").collect()
+    got = mapped(sample, rows, "label int, cols binary, vals binary").collect()
     got.sort(key=lambda r: (r["cols"], r["vals"], r["label"]))
     y = np.array([r["label"] for r in got], np.float32)
     if not len(y):
@@ -135,20 +134,19 @@ def vote(z: np.ndarray, m: Model, k: int = NEIGHBOURS, sharpness: float = SHARPN
 
 def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """The kept columns and the score under `name`, one row for each input row."""
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM x LATENT and sample x LATENT numbers
+    shared, source = docs.sparkSession.sparkContext.broadcast(model), hidden(docs, "__text")  # DIM x LATENT and sample x LATENT numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for a, b, buf, off in flat.chunks(batch.column("__text")):
+            for a, b, buf, off in flat.chunks(batch.column(source)):
                 p = [vote(project(counts(buf[off[i] : off[j]], off[i : j + 1] - off[i]), m.weights), m) for i, j in ((i, min(i + BLOCK_ROWS, b - a)) for i in range(0, b - a, BLOCK_ROWS))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in keep), pa.array(np.concatenate(p))], [*keep, name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     schema = StructType([*(docs.schema[c] for c in keep), StructField(name, DoubleType())])
-    return docs.select(*keep, F.col("text").cast("binary").alias("__text")).mapInArrow(run, schema)
+    return mapped(docs.select(*keep, F.col("text").cast("binary").alias(source)), run, schema)
 
 
 def trained_on():
@@ -164,5 +162,5 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
     """Documents whose score reaches the threshold, with all their columns."""
-    model = fit(docs, labels, where=trained_on())
-    return score(docs, model, keep=tuple(docs.columns), name="__score").where(F.col("__score") >= threshold).drop("__score")
+    model, name = fit(docs, labels, where=trained_on()), hidden(docs, "__score")
+    return score(docs, model, keep=tuple(docs.columns), name=name).where(F.col(name) >= threshold).select(*docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import flat
 from .linear import Sparse, fit_logistic, fit_platt, sigmoid
-from .runtime import ship, table
+from .runtime import mapped, table
 from .sample import labelled_sample
 
 U = np.uint64
@@ -94,9 +94,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, limit: int = SAMPLE_ROWS) -> Mode
 
     Without both labels in the sample the model keeps everything.
     """
-    ship(docs.sparkSession)
     rows = labelled_sample(docs, labels, "quality", limit).select("label", F.col("text").cast("binary").alias("text"))
-    got = rows.mapInArrow(_sparse_rows, "label int, cols binary, vals binary").collect()
+    got = mapped(rows, _sparse_rows, "label int, cols binary, vals binary").collect()
     got.sort(key=lambda r: (r["cols"], r["vals"], r["label"]))
     y = np.array([r["label"] for r in got], float)
     if len(set(y.tolist())) < 2 or len(y) < 8:
@@ -144,7 +143,6 @@ SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_fail
 
 def apply_rules(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each input row: counts, the rules' verdict and the model's calibrated probability."""
-    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH weights, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +157,7 @@ def apply_rules(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(s[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array(~failed & (p >= threshold)), pa.array(p)], ["doc_id", *COUNTS, "base_failed", "kept", "quality_probability"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return mapped(rows, run, SCHEMA)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import flat
 from .linear import Sparse, fit_ordinal, sigmoid
-from .runtime import ship, table
+from .runtime import mapped, table
 from .sample import labelled_sample
 
 U = np.uint64
@@ -54,7 +54,6 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, limit: int = SAMPLE_ROWS, where=None) -> Model:
-    ship(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,7 +65,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, limit: int = SAMPLE_ROWS, where=N
                 out += [((u[a:b] & ((1 << BITS) - 1)).astype(np.int32).tobytes(), np.log1p(n[a:b]).astype(np.float32).tobytes()) for a, b in zip(edge[:-1], edge[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["label", "cols", "vals"])
 
-    got = labelled_sample(docs, labels, "toxic", limit, where).select("label", F.col("text").cast("binary").alias("text")).mapInArrow(rows, "label int, cols binary, vals binary").collect()
+    sample = labelled_sample(docs, labels, "toxic", limit, where).select("label", F.col("text").cast("binary").alias("text"))
+    got = mapped(sample, rows, "label int, cols binary, vals binary").collect()
     got.sort(key=lambda r: (r["cols"], r["vals"], r["label"]))
     column = np.full(1 << BITS, -1, np.int32)
     y = np.array([r["label"] > 0 for r in got], bool)
@@ -96,7 +96,6 @@ SCHEMA = "doc_id long, score double, expected_severity double, grade int, toxic
 
 
 def grade(docs: DataFrame, model: Model) -> DataFrame:
-    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS term numbers and at most MAX_TERMS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +111,7 @@ def grade(docs: DataFrame, model: Model) -> DataFrame:
                 p = -np.diff(np.concatenate([np.ones((b - a, 1)), above, np.zeros((b - a, 1))], 1), axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(above[:, 0]), pa.array(above.sum(1)), pa.array(p.argmax(1).astype(np.int32)), pa.array(above[:, 0] >= 0.5)], ["doc_id", "score", "expected_severity", "grade", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SCHEMA)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, SCHEMA)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
