@@ -9,14 +9,15 @@ independent, so a reader takes the footer, the table and then only the frames of
                for each document  i64 doc_id (nulls: the least value), u64 first id in the shard, u64 ids
                footer             u64 table offset, u32 frames, u32 documents, u8 bytes an id, u32 CRC-32 of the table, 4 bytes "RGTS"
 
-A document may run over several frames. A null text is empty and gets the end id alone; rows with equal
-ids are all kept, in the order of their texts; extra columns are ignored. Shards are written by the tasks
+A document may run over several frames. A null text is empty and gets the end id alone; rows with equal or
+null ids (which come first) are all kept, in the order of a hash of their texts, so that they need not meet in
+one task; an empty table gives no files and no rows; extra columns are ignored. Shards are written by the tasks
 straight into the shared folder under names of their own, and count only once their row is in the
 manifest, so a lost or repeated task leaves at most an unused file.
 
 Ids come from the tokenizers library. Pieces between white space, and between ASCII punctuation and
 letters, never influence each other in this tokenizer (see `Encoder`), so each distinct piece is encoded
-once and remembered; texts holding added tokens are encoded whole.
+once and remembered until a task ends; texts holding added tokens are encoded whole.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import flat
-from .runtime import shared_dir, ship, stored, table, tokenizer_file
+from .runtime import mapped, shared_dir, stored, table, tokenizer_file
 
 U = np.uint64
 END_ID = 2
@@ -158,7 +159,7 @@ class Encoder:
     tokenizer and ends with an end-of-word id, which lets many be encoded in one call.
     """
 
-    LIMIT, SLOTS = 1_000_000, 1 << 20
+    LIMIT, SLOTS = 1 << 18, 1 << 18
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -293,11 +294,9 @@ def encoder(path: str) -> Encoder:
 
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Write all documents as shards in ascending doc_id order; returns the manifest (stored), one row a shard."""
-    spark = docs.sparkSession
-    ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     # the raw texts are dealt out by range, not the ids: sampling for the ranges then costs a scan, not an encoding
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("mark", F.xxhash64("text")).repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").drop("mark")
     fs, at = filesystem(folder)
     fs.create_dir(at, recursive=True)
 
@@ -322,16 +321,16 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int =
                         writer, n = None, n + 1
         if writer is not None:
             close()
+        encoder.cache_clear()
         yield pa.RecordBatch.from_pylist([dict(zip(("path", "part", "piece", "n_docs", "n_ids"), x, strict=True)) for x in done], pa.schema([("path", pa.string()), ("part", pa.int32()), ("piece", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    return stored(rows.mapInArrow(run, "path string, part int, piece int, n_docs long, n_ids long"), "token-manifest")
+    return stored(mapped(rows, run, "path string, part int, piece int, n_docs long, n_ids long"), "token-manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document, from the files."""
-    ship(manifest.sparkSession)
     order = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
-    placed = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).select("path", "base").repartition("path")
+    placed = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).select("path", "base").repartition(max(manifest.count(), 1))  # a task for each shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,7 +341,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     ids = [r.ids(at + i) for i in range(len(some))]
                     yield pa.RecordBatch.from_arrays([pa.array(some["doc_id"], mask=some["doc_id"] == NO_ID), pa.array(some["first"].astype(np.int64) + base), pa.array(some["n"].astype(np.int64)), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(placed, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(paths: Iterable[str], doc_ids: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
