@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import stored
+from .runtime import forget, stored
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -38,5 +38,6 @@ def components(links: DataFrame) -> DataFrame:
         before = now
         if not now[0]:
             break
-        edges = stored(_small_star(_large_star(edges)), "links")
+        old, edges = edges, stored(_small_star(_large_star(edges)), "links")
+        forget(old)
     return stored(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct(), "components")

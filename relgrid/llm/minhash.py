@@ -32,12 +32,13 @@ from pyspark.sql import functions as F
 
 from . import flat
 from .components import components
-from .runtime import ship, stored, table
+from .runtime import hidden, mapped, ship, steady, stored, table
 
 U = np.uint64
 ROWS, MISS = 5, 1e-7
 PER_SALT = BLOCK = 256
-FILTER_BITS = 1 << 23
+WIDTH = 1 << 16  # elements of a centre that a block of members is multiplied over at a time
+FILTER_BITS, FILTER_ROWS = 1 << 26, 1 << 22
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -113,19 +114,25 @@ def sketches(docs: DataFrame, width: int, n_bands: int, rows: int = ROWS) -> Dat
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * n_bands), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(np.diff(bounds)), pa.array(sig[0]), pa.array(sig[1]), lists], ["row", "doc_id", "n_shingles", "sig_a", "sig_b", "bands"])
 
-    return _texts(docs).mapInArrow(run, "row long, doc_id long, n_shingles long, sig_a long, sig_b long, bands array<long>")
+    return mapped(_texts(docs), run, "row long, doc_id long, n_shingles long, sig_a long, sig_b long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """(row, set) of the given rows, and by chance of some others: ascending 64-bit shingle hashes, as bytes.
 
-    The rows are found where texts are read, by a filter of FILTER_BITS bits whatever their number, so no text
-    is shuffled; the more rows, the more others come along.
+    Up to FILTER_ROWS rows are found where texts are read, by a filter of 16 bits a row and FILTER_BITS at most, so
+    no text is shuffled, and about one other in sixteen comes along; more rows are met by a join.
     """
-    slot = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
-    masks = rows.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).collect()  # FILTER_BITS / 64 rows at most
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[[m["word"] for m in masks]] = [m["bits"] for m in masks]
+    n = rows.count()
+    size = min(max(1 << (16 * n).bit_length(), 64), FILTER_BITS)
+    slot = F.pmod(F.xxhash64("row"), F.lit(size))
+    texts = _texts(docs)
+    if n > FILTER_ROWS:
+        texts, bits = texts.join(rows, "row", "left_semi"), np.full(size // 64, -1)
+    else:
+        masks = rows.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()  # size / 64 rows at most
+        bits = np.zeros(size // 64, np.int64)
+        bits[masks["word"].to_numpy()] = masks["bits"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +144,7 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((bounds * 8).astype(np.int64).tobytes()), pa.py_buffer(h.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), raw.cast(pa.binary())], ["row", "set"])
 
-    return _texts(docs).select("row", slot.alias("slot"), "text").mapInArrow(run, "row long, set binary")
+    return mapped(texts.select("row", slot.alias("slot"), "text"), run, "row long, set binary")
 
 
 def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -164,7 +171,7 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 extra.append(x[~shared].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(both, pa.int64()), pa.array(whole, pa.int64()), pa.array(bits, pa.binary()), pa.array(extra, pa.binary())], ["u", "v", "both", "all", "bits", "extra"])
 
-    return left.join(right, ["v", "salt"]).select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long, both long, all long, bits binary, extra binary")
+    return mapped(left.join(right, ["v", "salt"]).select("u", "v", "set_u", "set_v"), run, "u long, v long, both long, all long, bits binary, extra binary")
 
 
 def missing_links(star: DataFrame, percent: int) -> DataFrame:
@@ -190,8 +197,11 @@ def missing_links(star: DataFrame, percent: int) -> DataFrame:
         extra = [np.frombuffer(x.as_buffer(), U) for x in flat.as_binary(group["extra"])]
         size = both + np.array([len(x) for x in extra])
         xs, ys = np.flatnonzero(probe), np.flatnonzero(~probe)
-        held = np.stack([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8)) for x in flat.as_binary(group["bits"])]).astype(np.float32)
-        inside = np.rint(held[xs] @ held[ys].T).astype(np.int64)  # counts below 2**24 are exact
+        packed = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in flat.as_binary(group["bits"])])
+        inside = np.zeros((len(xs), len(ys)), np.int64)
+        for at in range(0, packed.shape[1], WIDTH // 8):
+            held = np.unpackbits(packed[:, at : at + WIDTH // 8], axis=1).astype(np.float32)
+            inside += np.rint(held[xs] @ held[ys].T).astype(np.int64)  # counts below 2**24 are exact
         values = np.concatenate([np.zeros(0, U), *(extra[y] for y in ys)])
         owner = np.repeat(np.arange(len(ys)), [len(extra[y]) for y in ys])
         order = np.argsort(values, kind="stable")
@@ -208,16 +218,18 @@ def missing_links(star: DataFrame, percent: int) -> DataFrame:
             found += [(int(u[x]), int(u[ys[h]])) for h in hit[first]]
         return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
 
-    return probes.unionByName(members).groupBy("v", "i", "j").applyInArrow(run, "u long, v long").distinct()
+    # dealt by block, for blocks of one centre would otherwise stay where its rows have met
+    return probes.unionByName(members).repartition("v", "i", "j").groupBy("v", "i", "j").applyInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """One row for each input row: row, doc_id, n_shingles, component (a row of its group), component_id (least
     doc_id of its group).
 
-    docs should be a table or file scan: it is read twice and rows are known by their place.
+    Rows are known by their place and read twice, so what is not a plain scan is stored first.
     """
     ship(docs.sparkSession)
+    docs = steady(docs)
     known = stored(sketches(docs, width, bands_for(percent / 100, rows, miss), rows), "sketches")
     classes = known.where("n_shingles > 0").groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"))
     classes = stored(classes, "classes")
@@ -266,9 +278,10 @@ FROM (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) LEFT JOI
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each group of near duplicates, that of least id, and of equal ids the first row; null ids come last."""
+    docs, name = steady(docs), hidden(docs, "__row")
     found = near_duplicates(docs, **options).select("row", "component", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("order"))
-    kept = found.groupBy("component").agg(F.min("order").alias("order")).select(F.col("order.row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    kept = found.groupBy("component").agg(F.min("order").alias("order")).select(F.col("order.row").alias(name))
+    return docs.withColumn(name, F.monotonically_increasing_id()).join(kept, name, "left_semi").select(*docs.columns)
 
 
 def brute_force(docs: list[tuple], width: int, percent: int) -> dict:
