@@ -18,7 +18,7 @@ documents repeats costs counts alone. An anchor with more than HOT different con
 windows are dealt again by where in them the anchor stands, in runs of 64 places, then 8, then 1. All windows
 of such a run share the bytes around the anchor that the run's first and last window have in common, and
 these are the key of the next round, which counts and sorts what is still together. So no group holds more than
-HOT contexts, no document's text is sent for it twice, and shards of SHARD_BYTES bound a task's memory.
+HOT contexts, which bounds a task's memory, as do shards of about SHARD_BYTES.
 
 Texts cross the network once, those with hits a second time. Null and empty texts give rows of zeros, and the
 digest of nothing; repeated rows are told apart by their place and all removed where they repeat; a document
@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
-from .runtime import ship, steady, stored, table
+from .runtime import forget, mapped, ship, steady, stored, table
 from .suffix_array import repeated_starts
 
 U = np.uint64
 LENGTH, GRAM = 400, 32
 SHARD_BYTES = 1 << 19
-HOT = 512
+HOT = 2048
 WIDE = U(0x9E3779B97F4A7C15)
 
 
@@ -107,7 +107,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 doc, p, before, after, *hashes = anchors(buf, off, length, gram)
                 yield _packed(row[i + doc], p, before, after, hashes)
 
-    return _texts(docs).select("row", "text").mapInArrow(run, ANCHOR_ROWS)
+    return mapped(_texts(docs).select("row", "text"), run, ANCHOR_ROWS)
 
 
 def refined(contexts: DataFrame, length: int, gram: int, width: int) -> DataFrame:
@@ -134,7 +134,7 @@ def refined(contexts: DataFrame, length: int, gram: int, width: int) -> DataFram
                 key = flat.mix(common + k.astype(U) * WIDE + U(width))
                 yield _packed(rows[i + doc[pick]], place, hi, length - lo, (key, *_context(one, two, q - hi, q - lo + length, hi)))
 
-    return contexts.select("row", "text", "wanted").mapInArrow(run, ANCHOR_ROWS)
+    return mapped(contexts.select("row", "text", "wanted"), run, ANCHOR_ROWS)
 
 
 SPAN = "row long, a int, b int"
@@ -169,16 +169,19 @@ def shared_spans(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield done()
 
-    return ordered.mapInArrow(run, SPAN)
+    return mapped(ordered, run, SPAN)
 
 
 def _hits(found: DataFrame) -> DataFrame:
-    """Anchor rows of anchors that occur twice, with a, b, p, n (times the context occurs), kinds (contexts of the anchor) and first."""
+    """Of the stored anchor rows those of anchors that occur twice, with a, b, p, n (times the context occurs), kinds
+    (contexts of the anchor) and first; the rest is deleted."""
     groups = stored(found.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("row").alias("first")), "contexts")
     more = groups.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1")
     known = stored(groups.join(more.drop("all"), "anchor"), "repeated")
     place, before, after = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(4095), F.col("place").bitwiseAND(4095)
-    return stored(found.join(known, KEY).select("row", *KEY, "n", "kinds", "first", place.alias("p"), (place - before).cast("int").alias("a"), (place + after).cast("int").alias("b")), "hits")
+    hits = stored(found.join(known, KEY).select("row", *KEY, "n", "kinds", "first", place.alias("p"), (place - before).cast("int").alias("a"), (place + after).cast("int").alias("b")), "hits")
+    forget(found, groups, known)
+    return hits
 
 
 def _wanted(hits: DataFrame) -> DataFrame:
@@ -232,7 +235,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, h
                 digest.append(hashlib.sha256(raw[~gone].tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    out = left.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = mapped(left, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     rest = split.where("text is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("whole_sha256").alias("kept_sha256"))
     return out.union(rest)
 
