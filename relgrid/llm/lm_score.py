@@ -4,29 +4,35 @@ Tokens are words (runs of characters other than ASCII white space, A-Z lower-cas
 document; a null text counts as empty and has the end token alone. Words are known by 64-bit hashes.
 
 Corpus counts come first and cover every training document: partial sums by task, then one aggregation by
-word. The most frequent words are classes of their own; every other word belongs to a class of words that
-end alike. The neural model predicts classes: the vectors of the two words before, each through its own
-matrix, add up to a predicted vector, whose products with the output vectors (plus biases) are the logits. A
-word's vector is that of its class plus, for every HEAD word of a shared class, one of its own. Inside a class
-the predicted vector decides at the nodes of a Huffman tree over its HEAD words and one leaf for the rest, so
-probabilities sum to one without normalisers; without context they would be (c + 1) / (N_class + V_class + 1).
-The words of the rest share its leaf by (c + 1) / (N_rest + V_rest + 1), unseen words together being one more.
-The number of own vectors and nodes grows with the corpus' distinct words up to HEAD. Each task trains a copy by noise-contrastive estimation on all its training documents; the copies'
-averages, weighted by tokens (rows of words and nodes by their own uses), start the next round. For scoring,
-matrix products give exact normalisers, over all pairs of context classes or token by token where a word
-before has an own vector, so class probabilities sum to one.
-
-What is broadcast has bounded sizes: the HEAD most frequent words with counts, vectors and tree nodes, and
-tables over pairs of classes. Words beyond HEAD meet their counts in a join; none of them is frequent, so no key is hot.
-Rows are told apart by place; repeated rows are scored each, a null doc_id counts as the empty text in
-crc32, extra columns are ignored, and without training documents all probabilities are uniform.
+word. The HEAD most frequent words (of equally frequent ones at the cut, those of the smallest hashes' rests)
+have vectors. The OWN most frequent ones are classes of their own; every other word belongs to a shared class
+of words that end alike, and an ending has as many classes as it takes to keep them at about GROUP head words,
+so classes, vectors and counts all grow with the corpus' distinct words.
+
+The model is log-bilinear twice. The vectors of the classes of the two words before, each through its own
+matrix, add up to a predicted vector, whose products with the classes' output vectors (plus biases) are the
+logits of the classes. Inside a shared class the own vectors of the words before are added, and products with
+the output vectors of the class's head words, and of one entry for the rest of its words, shift the logits
+that counts alone give. Both parts are trained by noise-contrastive estimation: 64 classes drawn by frequency
+are shared by the tokens of a batch, and 8 words of each class by the tokens of that class. The words of a rest
+share its probability by (c + 1) / (N_rest + V_rest + 1), unseen words together being one more. Matrix products
+give exact normalisers, of classes over all pairs of context classes, of words over their whole class, so
+token probabilities sum to one.
+
+Each task trains a copy on all its training documents; the copies' average, weighted by tokens, starts the
+next round. The last round also trains the vectors of words, of which each is averaged by its uses. Copies are averaged in a tree, so no task holds more than FAN
+copies of a block. As samples and order differ by task, scores depend slightly on how the table is split.
+
+What is broadcast has bounded sizes: the HEAD words with counts and vectors, and tables over pairs of classes.
+Words beyond HEAD meet their counts in a join; none of them is frequent, so no key is hot. Rows are told apart
+by place; repeated rows are scored each, a null doc_id counts as the empty text in crc32, extra columns are
+ignored, an empty table gives no rows, and without training documents all probabilities are uniform.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +40,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
-from .runtime import id_crc, ship, stored, table
+from .runtime import id_crc, mapped, stored, table
 
 U = np.uint64
-HEAD, OWN, ENDINGS = 1 << 18, 704, 64
-CLASSES = OWN + ENDINGS
+HEAD, OWN, ENDINGS, GROUP = 1 << 18, 704, 64, 320
 DIM, NOISE, BATCH, ROUNDS, RATE = 24, 64, 1024, 2, 0.15
-BLOCKS, BLOCK_ROWS, SCORED = 64, 1024, 256
-PAST = 0.1  # start of the sums of squares of words' and nodes' steps
+WORD_NOISE, WORD_BATCH, WORD_RATE = 8, 4096, 0.15
+POOL = 64  # drawn noise words of a class; each batch takes WORD_NOISE of them in a row
+BLOCKS, BLOCK_ROWS, FAN, SCORED = 16, 4096, 64, 192
+PAST = 0.1  # start of the sums of squares of words' steps
 END = U(1)
 LOG10 = float(np.log(10))
 
@@ -67,7 +74,6 @@ def training_document():
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(key, ending, n) over all documents given."""
-    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, endings, counts, held = [], [], [], 0
@@ -86,7 +92,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             yield _fold(keys, endings, counts)
 
     texts = docs.select(F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(run, "key long, ending int, n long").groupBy("key", "ending").agg(F.sum("n").alias("n"))
+    return mapped(texts, run, "key long, ending int, n long").groupBy("key", "ending").agg(F.sum("n").alias("n"))
 
 
 def _fold(keys: list, endings: list, counts: list) -> pa.RecordBatch:
@@ -95,111 +101,111 @@ def _fold(keys: list, endings: list, counts: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(e[at]), pa.array(np.bincount(back, n, len(u)).astype(np.int64))], ["key", "ending", "n"])
 
 
-ROW = np.dtype([("id", "<i4"), ("n", "<f4"), ("v", "<f4", (DIM,))])  # of the words' vectors, then of the nodes'
-
-
-def coding_tree(weights: np.ndarray, groups: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A Huffman tree over the leaves of each group: parents (-1: none) and sides of leaves, then nodes, and the
-    log odds that weights alone give to side 1 of each node."""
-    n = len(weights)
-    up, side, odds = np.full(2 * n, -1, np.int32), np.zeros(2 * n, np.float32), []
-    for leaves in groups:
-        heap = list(zip(weights[leaves].tolist(), leaves.tolist(), strict=True))
-        heapq.heapify(heap)
-        while len(heap) > 1:
-            (x, i), (y, j) = heapq.heappop(heap), heapq.heappop(heap)
-            node = n + len(odds)
-            up[i] = up[j] = node
-            side[i], side[j] = 1, -1
-            odds.append(np.log(x / y))
-            heapq.heappush(heap, (x + y, node))
-    return up, side, np.array(odds, np.float32)
+ROW = np.dtype([("id", "<i4"), ("n", "<f4"), ("v", "<f2", (DIM,))])  # of the words' vectors
 
 
 @dataclass
 class Vocabulary:
-    keys: np.ndarray  # the HEAD most frequent words, ascending hashes
+    keys: np.ndarray  # the head words, ascending hashes
     counts: np.ndarray
-    classes: np.ndarray  # their class: an own one, or OWN + ending
+    classes: np.ndarray  # their class: an own one, or a shared one from OWN on
+    rows: np.ndarray  # their row among the words of shared classes; -1 for own classes
     total: int
     distinct: int
-    ending_total: np.ndarray
-    ending_distinct: np.ndarray
-    share: np.ndarray = field(default=None)  # of each class, smoothed
-    rest: np.ndarray = field(default=None)  # by ending, weight of the words beyond HEAD and the unseen
-    up: np.ndarray = field(default=None)  # trees inside classes: leaves are head words, then a rest for each ending
-    side: np.ndarray = field(default=None)
-    odds: np.ndarray = field(default=None)
-
-    def classify(self, key: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class of each token, and its place among the head words (-1: none)."""
+    splits: np.ndarray  # shared classes of each ending
+    edge: np.ndarray  # by shared class, its first row; its last row stands for the rest
+    weight: np.ndarray  # by row: count plus one; of the rest, counts plus words plus one
+    share: np.ndarray  # of each class, smoothed
+
+    @property
+    def n_classes(self) -> int:
+        return OWN + len(self.edge) - 1
+
+    def shared(self, key: np.ndarray, ending: np.ndarray) -> np.ndarray:
+        """Shared class that a word falls into, from 0 on."""
+        first = np.cumsum(self.splits) - self.splits
+        return first[ending] + (key >> U(40)).astype(np.int64) % self.splits[ending]
+
+    def classify(self, key: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class of each token, its row among the words of shared classes (-1: own class), and its place among the
+        head words (-1: none)."""
+        c = self.shared(key, ending)
+        rest = self.edge[c + 1] - 1
         if not len(self.keys):
-            return OWN + ending, np.full(len(key), -1)
+            return (OWN + c).astype(np.int32), rest, np.full(len(key), -1)
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
         at = np.where(self.keys[at] == key, at, -1)
-        return np.where(at >= 0, self.classes[at], OWN + ending), at
-
-    def places(self, classes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row of each token's own context vector (len(keys): none), and its leaf."""
-        head = len(self.keys)
-        return np.where((at >= 0) & (classes >= OWN), at, head), np.where(at >= 0, at, head + classes - OWN)
-
-    def path(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Decisions between leaves and roots: place in `leaf`, node, side taken."""
-        place, at, found = np.arange(len(leaf)), leaf, []
-        while True:
-            up = self.up[at]
-            go = up >= 0
-            if not go.any():
-                break
-            place, at, up = place[go], at[go], up[go]
-            found.append((place, up - len(self.up) // 2, self.side[at]))
-            at = up
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        return np.where(at >= 0, self.classes[at], OWN + c).astype(np.int32), np.where(at >= 0, self.rows[at], rest), at
+
+
+def frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """About the `limit` most frequent words: a histogram gives the least frequency, of whose words a share is taken by hash."""
+    level = F.floor(F.log("n") * 64)
+    steps = counts.groupBy(level.alias("level")).agg(F.count("*").alias("v")).orderBy(F.desc("level")).collect()  # 64 a power of e
+    above = 0
+    for r in steps:
+        if above + r["v"] > limit:
+            part = int((limit - above) / r["v"] * 2**20)
+            return counts.where((level > r["level"]) | (level == r["level"]) & (F.pmod("key", F.lit(2**20)) < part))
+        above += r["v"]
+    return counts
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    sums = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # ENDINGS rows
-    top = counts.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()  # HEAD rows at most
-    key = top["key"].to_numpy().view(U)
-    n, ending = top["n"].to_numpy(), top["ending"].to_numpy()
-    classes = np.where(np.arange(len(key)) < OWN, np.arange(len(key)), OWN + ending)
-    total, distinct = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)
-    for r in sums:
-        total[r["ending"]], distinct[r["ending"]] = r["n"], r["v"]
-    n_all, v_all = int(total.sum()), int(distinct.sum())
-    np.subtract.at(total, ending[:OWN], n[:OWN])
-    np.subtract.at(distinct, ending[:OWN], 1)
-    mass = np.zeros(CLASSES)
-    mass[: min(len(n), OWN)] = n[:OWN]
-    mass[OWN:] = total
+    top = frequent(counts, HEAD).toArrow()  # about HEAD rows at most
+    key, n, ending = top["key"].to_numpy().view(U), top["n"].to_numpy().astype(np.int64), top["ending"].to_numpy()
+    by_size = np.lexsort((key, -n))
+    own = np.full(len(key), -1)
+    own[by_size[:OWN]] = np.arange(min(OWN, len(key)))
     order = np.argsort(key)
-    shared = np.arange(len(key)) >= OWN
-    tail, kinds = total.copy(), distinct.copy()
-    np.subtract.at(tail, ending[shared], n[shared])
-    np.subtract.at(kinds, ending[shared], 1)
-    rest = tail + kinds + 1
-    place = np.where(shared, ending, -1)[order]
-    up, side, odds = coding_tree(np.concatenate([n[order] + 1, rest]), [np.append(np.flatnonzero(place == e), len(key) + e) for e in range(ENDINGS)])
-    return Vocabulary(key[order], n[order].astype(np.int64), classes[order].astype(np.int32), n_all, v_all, total, distinct, (mass + 1) / (n_all + CLASSES), rest, up, side, odds)
+    key, n, ending, own = key[order], n[order], ending[order], own[order]
+    splits = np.maximum(-(-np.bincount(ending[own < 0], minlength=ENDINGS) // GROUP), 1)
+    v = Vocabulary(key, n, own, own, 0, 0, splits, np.zeros(splits.sum() + 1, np.int64), None, None)
+    shared = v.shared(key, ending)
+    wide = F.array(*(F.lit(int(x)) for x in splits))
+    cls = F.pmod(F.shiftrightunsigned("key", 40), F.element_at(wide, F.col("ending") + 1))
+    sums = counts.groupBy("ending", cls.alias("part")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # a row for each shared class
+    mass, kinds = np.zeros(len(v.edge) - 1, np.int64), np.zeros(len(v.edge) - 1, np.int64)
+    first = np.cumsum(splits) - splits
+    for r in sums:
+        mass[first[r["ending"]] + r["part"]], kinds[first[r["ending"]] + r["part"]] = r["n"], r["v"]
+    v.total, v.distinct = int(mass.sum()), int(kinds.sum())
+    np.subtract.at(mass, shared[own >= 0], n[own >= 0])
+    np.subtract.at(kinds, shared[own >= 0], 1)
+    # rows: the head words of each shared class, then its rest
+    inside = np.flatnonzero(own < 0)
+    size = np.bincount(shared[inside], minlength=len(mass))
+    v.edge[1:] = np.cumsum(size + 1)
+    inside = inside[np.argsort(shared[inside], kind="stable")]
+    c = shared[inside]
+    v.rows = np.full(len(key), -1)
+    v.rows[inside] = np.arange(len(inside)) + c
+    v.classes = np.where(own >= 0, own, OWN + shared).astype(np.int32)
+    v.weight = np.zeros(v.edge[-1])
+    v.weight[v.rows[inside]] = n[inside] + 1
+    v.weight[v.edge[1:] - 1] = mass - np.bincount(c, n[inside], len(mass)) + kinds - size + 1
+    whole = np.zeros(v.n_classes)
+    whole[own[own >= 0]] = n[own >= 0]
+    whole[OWN:] = mass
+    v.share = (whole + 1) / (v.total + v.n_classes)
+    return v
 
 
 class LogBilinear:
-    """Context vectors (one more for a document's start), two matrices, output vectors and biases of classes; own
-    context vectors of words (one more, zero, for the others) and vectors of tree nodes."""
+    """Context vectors of classes (one more for a document's start), two matrices, output vectors and biases of
+    classes; for decisions inside classes, context vectors of all words (rows of shared classes, then own classes,
+    then a document's start) and output vectors of the words of shared classes."""
 
-    NAMES = ("context", "first", "second", "output", "bias")
+    NAMES, ROWS = ("context", "first", "second", "output", "bias"), ("own", "inner")
 
-    def __init__(self, share: np.ndarray, head: int = 0, nodes: int = 0, seed: int = 3):
-        rng = np.random.default_rng(seed)
+    def __init__(self, share: np.ndarray, rows: int, seed: int = 3):
+        rng, n = np.random.default_rng(seed), len(share)
         small = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-        self.context, self.output = small(CLASSES + 1, DIM), small(CLASSES, DIM)
+        self.context, self.output = small(n + 1, DIM), small(n, DIM)
         self.first, self.second = np.eye(DIM, dtype=np.float32) * 0.5, np.eye(DIM, dtype=np.float32) * 0.5
         self.bias = np.log(share).astype(np.float32)
-        self.word, self.node = np.zeros((head + 1, DIM), np.float32), np.zeros((nodes, DIM), np.float32)
+        self.own, self.inner = small(rows + n + 1, DIM), np.zeros((rows, DIM), np.float32)
 
     def pack(self) -> np.ndarray:
         return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
@@ -211,19 +217,30 @@ class LogBilinear:
             x = x[a.size :]
 
     def predicted(self, a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return (self.context[a] + self.word[x]) @ self.first + (self.context[b] + self.word[y]) @ self.second
+        """Vectors that decide inside classes: a, b the context classes, x, y the rows of the words before."""
+        return (self.context[a] + self.own[x]) @ self.first + (self.context[b] + self.own[y]) @ self.second
 
     def normalisers(self) -> np.ndarray:
         """Log of the sum over all classes for every pair (class before the last, last class)."""
-        out = np.empty((CLASSES + 1, CLASSES + 1), np.float32)
+        n = len(self.context)
+        out = np.empty((n, n), np.float32)
         far, near = self.context @ self.first, self.context @ self.second
-        for a in range(CLASSES + 1):
-            z = (far[a] + near) @ self.output.T + self.bias
-            top = z.max(1)
-            out[a] = top + np.log(np.exp(z - top[:, None]).sum(1))
+        for a in range(n):
+            for i in range(0, n, SCORED):
+                out[a, i : i + SCORED] = log_sums((far[a] + near[i : i + SCORED]) @ self.output.T + self.bias)
         return out
 
 
+def log_sums(z: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials of each row, in place."""
+    top = z.max()
+    if top < 60:  # no overflow in single precision, and counts keep sums far from 0
+        return np.log(np.exp(z, out=z).sum(1))
+    top = z.max(1)
+    z -= top[:, None]
+    return top + np.log(np.exp(z, out=z).sum(1))
+
+
 def logistic(x: np.ndarray) -> np.ndarray:
     """In place, in single precision."""
     np.negative(x, out=x)
@@ -233,166 +250,249 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def segment_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at `first`."""
+    upto = np.cumsum(rows, axis=0)[np.append(first[1:], len(rows)) - 1]
+    upto[1:] -= upto[:-1].copy()
+    return upto
+
+
+def starts(s: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.empty(len(s), bool)
+    new[:1] = True
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return new.nonzero()[0]
+
+
 class Trainer:
-    """Noise-contrastive estimation with AdaGrad steps; the noise words of a batch are shared by its tokens."""
-
-    def __init__(self, model: LogBilinear, share: np.ndarray, seed: int, vocab: Vocabulary | None = None):
-        self.v, self.used = vocab, {k: np.zeros(len(getattr(model, k)), np.float32) for k in ("word", "node")}
-        self.past_rows = {k: np.full(len(u), PAST, np.float32) for k, u in self.used.items()}
-        self.m, self.rng = model, np.random.default_rng(seed)
-        self.edge = np.cumsum(share)
-        self.log_noise = np.log(NOISE * share).astype(np.float32)
+    """Noise-contrastive estimation with AdaGrad steps; the noise classes of a batch are shared by its tokens, the
+    noise words of a class by the batch's tokens of that class."""
+
+    def __init__(self, model: LogBilinear, v: Vocabulary, seed: int):
+        self.m, self.v, self.rng = model, v, np.random.default_rng(seed)
+        self.edge = np.cumsum(v.share)
+        self.log_noise = np.log(NOISE * v.share).astype(np.float32)
         self.past = {k: np.full(getattr(model, k).shape, 1e-4, np.float32) for k in model.NAMES}
-        self.seen = 0
+        self.past_rows = {k: np.full(len(getattr(model, k)), PAST, np.float32) for k in model.ROWS}
+        self.used = {k: np.zeros(len(getattr(model, k)), np.float32) for k in model.ROWS}
+        self.below = np.concatenate([[0], np.cumsum(v.weight)])
+        self.pool, self.seen, self.steps = None, 0, 0
 
     def _add(self, at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
         order = np.argsort(at.astype(np.int16), kind="stable")
         s = at[order]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        first = starts(s)
         out = np.zeros((size, rows.shape[1]), np.float32)
-        out[s[first]] = np.add.reduceat(rows[order], first, axis=0)
+        out[s[first]] = segment_sums(rows[order], first)
         return out
 
     def _rows(self, name: str, at: np.ndarray, grads: np.ndarray) -> None:
         """AdaGrad steps, one rate a row, for the rows met."""
         order = np.argsort(at, kind="stable")
         s = at[order]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        g, u = np.add.reduceat(grads[order], first, axis=0), s[first]
+        first = starts(s)
+        g, u = segment_sums(grads[order], first), s[first]
         past = self.past_rows[name][u] + np.einsum("ij,ij->i", g, g) / DIM
         self.past_rows[name][u] = past
-        self.used[name][u] += np.diff(np.append(first, len(s)))
-        getattr(self.m, name)[u] -= (RATE / np.sqrt(past))[:, None] * g
-
-    def decide(self, q: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-        """Step for the decisions inside classes; the sums' gradients by predicted vector."""
-        place, node, side = self.v.path(leaf)
-        if not len(place):
-            return np.zeros_like(q)
-        vec, met = self.m.node[node], q[place]
-        g = -side * logistic(-side * (np.einsum("ij,ij->i", met, vec) + self.v.odds[node]))
-        back = self._add(place, g[:, None] * vec, len(q))
-        self._rows("node", node, g[:, None] * met)
-        return back
-
-    def step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None = None, leaf: np.ndarray | None = None) -> None:
-        """a, b, w: classes of the two words before and of the word; x, y: rows of their own vectors; leaf: the word's."""
-        m, n = self.m, len(w)
-        self.seen += n
-        noise = np.minimum(np.searchsorted(self.edge, self.rng.random(NOISE) * self.edge[-1], "right"), CLASSES - 1)
+        g *= (WORD_RATE / np.sqrt(past))[:, None]
+        getattr(self.m, name)[u] -= g
+
+    def _noise_words(self) -> np.ndarray:
+        """WORD_NOISE rows of each shared class, by weight."""
+        v = self.v
+        if self.steps % POOL == 0:
+            low = self.below[v.edge[:-1], None]
+            at = low + self.rng.random((len(v.edge) - 1, POOL)) * (self.below[v.edge[1:], None] - low)
+            rows = np.searchsorted(self.below, at.ravel(), "right").reshape(at.shape) - 1
+            self.pool = np.clip(rows, v.edge[:-1, None], v.edge[1:, None] - 1)
+        k = int(self.rng.integers(POOL - WORD_NOISE + 1))
+        return self.pool[:, k : k + WORD_NOISE]
+
+    def inside(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, x: np.ndarray, y: np.ndarray, row: np.ndarray) -> None:
+        """Step for the vectors of words: of those predicted inside their classes, and of the words before them."""
+        k = (row >= 0).nonzero()[0]
+        if not len(k):
+            return
+        k = k[np.argsort(w[k].astype(np.int16), kind="stable")]
+        m, c, row, x, y = self.m, w[k] - OWN, row[k], x[k], y[k]
+        q = m.predicted(a[k], b[k], x, y)
+        first = starts(c)
+        drawn = self._noise_words()[c[first]]
+        which = np.repeat(np.arange(len(first)), np.diff(first, append=len(c)))
+        vec, noise = m.inner[row], m.inner[drawn][which]
+        odds = np.float32(np.log(WORD_NOISE))  # frequencies cancel: counts are part of the logit and of the noise
+        g_data = logistic(np.einsum("ij,ij->i", q, vec) - odds) - 1
+        g_noise = logistic(np.einsum("ikj,ij->ik", noise, q) - odds)
+        back = g_data[:, None] * vec + np.einsum("ik,ikj->ij", g_noise, noise)
+        met = segment_sums((g_noise[:, :, None] * q[:, None, :]).reshape(len(q), -1), first)
+        self._rows("inner", np.concatenate([row, drawn.ravel()]), np.concatenate([g_data[:, None] * q, met.reshape(-1, DIM)]))
+        np.add.at(self.used["inner"], row, 1)
+        at = np.concatenate([x, y])
+        self._rows("own", at, np.concatenate([back @ m.first.T, back @ m.second.T]))
+        np.add.at(self.used["own"], at, 1)
+
+    def classes(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
+        """Step for the parameters of classes; a, b, w: the classes of the two words before and of the word."""
+        m, n, size = self.m, len(w), len(self.v.share)
+        noise = np.minimum(np.searchsorted(self.edge, self.rng.random(NOISE) * self.edge[-1], "right"), size - 1)
         ca, cb = m.context[a], m.context[b]
-        if leaf is not None:
-            ca += m.word[x]
-            cb += m.word[y]
         q = ca @ m.first + cb @ m.second
         qw, qn = m.output[w], m.output[noise]
         g_data = (logistic(np.einsum("ij,ij->i", q, qw) + m.bias[w] - self.log_noise[w]) - 1) / n
         g_noise = logistic(q @ qn.T + (m.bias - self.log_noise)[noise]) / np.float32(n)
         back = g_data[:, None] * qw + g_noise @ qn
-        if leaf is not None:
-            back += self.decide(q, leaf) / np.float32(n)
-        far, near = back @ m.first.T, back @ m.second.T
-        if leaf is not None:
-            at = np.concatenate([x, y])
-            own = np.flatnonzero(at < len(m.word) - 1)
-            if len(own):
-                self._rows("word", at[own], np.concatenate([far, near])[own] * np.float32(n))
+        both = np.empty((n + NOISE, DIM + 1), np.float32)
+        both[:n, :DIM], both[:n, DIM] = g_data[:, None] * q, g_data
+        both[n:, :DIM], both[n:, DIM] = g_noise.T @ q, g_noise.sum(0)
         grads = {
-            "output": self._add(w, np.column_stack([g_data[:, None] * q, g_data]), CLASSES) + self._add(noise, np.column_stack([g_noise.T @ q, g_noise.sum(0)]), CLASSES),
+            "output": self._add(np.concatenate([w, noise]), both, size),
             "first": ca.T @ back,
             "second": cb.T @ back,
-            "context": self._add(np.concatenate([a, b]), np.concatenate([far, near]), CLASSES + 1),
+            "context": self._add(np.concatenate([a, b]), np.concatenate([back @ m.first.T, back @ m.second.T]), size + 1),
         }
         grads["bias"] = grads["output"][:, -1]
         grads["output"] = grads["output"][:, :-1]
-        for k, g in grads.items():
-            self.past[k] += g * g
-            p = getattr(m, k)
-            p -= RATE * (0.1 if k in ("first", "second") else 1) * g / np.sqrt(self.past[k])
-
-
-def contexts(classes: np.ndarray, bounds: np.ndarray, start: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
-    """Classes two and one before each token of its document; `start` stands for places before its start."""
-    near, far = np.full(len(classes), start, classes.dtype), np.full(len(classes), start, classes.dtype)
-    near[1:] = classes[:-1]
+        for name, g in grads.items():
+            past = self.past[name]
+            past += g * g
+            g = g / np.sqrt(past)
+            g *= RATE * (0.1 if name in ("first", "second") else 1)
+            getattr(m, name)[...] -= g
+
+    def learn(self, *of: np.ndarray, words: bool = True) -> None:
+        """a, b, w, x, y, row of a chunk's tokens, in batches; words: whether vectors of words learn too."""
+        self.seen += len(of[0])
+        for i in range(0, len(of[0]), WORD_BATCH):
+            for j in range(i, min(i + WORD_BATCH, len(of[0])), BATCH):
+                self.classes(*(z[j : j + BATCH] for z in of[:3]))
+            if words:
+                self.inside(*(z[i : i + WORD_BATCH] for z in of))
+            self.steps += 1
+
+
+def contexts(values: np.ndarray, bounds: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values two and one before each token of its document; `start` stands for places before its start."""
+    near, far = np.full(len(values), start, values.dtype), np.full(len(values), start, values.dtype)
+    near[1:] = values[:-1]
     near[bounds[:-1]] = start  # every document has its end token
     far[1:] = near[:-1]
     far[bounds[:-1]] = start
     return far, near
 
 
+def placed(v: Vocabulary, buf: np.ndarray, off: np.ndarray):
+    """Keys and bounds of a chunk's tokens, their places among the head words, and (a, b, w, x, y, row) of each."""
+    key, ending, bounds = tokens(buf, off)
+    w, row, at = v.classify(key, ending)
+    rows = int(v.edge[-1])
+    return key, bounds, at, (*contexts(w, bounds, v.n_classes), w, *contexts(np.where(row >= 0, row, rows + w), bounds, rows + v.n_classes), row)
+
+
+PARTS = "block int, copy int, weight double, part binary"
+
+
+def _parts(t: Trainer, copy: int) -> Iterator[pa.RecordBatch]:
+    """A copy's parameters: BLOCKS of those of classes, then the vectors of words met, by BLOCK_ROWS rows."""
+
+    def batch(blocks, parts: list) -> pa.RecordBatch:
+        n = len(parts)
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([copy] * n, pa.int32()), pa.array([float(t.seen)] * n), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "copy", "weight", "part"])
+
+    yield batch(range(BLOCKS), np.array_split(t.m.pack().astype(np.float32), BLOCKS))
+    for k, name in enumerate(t.m.ROWS):
+        at = np.flatnonzero(t.used[name])
+        if len(at):
+            rows = np.empty(len(at), ROW)
+            first = k * len(t.used[t.m.ROWS[0]])
+            rows["id"], rows["n"], rows["v"] = at + first, t.used[name][at], getattr(t.m, name)[at]
+            block = rows["id"] // BLOCK_ROWS
+            cuts = np.flatnonzero(np.diff(block)) + 1
+            yield batch(block[np.append(0, cuts)] + BLOCKS, np.split(rows, cuts))
+
+
+def _average(rows: pa.Table) -> pa.Table:
+    """One part of all copies of a block: weighted by tokens, or each vector by its uses."""
+    weight, parts = rows["weight"].to_numpy(), rows["part"].to_pylist()
+    if rows["block"][0].as_py() < BLOCKS:
+        total = np.zeros(len(parts[0]) // 4)
+        for w, p in zip(weight, parts, strict=True):
+            total += np.frombuffer(p, np.float32) * w
+        part = (total / weight.sum()).astype(np.float32)
+    else:
+        got = np.concatenate([np.frombuffer(p, ROW) for p in parts])
+        got = got[np.argsort(got["id"], kind="stable")]
+        first = np.flatnonzero(np.concatenate([[True], got["id"][1:] != got["id"][:-1]]))
+        part = got[first]
+        part["n"] = np.add.reduceat(got["n"], first)
+        part["v"] = np.add.reduceat(got["v"].astype(np.float32) * got["n"][:, None], first, axis=0) / part["n"][:, None]
+    return pa.table({"block": rows["block"][:1], "copy": rows["copy"][:1], "weight": pa.array([weight.sum()]), "part": pa.array([part.tobytes()], pa.binary())})
+
+
 def train(docs: DataFrame, vocab: Vocabulary, *, rounds: int = ROUNDS) -> LogBilinear:
     """Train over all given documents, task by task, averaging after each round."""
     spark = docs.sparkSession
-    head = len(vocab.keys)
-    model = LogBilinear(vocab.share, head, len(vocab.odds))
+    model = LogBilinear(vocab.share, int(vocab.edge[-1]))
     if not vocab.total:
         return model
     words = spark.sparkContext.broadcast(vocab)
     texts = docs.select(F.col("text").cast("binary").alias("text"))
+    copies = texts.rdd.getNumPartitions()
     for r in range(rounds):
-        # about 40,000 numbers, then DIM for each head word and node
-        start = spark.sparkContext.broadcast((model.pack(), *((model.word, model.node) if r else (None, None))))
+        last = r == rounds - 1  # the words' vectors need the classes' to be learned
+        start = spark.sparkContext.broadcast(model.pack())  # about 65,000 numbers
 
-        def run(batches: Iterator[pa.RecordBatch], r=r, start=start) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], r=r, start=start, last=last) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            v = words.value
-            m = LogBilinear(v.share, head, len(v.odds))
-            shared, word, node = start.value
-            m.unpack(shared)
-            if r:
-                m.word, m.node = word.copy(), node.copy()
-            t = Trainer(m, v.share, 1000 * r + TaskContext.get().partitionId(), v)
+            v, copy = words.value, TaskContext.get().partitionId()
+            m = LogBilinear(v.share, int(v.edge[-1]))
+            m.unpack(start.value)
+            t = Trainer(m, v, 1000 * r + copy)
             for batch in batches:
                 for _, _, buf, off in flat.chunks(batch.column("text")):
-                    key, ending, bounds = tokens(buf, off)
-                    w, at = v.classify(key, ending)
-                    own, leaf = v.places(w, at)
-                    tokens_of = (*contexts(w, bounds), w, *contexts(own, bounds, head), leaf)
-                    for i in range(0, len(w), BATCH):
-                        t.step(*(z[i : i + BATCH] for z in tokens_of))
+                    *_, all_of = placed(v, buf, off)
+                    t.learn(*all_of, words=last)
             if t.seen:
-                parts = np.array_split(m.pack().astype(np.float32), BLOCKS)
-                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([float(t.seen)] * BLOCKS), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "weight", "part"])
-                for shift, name in ((0, "word"), (head, "node")):
-                    at = np.flatnonzero(t.used[name])
-                    rows = np.empty(len(at), ROW)
-                    rows["id"], rows["n"], rows["v"] = at + shift, t.used[name][at], getattr(m, name)[at]
-                    block = rows["id"] // BLOCK_ROWS
-                    cuts = np.flatnonzero(np.diff(block)) + 1
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(block[np.append(0, cuts)] + BLOCKS, pa.int32()), pa.array([float(t.seen)] * (len(cuts) + 1)), pa.array([p.tobytes() for p in np.split(rows, cuts)], pa.binary())], ["block", "weight", "part"])
-
-        def average(rows: pa.Table) -> pa.Table:
-            if rows["block"][0].as_py() >= BLOCKS:
-                got = np.concatenate([np.frombuffer(p, ROW) for p in rows["part"].to_pylist()])
-                u, back = np.unique(got["id"], return_inverse=True)
-                out = np.zeros(len(u), ROW)
-                mean = np.zeros((len(u), DIM))
-                np.add.at(mean, back, got["v"] * got["n"].astype(float)[:, None])
-                weight = np.bincount(back, got["n"], len(u))
-                out["id"], out["n"], out["v"] = u, weight, mean / weight[:, None]
-                return pa.table({"block": rows["block"][:1], "part": pa.array([out.tobytes()], pa.binary())})
-            total, weight = None, 0.0
-            for w, p in zip(rows["weight"].to_pylist(), rows["part"].to_pylist(), strict=True):
-                x = np.frombuffer(p, np.float32).astype(float) * w
-                total, weight = x if total is None else total + x, weight + w
-            return pa.table({"block": rows["block"][:1], "part": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
-
-        got = texts.mapInArrow(run, "block int, weight double, part binary").groupBy("block").applyInArrow(average, "block int, part binary").collect()
-        shared = sorted((g for g in got if g["block"] < BLOCKS), key=lambda g: g["block"])
-        if len(shared) == BLOCKS:
-            model.unpack(np.concatenate([np.frombuffer(g["part"], np.float32) for g in shared]))
+                yield from _parts(t, copy)
+
+        got, left = mapped(texts, run, PARTS), copies
+        while left > FAN:
+            got = got.withColumn("copy", F.floor(F.col("copy") / FAN).cast("int")).groupBy("block", "copy").applyInArrow(_average, PARTS)
+            left = -(-left // FAN)
+        got = got.groupBy("block").applyInArrow(_average, PARTS).collect()  # the model: bounded by HEAD
+        dense = sorted((g for g in got if g["block"] < BLOCKS), key=lambda g: g["block"])
+        if len(dense) == BLOCKS:
+            model.unpack(np.concatenate([np.frombuffer(g["part"], np.float32) for g in dense]))
         for g in got:
             if g["block"] >= BLOCKS:
                 rows = np.frombuffer(g["part"], ROW)
-                word = rows["id"] < head
-                model.word[rows["id"][word]] = rows["v"][word]
-                model.node[rows["id"][~word] - head] = rows["v"][~word]
+                mine = rows["id"] < len(model.own)
+                model.own[rows["id"][mine]] = rows["v"][mine]
+                model.inner[rows["id"][~mine] - len(model.own)] = rows["v"][~mine]
+        start.destroy()
     return model
 
 
+def inner_logs(v: Vocabulary, m: LogBilinear, log_weight: np.ndarray, of: tuple) -> np.ndarray:
+    """Log probabilities of tokens inside their classes (0 in own ones): products with the vectors of the whole class."""
+    a, b, w, x, y, row = of
+    out = np.zeros(len(w))
+    k = np.flatnonzero(row >= 0)
+    k = k[np.argsort(w[k].astype(np.int16), kind="stable")]
+    cuts = np.flatnonzero(np.diff(w[k])) + 1
+    for part in np.split(k, cuts) if len(k) else ():
+        low, high = v.edge[w[part[0]] - OWN], v.edge[w[part[0]] - OWN + 1]
+        vectors, logs = m.inner[low:high].T, log_weight[low:high]
+        for s in range(0, len(part), SCORED):
+            i = part[s : s + SCORED]
+            z = m.predicted(a[i], b[i], x[i], y[i]) @ vectors
+            z += logs
+            own = z[np.arange(len(i)), row[i] - low]
+            out[i] = own - log_sums(z)
+    return out
+
+
 def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataFrame:
     """One row for each input row: doc_id, n_tokens, n_known, base_score, score (both log10)."""
     spark = docs.sparkSession
@@ -403,26 +503,13 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m, far, near, normal = shared.value
-        head_log, rest_log, head = np.log10(v.counts + 1.0), np.log10(v.rest), len(v.keys)
+        head_log, rest_log, log_weight = np.log10(v.counts + 1.0), np.log10(v.weight[v.edge[1:] - 1]), np.log(v.weight).astype(np.float32)
         for batch in batches:
             for i, j, buf, off in flat.chunks(batch.column("text")):
-                key, ending, bounds = tokens(buf, off)
-                w, at = v.classify(key, ending)
-                a, b = contexts(w, bounds)
+                key, bounds, at, of = placed(v, buf, off)
+                a, b, w = of[:3]
                 p = (far[a, w] + near[b, w] - normal[a, b]).astype(float)
-                place, leaf = v.places(w, at)
-                x, y = contexts(place, bounds, head)
-                more = np.flatnonzero((x < head) | (y < head) | (w >= OWN))
-                for k in (more[s : s + SCORED] for s in range(0, len(more), SCORED)):
-                    q = m.predicted(a[k], b[k], x[k], y[k])
-                    z = q @ m.output.T + m.bias
-                    own = z[np.arange(len(k)), w[k]]
-                    top = z.max(1)
-                    z -= top[:, None]
-                    p[k] = own - top - np.log(np.exp(z, out=z).sum(1))
-                    at_leaf, node, side = v.path(leaf[k])
-                    z = side * (np.einsum("ij,ij->i", q[at_leaf], m.node[node]) + v.odds[node])
-                    p[k] -= np.bincount(at_leaf, np.logaddexp(0, -z), len(k))
+                p += inner_logs(v, m, log_weight, of)
                 p /= LOG10
                 known = at >= 0
                 own = np.where(known, head_log[at], 0.0) if len(head_log) else np.zeros(len(w))
@@ -439,7 +526,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilin
                 yield pa.RecordBatch.from_arrays([pa.array(number[pair["f0"]]), pa.array(np.ascontiguousarray(pair["f1"]).view(np.int64)), pa.array(count.astype(np.int64)), *(none.cast(t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    spread = rows.mapInArrow(run, "row long, key long, n long, doc_id long, n_tokens long, n_known long, base double, model double")
+    spread = mapped(rows, run, "row long, key long, n long, doc_id long, n_tokens long, n_known long, base double, model double")
     met = spread.join(counts.select("key", F.col("n").alias("c")), "key", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     sums = met.groupBy("row").agg(*(F.max(k).alias(k) for k in ("doc_id", "n_tokens", "n_known", "base", "model")), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10(c + F.lit(1.0))).alias("logs"))

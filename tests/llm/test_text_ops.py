@@ -34,7 +34,7 @@ def test_words_match_the_pattern(texts):
 @given(st.lists(st.integers(1, 3), max_size=50))
 def test_suffix_array(values):
     t = np.array([*values, 0], np.int16)
-    assert suffix_array(t, 4, 10**6).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    assert suffix_array(t, 4).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
 @settings(max_examples=60, deadline=None)
@@ -46,8 +46,8 @@ def test_repeated_starts(parts, length):
 
 
 def test_suffix_dedup(spark, docs, empty):
-    for length, gram in ((60, 12), (400, 32)):
-        got = multiset((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, length=length, gram=gram).collect())
+    for length, gram, hot in ((60, 12, 512), (60, 12, 2), (400, 32, 512), (400, 32, 1)):  # and groups so large that they are dealt again
+        got = multiset((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, length=length, gram=gram, hot=hot).collect())
         rows = [(i, r[1]) for i, r in enumerate(corpus())]
         want = suffix_dedup.brute_force(rows, length)
         assert got == multiset((corpus()[i][0], *v) for i, v in want.items())
@@ -101,13 +101,14 @@ def test_sketch_estimates_similarity():
 def test_decontaminate(spark, docs, empty, tmp_path):
     rows = corpus()
     long, hit = rows[10][1], " ".join(rows[70][1].split()[5:40])
-    bench = [("b1", hit), ("b2", "one"), ("b3", None), ("b4", "!!! ..."), ("b5", long.upper()), ("a0", "naïve — 東京"), (None, "the of")]
+    bench = [("b1", hit), ("b2", "one"), ("b3", None), ("b4", "!!! ..."), ("b5", long.upper()), ("a0", "naïve — 東京"), (None, "the of"), (None, "like him")]
     b = spark.createDataFrame(bench, "item_id string, text string")
-    want = decontaminate.brute_force([(i, r[1]) for i, r in enumerate(rows)], [x for x in bench if x[0]])
-    expect = multiset((rows[i][0], *v[:3]) for i, v in want.items())
+    want = decontaminate.brute_force([(i, r[1]) for i, r in enumerate(rows)], bench)
+    expect = multiset((rows[i][0], *v[:4]) for i, v in want.items())
+    digest = lambda names: hashlib.sha256(",".join(x for x in names if x is not None).encode()).hexdigest()
     for size in (10**6, 30):  # one block, and several passes added up
         found = decontaminate.find_contamination(docs, b, block_words=size)
-        assert multiset((r.doc_id, r.n_words, r.n_hit, len(r.item_ids)) for r in found.collect()) == expect
+        assert multiset((r.doc_id, r.n_words, r.n_hit, len(r.item_ids), digest(r.item_ids)) for r in found.collect()) == expect
         clean = decontaminate.clean(docs, b, block_words=size)
         assert clean.columns == docs.columns and clean.count() == sum(not v[4] for v in want.values())
     assert decontaminate.find_contamination(empty, b).count() == 0
@@ -130,7 +131,7 @@ def test_lm_score(spark, docs, empty):
     # class probabilities sum to one for every context
     z = model.normalisers()
     far, near = (model.context @ x @ model.output.T for x in (model.first, model.second))
-    for a, b in ((0, 0), (5, 700), (lm_score.CLASSES, lm_score.CLASSES)):
+    for a, b in ((0, 0), (5, 700), (vocab.n_classes, vocab.n_classes)):
         assert abs(np.exp(far[a] + near[b] + model.bias - z[a, b]).sum() - 1) < 1e-3
     assert all(r.score < 0 for r in got)
     none = lm_score.vocabulary(lm_score.stored(lm_score.count_words(empty), "none"))
@@ -148,10 +149,17 @@ def test_lm_learns_context(spark, tmp_path):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def test_lm_noise_words_of_a_batch():
-    """A step contrasts its tokens with 64 noise words."""
-    share = np.full(lm_score.CLASSES, 1 / lm_score.CLASSES)
-    t = lm_score.Trainer(lm_score.LogBilinear(share), share, 1)
+def vocabulary_of(spark, words: dict) -> lm_score.Vocabulary:
+    """Of words by count, as texts would give it."""
+    key, ending, _ = lm_score.tokens(*next(flat.chunks(pa.array([" ".join(words).encode()], pa.binary())))[2:])
+    n = [*words.values(), 1]
+    return lm_score.vocabulary(spark.createDataFrame([(int(k), int(e), c) for k, e, c in zip(key.view(np.int64), ending, n)], "key long, ending int, n long"))
+
+
+def test_lm_noise_of_a_batch(spark):
+    """A step contrasts its tokens with 64 noise classes, words with 8 of their own class, drawn by weight."""
+    v = vocabulary_of(spark, {f"w{i}xy": 1 + i % 7 for i in range(2000)})
+    t = lm_score.Trainer(lm_score.LogBilinear(v.share, int(v.edge[-1])), v, 1)
     drawn, draw = [], t.rng.random
 
     class Spy:
@@ -159,10 +167,52 @@ def test_lm_noise_words_of_a_batch():
             drawn.append(n)
             return draw(n)
 
-    t.rng = Spy()
+    rng, t.rng = t.rng, Spy()
     one = np.zeros(3, np.int32)
-    t.step(one, one, one)
+    t.classes(one, one, one)
     assert drawn == [64]
+    t.rng = rng
+    noise = t._noise_words()
+    assert noise.shape == (len(v.edge) - 1, 8) and (noise >= v.edge[:-1, None]).all() and (noise < v.edge[1:, None]).all()
+
+
+def test_lm_vocabulary_cut(spark, monkeypatch):
+    """Beyond the head, words fall to their class's rest; nothing is counted twice, and ties leave about as many as wanted."""
+    words = {f"w{i}ab": 5 if i < 800 else 2 for i in range(4000)}
+    for head in (10**6, 1500, 400):
+        monkeypatch.setattr(lm_score, "HEAD", head)
+        v = vocabulary_of(spark, words)
+        assert 0.8 * min(head, 4001) <= len(v.keys) <= 1.2 * head
+        assert v.total == sum(words.values()) + 1 and v.distinct == 4001
+        inside = v.rows >= 0
+        rest = v.weight[v.edge[1:] - 1] - 1  # counts plus words beyond the head
+        assert inside.sum() == max(len(v.keys) - lm_score.OWN, 0) and v.counts.sum() + rest.sum() - (v.distinct - len(v.keys)) == v.total
+        assert abs(v.share.sum() - 1) < 1e-9
+
+
+def test_lm_copies_are_averaged_in_a_tree():
+    """Averages of averages are the average of all, by tokens or by uses."""
+    r = np.random.default_rng(1)
+
+    def part(copy: int, block: int) -> dict:
+        if block == 0:
+            return {"block": 0, "copy": copy, "weight": float(copy + 1), "part": r.standard_normal(5).astype(np.float32).tobytes()}
+        rows = np.zeros(3, lm_score.ROW)
+        rows["id"], rows["n"], rows["v"] = r.choice(6, 3, replace=False), r.integers(1, 9, 3), r.standard_normal((3, lm_score.DIM))
+        rows.sort(order="id")
+        return {"block": block, "copy": copy, "weight": float(copy + 1), "part": rows.tobytes()}
+
+    for block in (0, lm_score.BLOCKS):
+        parts = [part(c, block) for c in range(6)]
+        table = lambda x: pa.Table.from_pylist(x, pa.schema([("block", pa.int32()), ("copy", pa.int32()), ("weight", pa.float64()), ("part", pa.binary())]))
+        whole = lm_score._average(table(parts)).to_pylist()[0]
+        tree = lm_score._average(table([lm_score._average(table(parts[i : i + 2])).to_pylist()[0] for i in (0, 2, 4)])).to_pylist()[0]
+        assert whole["weight"] == tree["weight"] == 21
+        if block == 0:
+            assert np.allclose(np.frombuffer(whole["part"], np.float32), np.frombuffer(tree["part"], np.float32), atol=1e-5)
+        else:
+            a, b = (np.frombuffer(x["part"], lm_score.ROW) for x in (whole, tree))
+            assert (a["id"] == b["id"]).all() and (a["n"] == b["n"]).all() and np.allclose(a["v"], b["v"], atol=1e-2)
 
 
 def test_lm_predicts_words_beyond_the_own_classes(spark, tmp_path):
@@ -181,14 +231,13 @@ def test_lm_predicts_words_beyond_the_own_classes(spark, tmp_path):
     got = {x.doc_id: x for x in lm_score.score(d, counts, vocab, model).where("doc_id >= 3000").collect()}
     assert abs(got[3000].base_score - got[3001].base_score) < 1e-9
     assert got[3000].score > got[3001].score + 0.5
-    # inside every class the leaves' probabilities sum to one, in a context of its own
-    head = len(vocab.keys)
-    q = model.predicted(*(np.array([i]) for i in (700, 701, head - 1, head - 2)))[0]
-    leaf = np.concatenate([np.flatnonzero(vocab.classes >= lm_score.OWN), head + np.arange(lm_score.ENDINGS)])
-    place, node, side = vocab.path(leaf)
-    p = np.exp(-np.bincount(place, np.logaddexp(0, -side * (model.node[node] @ q + vocab.odds[node])), len(leaf)))
-    of = np.concatenate([vocab.classes[vocab.classes >= lm_score.OWN] - lm_score.OWN, np.arange(lm_score.ENDINGS)])
-    assert np.allclose(np.bincount(of, p), 1, atol=1e-5)
+    # inside every class the words' probabilities sum to one, in a context of its own
+    logs = np.log(vocab.weight).astype(np.float32)
+    row = np.arange(vocab.edge[-1])
+    w = (lm_score.OWN + np.searchsorted(vocab.edge, row, "right") - 1).astype(np.int32)
+    context = (np.full(len(row), c) for c in (700, 701))
+    p = lm_score.inner_logs(vocab, model, logs, (*context, w, np.full(len(row), 3), np.full(len(row), 5), row))
+    assert np.allclose(np.bincount(w - lm_score.OWN, np.exp(p)), 1, atol=1e-4)
 
 
 def junk(i: int) -> str:
