@@ -14,7 +14,7 @@ matrix, add up to a predicted vector, whose products with the classes' output ve
 logits of the classes. Inside a shared class the own vectors of the words before are added, and products with
 the output vectors of the class's head words, and of one entry for the rest of its words, shift the logits
 that counts alone give. Both parts are trained by noise-contrastive estimation: 64 classes drawn by frequency
-are shared by the tokens of a batch, and 8 words of each class by the tokens of that class. The words of a rest
+are shared by the tokens of a batch, and 4 words of each class by the batch's tokens of that class. The words of a rest
 share its probability by (c + 1) / (N_rest + V_rest + 1), unseen words together being one more. Matrix products
 give exact normalisers, of classes over all pairs of context classes, of words over their whole class, so
 token probabilities sum to one.
@@ -45,7 +45,7 @@ from .runtime import id_crc, mapped, stored, table
 U = np.uint64
 HEAD, OWN, ENDINGS, GROUP = 1 << 18, 704, 64, 320
 DIM, NOISE, BATCH, ROUNDS, RATE = 24, 64, 1024, 2, 0.15
-WORD_NOISE, WORD_BATCH, WORD_RATE = 8, 4096, 0.15
+WORD_NOISE, WORD_RATE = 4, 0.15
 POOL = 64  # drawn noise words of a class; each batch takes WORD_NOISE of them in a row
 BLOCKS, BLOCK_ROWS, FAN, SCORED = 16, 4096, 64, 192
 PAST = 0.1  # start of the sums of squares of words' steps
@@ -363,11 +363,11 @@ class Trainer:
     def learn(self, *of: np.ndarray, words: bool = True) -> None:
         """a, b, w, x, y, row of a chunk's tokens, in batches; words: whether vectors of words learn too."""
         self.seen += len(of[0])
-        for i in range(0, len(of[0]), WORD_BATCH):
-            for j in range(i, min(i + WORD_BATCH, len(of[0])), BATCH):
-                self.classes(*(z[j : j + BATCH] for z in of[:3]))
+        for i in range(0, len(of[0]), BATCH):
+            batch = [z[i : i + BATCH] for z in of]
+            self.classes(*batch[:3])
             if words:
-                self.inside(*(z[i : i + WORD_BATCH] for z in of))
+                self.inside(*batch)
             self.steps += 1
 
 

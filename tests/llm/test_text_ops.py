@@ -157,7 +157,7 @@ def vocabulary_of(spark, words: dict) -> lm_score.Vocabulary:
 
 
 def test_lm_noise_of_a_batch(spark):
-    """A step contrasts its tokens with 64 noise classes, words with 8 of their own class, drawn by weight."""
+    """A step contrasts its tokens with 64 noise classes, words with 4 of their own class, drawn by weight."""
     v = vocabulary_of(spark, {f"w{i}xy": 1 + i % 7 for i in range(2000)})
     t = lm_score.Trainer(lm_score.LogBilinear(v.share, int(v.edge[-1])), v, 1)
     drawn, draw = [], t.rng.random
@@ -173,7 +173,7 @@ def test_lm_noise_of_a_batch(spark):
     assert drawn == [64]
     t.rng = rng
     noise = t._noise_words()
-    assert noise.shape == (len(v.edge) - 1, 8) and (noise >= v.edge[:-1, None]).all() and (noise < v.edge[1:, None]).all()
+    assert noise.shape == (len(v.edge) - 1, 4) and (noise >= v.edge[:-1, None]).all() and (noise < v.edge[1:, None]).all()
 
 
 def test_lm_vocabulary_cut(spark, monkeypatch):
