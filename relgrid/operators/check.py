@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relgrid.functions.identifiers import join_object
-from relgrid.operators.evaluate import Evaluator, few, with_contextual
+from relgrid.operators.evaluate import VALUE, Evaluator, few, with_contextual
 from relgrid.plans.model import Model, ModelError
 
 
-def _contexts(requests: DataFrame) -> DataFrame | None:
-    return requests.select("qid", "context").distinct() if "context" in requests.columns else None
+def _by_subject(requests: DataFrame, contextual: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Requests with `__sid`, which names their subject and context; seeds and contexts, one row for each of those.
+
+    Contextual tuples belong to single requests, which then are evaluated one by one.
+    """
+    requests = requests.withColumn("subject_relation", F.coalesce("subject_relation", F.lit("")))
+    parts = ["subject_type", "subject_id", "subject_relation", *(["context"] if "context" in requests.columns else [])]
+    requests = requests.withColumn("__sid", F.to_json(F.struct(*parts)) if contextual is None else F.col("qid").cast("string"))
+    seeds = requests.select(F.col("__sid").alias("qid"), *parts).distinct()
+    return requests, seeds, seeds.select("qid", "context").distinct() if "context" in parts else None
 
 
 def _targets(requests: DataFrame) -> list[tuple[str, str]]:
@@ -23,42 +33,34 @@ def check(model: Model, tuples: DataFrame, requests: DataFrame, contextual: Data
     """requests (qid, object_type, object_id, relation, subject_type, subject_id, subject_relation[, context]) plus
     allowed and failed; failed: undecided because a condition could not be evaluated.
 
-    Identical requests are evaluated once. Unknown types and relations raise ModelError.
+    Subjects with equal contexts are evaluated once, and only for the objects that are asked for: the work follows
+    the requests and the tuples of their objects. Unknown types and relations raise ModelError.
     """
     rows, out = with_contextual(tuples, contextual), None
-    key = ["object_type", "object_id", "relation", "subject_type", "subject_id", "subject_relation"]
-    requests = requests.withColumn("subject_relation", F.coalesce("subject_relation", F.lit("")))
+    columns = requests.columns
+    requests, _, _ = _by_subject(requests, contextual)
     for t, r in _targets(requests):
         model.need(t, r)
-        mine = requests.where((F.col("object_type") == t) & (F.col("relation") == r))
-        if contextual is None:
-            by = [*key, "context"] if "context" in requests.columns else key
-            asked = mine.groupBy(*by).agg(F.min("qid").alias("first"))
-            back = mine.select("qid", *by).join(asked, by).select("qid", "first") if "context" not in requests.columns else mine.select("qid", *(F.col(c).alias(f"_{c}") for c in by)).join(asked, [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in by]).select("qid", "first")
-            asked = asked.withColumnRenamed("first", "qid")
-        else:
-            asked, back = mine, mine.select("qid", F.col("qid").alias("first"))
-        e = Evaluator(model, rows, asked, _contexts(asked), max_depth=max_depth)
-        wanted = asked.select("qid", "object_id")
-        must = e.value(t, r, False, wanted)
-        sure = _hits(wanted, must)
+        mine, seeds, contexts = _by_subject(requests.where((F.col("object_type") == t) & (F.col("relation") == r)), contextual)
+        e = Evaluator(model, rows, seeds, contexts, max_depth=max_depth)
+        e.demand((t, r), mine.select(F.col("__sid").alias("qid"), "object_id"))
+        answer = _marked(mine, e.value(t, r, False), "__sure")
         if e.conditional((t, r)):
-            maybe = _hits(wanted, e.value(t, r, True, wanted))
-            answer = wanted.select("qid").join(sure.withColumn("s", F.lit(True)), "qid", "left").join(maybe.withColumn("m", F.lit(True)), "qid", "left")
+            answer = _marked(answer, e.value(t, r, True), "__maybe")
         else:
-            answer = wanted.select("qid").join(sure.withColumn("s", F.lit(True)), "qid", "left").withColumn("m", F.lit(None).cast("boolean"))
-        answer = answer.select(F.col("qid").alias("first"), F.coalesce("s", F.lit(False)).alias("allowed"), (F.col("s").isNull() & F.col("m").isNotNull()).alias("failed"))
-        answer = mine.join(back.join(answer, "first").drop("first"), "qid")
+            answer = answer.withColumn("__maybe", F.col("__sure"))
+        answer = answer.select(*columns, F.col("__sure").alias("allowed"), (~F.col("__sure") & F.col("__maybe")).alias("failed"))
         out = answer if out is None else out.unionByName(answer)
     if out is None:
-        out = requests.withColumn("allowed", F.lit(False)).withColumn("failed", F.lit(False))
+        out = requests.select(*columns, F.lit(False).alias("allowed"), F.lit(False).alias("failed"))
     return out
 
 
-def _hits(wanted: DataFrame, value: DataFrame | None) -> DataFrame:
+def _marked(requests: DataFrame, value: DataFrame | None, name: str) -> DataFrame:
     if value is None:
-        return wanted.select("qid").limit(0)
-    return wanted.join(value, ["qid", "object_id"], "left_semi").select("qid").distinct()
+        return requests.withColumn(name, F.lit(False))
+    found = value.select(F.col("qid").alias("__sid"), "object_id", F.lit(True).alias(name))
+    return requests.join(found, ["__sid", "object_id"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def batch_check(model: Model, tuples: DataFrame, requests: DataFrame, contextual: DataFrame | None = None, *, max_checks: int | None = None) -> DataFrame:
@@ -72,15 +74,46 @@ def batch_check(model: Model, tuples: DataFrame, requests: DataFrame, contextual
 
 
 def list_objects(model: Model, tuples: DataFrame, requests: DataFrame, contextual: DataFrame | None = None, *, max_results: int | None = None, max_depth: int | None = None) -> DataFrame:
-    """requests (qid, object_type, relation, subject_*[, context]) -> (qid, object); max_results limits the whole result, unordered."""
+    """requests (qid, object_type, relation, subject_*[, context]) -> (qid, object); max_results limits each request,
+    to its first objects by name. Subjects with equal contexts are evaluated once."""
     rows, out = with_contextual(tuples, contextual), None
     for t, r in _targets(requests):
         model.need(t, r)
-        mine = requests.where((F.col("object_type") == t) & (F.col("relation") == r))
-        v = Evaluator(model, rows, mine, _contexts(mine), max_depth=max_depth).value(t, r)
+        mine, seeds, contexts = _by_subject(requests.where((F.col("object_type") == t) & (F.col("relation") == r)), contextual)
+        v = Evaluator(model, rows, seeds, contexts, max_depth=max_depth).value(t, r)
         if v is not None:
-            found = v.select("qid", join_object(F.lit(t), "object_id").alias("object"))
+            found = v.withColumnRenamed("qid", "__sid").join(mine.select("__sid", "qid"), "__sid").select("qid", join_object(F.lit(t), "object_id").alias("object"))
             out = found if out is None else out.union(found)
     if out is None:
         out = requests.select("qid", F.lit("").alias("object")).limit(0)
-    return out.limit(max_results) if max_results is not None else out
+    return first_of_each(out, "object", max_results)
+
+
+def undecided_objects(model: Model, tuples: DataFrame, requests: DataFrame, contextual: DataFrame | None = None) -> DataFrame:
+    """(qid, object): objects that list_objects leaves out because a condition could not be evaluated."""
+    rows, out = with_contextual(tuples, contextual), None
+    for t, r in _targets(requests):
+        mine, seeds, contexts = _by_subject(requests.where((F.col("object_type") == t) & (F.col("relation") == r)), contextual)
+        e = Evaluator(model, rows, seeds, contexts)
+        if not e.conditional((t, r)):
+            continue
+        may, must = e.value(t, r, True), e.value(t, r)
+        if may is not None:
+            open_ = may if must is None else may.join(must, list(VALUE), "left_anti")
+            found = open_.withColumnRenamed("qid", "__sid").join(mine.select("__sid", "qid"), "__sid").select("qid", join_object(F.lit(t), "object_id").alias("object"))
+            out = found if out is None else out.union(found)
+    return out if out is not None else requests.select("qid", F.lit("").alias("object")).limit(0)
+
+
+def first_of_each(found: DataFrame, column: str, limit: int | None) -> DataFrame:
+    """At most `limit` rows of each request, in order of the column."""
+    if limit is None:
+        return found
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(column))
+    return found.withColumn("__place", place).where(F.col("__place") <= limit).drop("__place")
+
+
+def stream_objects(model: Model, tuples: DataFrame, requests: DataFrame, contextual: DataFrame | None = None) -> Iterator[tuple]:
+    """list_objects one result at a time, partition by partition, without a limit."""
+    for row in list_objects(model, tuples, requests, contextual).toLocalIterator(prefetchPartitions=True):
+        yield row["qid"], row["object"]

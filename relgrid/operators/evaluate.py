@@ -6,12 +6,19 @@ userset and tuple-to-userset expressions on the value of the relation they lead
 union, semi join and anti join. Relations are evaluated in the order of their dependencies; recursive groups
 by a semi-naive loop that only joins what the last round has found.
 
+Where the objects are given too, demand() first goes from them towards the subjects and notes the pairs (qid,
+object) that each relation can be asked for; values are then joined from these pairs, so their size follows
+what was asked and not all that subjects can reach. Groups that recur through usersets alone are still
+evaluated from the subjects, whose closure upwards is the smaller one.
+
 Conditions are three-valued. Every relation can be evaluated as what must hold (errors are false) or may hold
 (errors are true); a request that may but need not hold has met an error.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,8 +105,8 @@ class Evaluator:
         kinds = few(own.select("subject_type", "subject_relation"))  # kinds of subjects, of which a model has few
         self.kinds = {(k[0], k[1]) for k in kinds}
         self.memo: dict = {}
-        self.group: dict = {}
         self.reach: dict = {}
+        self.need: dict = {}  # node -> pairs (qid, object_id) asked for; nodes without pairs are evaluated in full
 
     def conditional(self, node) -> bool:
         """Whether conditions have a say in the relation, so that what may hold can differ from what must."""
@@ -115,14 +122,99 @@ class Evaluator:
                     return True
         return False
 
-    def value(self, t: str, r: str, may: bool = False, within: DataFrame | None = None) -> DataFrame | None:
-        """(qid, object_id) of t#r, or None if no data could give any; within: the objects asked for."""
+    # from objects towards subjects
+    def demand(self, root, wanted: DataFrame) -> None:
+        """Restrict values to what the wanted pairs (qid, object_id) of root depend on."""
+        asked: dict = {root: [wanted.select(*VALUE).distinct()]}
+        full: set = set()
+        for group in reversed(strata(self.m, root)):
+            group = [n for n in group if n in asked or n in full]
+            if not group:
+                continue
+            whole = self._group_of(group[0], root)
+            inside = [(n, c) for n in whole for c in dependencies(self.m, *n) if c in whole]
+            if full & set(whole) or inside and not any(self._recurs_by_tupleset(n, set(whole)) for n in whole):
+                full |= {*whole, *(c for n in whole for c in dependencies(self.m, *n))}
+                continue
+            if inside:
+                self._close(whole, asked)
+            else:
+                n = group[0]
+                self.need[n] = self._pairs(asked[n], bool(dependencies(self.m, *n)))
+            for n in whole:
+                if n in self.need:
+                    for child, pairs in self._asked_by(n, self.need[n]):
+                        if child not in whole:
+                            asked.setdefault(child, []).append(pairs)
+        for n in full:
+            self.need.pop(n, None)
+
+    def _group_of(self, node, root) -> list:
+        return next(g for g in strata(self.m, root) if node in g)
+
+    def _recurs_by_tupleset(self, node, group: set) -> bool:
+        t, r = node
+        return any(isinstance(e, Via) and any((x.type, e.relation) in group for x in self.m.types[t][e.tupleset].restrictions) or isinstance(e, Computed) and (t, e.relation) in group for e in walk(self.m.types[t][r].rewrite))
+
+    @staticmethod
+    def _pairs(parts: list, keep: bool) -> DataFrame:
+        if len(parts) == 1:
+            return cut(parts[0]) if keep else parts[0]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.union(p)
+        return cut(out.distinct()) if keep else out.distinct()
+
+    def _close(self, group: list, asked: dict) -> None:
+        """Demand inside a recursive group: rounds until no new pair comes up."""
+        new = {n: self._pairs(asked[n], True) for n in group if n in asked}
+        self.need.update(new)
+        rounds = 0
+        while new:
+            rounds += 1
+            fresh: dict = {}
+            for n, pairs in new.items():
+                for child, more in self._asked_by(n, pairs):
+                    if child in group:
+                        fresh.setdefault(child, []).append(more)
+            new = {}
+            for n, parts in fresh.items():
+                pairs = self._pairs(parts, False)
+                if n in self.need:
+                    pairs = pairs.join(self.need[n], list(VALUE), "left_anti")
+                pairs = cut(pairs)
+                if not pairs.isEmpty():
+                    new[n] = pairs
+                    self.need[n] = compacted(self.need[n].union(pairs), rounds) if n in self.need else pairs
+
+    def _asked_by(self, node, pairs: DataFrame):
+        """(child, pairs) that pairs of node can ask of others."""
+        t, r = node
+        rel = self.m.types[t][r]
+        for e in walk(rel.rewrite):
+            if isinstance(e, Computed):
+                yield (t, e.relation), pairs
+            elif isinstance(e, This):
+                for child in sorted({(x.type, x.relation) for x in rel.restrictions if x.relation}):
+                    yield child, self._to(self._usersets(t, r, child), pairs)
+            elif isinstance(e, Via):
+                for kind in sorted({x.type for x in self.m.types[t][e.tupleset].restrictions}):
+                    if self.m.relation(kind, e.relation):
+                        yield (kind, e.relation), self._to(self._parents(t, e.tupleset, kind), pairs)
+
+    def _to(self, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+        return self._of_request(rows.join(pairs, "object_id")).select("qid", F.col("subject_id").alias("object_id")).distinct()
+
+    def value(self, t: str, r: str, may: bool = False) -> DataFrame | None:
+        """(qid, object_id) of t#r, or None if no data could give any; after demand(), right for the pairs asked for."""
         may = may and self.conditional((t, r))
         if (t, r, may) in self.memo:
             return self.memo[t, r, may]
         if not self._reached((t, r)):
             return None
-        for group in strata(self.m, (t, r)):
+        groups = strata(self.m, (t, r))
+        uses = Counter(d for g in groups for n in g for d in dependencies(self.m, *n))
+        for group in groups:
             if any((*n, may) in self.memo for n in group):
                 continue
             if may and not self.conditional(group[0]):
@@ -134,9 +226,9 @@ class Evaluator:
                 self._fixpoint(group, may)
             else:
                 n = group[0]
-                top = within if n == (t, r) else None
-                v = self._with_reflexive(n, self._full(n, self.m.types[n[0]][n[1]].rewrite, {}, may, top))
-                self.memo[*n, may] = v.distinct() if v is not None else None
+                v = self._with_reflexive(n, self._full(n, self.m.types[n[0]][n[1]].rewrite, {}, may))
+                v = v.distinct() if v is not None else None
+                self.memo[*n, may] = cut(v) if v is not None and uses[n] > 1 else v
         return self.memo[t, r, may]
 
     def _with_reflexive(self, node, v: DataFrame | None) -> DataFrame | None:
@@ -144,6 +236,8 @@ class Evaluator:
         if (t, r) not in self.kinds:
             return v
         own = self.seeds.where((F.col("subject_type") == t) & (F.col("subject_relation") == r)).select("qid", F.col("subject_id").alias("object_id"))
+        if node in self.need:
+            own = own.join(self.need[node], list(VALUE), "left_semi")
         return own if v is None else v.union(own)
 
     def _child(self, node, env: dict, may: bool) -> DataFrame | None:
@@ -152,68 +246,74 @@ class Evaluator:
         return self.value(*node, may)
 
     # one relation's direct tuples
-    def _scan(self, t: str, r: str, within: DataFrame | None) -> DataFrame:
-        rows = self.t.where(direct_filter(self.m, t, r))
-        return rows.join(within.select("object_id").distinct(), "object_id", "left_semi") if within is not None else rows
+    def _scan(self, t: str, r: str) -> DataFrame:
+        return self.t.where(direct_filter(self.m, t, r))
+
+    def _usersets(self, t: str, r: str, child) -> DataFrame:
+        return self._scan(t, r).where((F.col("subject_type") == child[0]) & (F.col("subject_relation") == child[1]))
+
+    def _parents(self, t: str, tupleset: str, kind: str) -> DataFrame:
+        return self._scan(t, tupleset).where((F.col("subject_type") == kind) & (F.col("subject_relation") == "") & (F.col("subject_id") != "*"))
 
     def _of_request(self, rows: DataFrame) -> DataFrame:
         return rows.where("ctx is null or ctx = cast(qid as string)")
 
-    def _this(self, node, env: dict, may: bool, within: DataFrame | None, only: set | None = None) -> DataFrame | None:
+    def _reaching(self, node, rows: DataFrame, child: DataFrame) -> DataFrame:
+        """Tuples of node that lead to objects in the child's value."""
+        found = child.select("qid", F.col("object_id").alias("subject_id"))
+        if node in self.need:
+            return rows.join(self.need[node], "object_id").join(found, ["qid", "subject_id"])
+        return rows.join(found, "subject_id")
+
+    def _this(self, node, env: dict, may: bool, only: set | None = None) -> DataFrame | None:
         t, r = node
         rel, found = self.m.types[t][r], []
-        rows = self._scan(t, r, within)
         plain = {x.type for x in rel.restrictions if not x.relation} & {k for k, _ in self.kinds}
         if only is None and any(k in plain and s == "" for k, s in self.kinds):
-            found.append(rows.where(F.col("subject_relation") == "").join(self.seeds.where("subject_relation = ''").drop("subject_relation"), ["subject_type", "subject_id"]))
+            subjects, key = self.seeds.where("subject_relation = ''").drop("subject_relation"), ["subject_type", "subject_id"]
+            if node in self.need:
+                subjects, key = self.need[node].join(subjects, "qid"), ["object_id", *key]
+            found.append(self._scan(t, r).where(F.col("subject_relation") == "").join(subjects, key))
         for child in sorted({(x.type, x.relation) for x in rel.restrictions if x.relation}):
             if only is not None and child not in only:
                 continue
             v = self._child(child, env, may)
             if v is not None:
-                usersets = rows.where((F.col("subject_type") == child[0]) & (F.col("subject_relation") == child[1]))
-                found.append(usersets.join(v.select("qid", F.col("object_id").alias("subject_id")), "subject_id"))
-        cols = ["qid", "object_id", "condition_name", "condition_context", "ctx"]
-        out = None
-        for f in found:
-            f = f.select(*cols)
-            out = f if out is None else out.union(f)
-        if out is None:
-            return None
-        names = {x.condition for x in rel.restrictions}
-        return conditions_hold(self.m, self._of_request(out), names, self.contexts, may).select(*VALUE)
+                found.append(self._reaching(node, self._usersets(t, r, child), v))
+        return self._held(found, {x.condition for x in rel.restrictions}, may)
 
-    def _via(self, node, e: Via, env: dict, may: bool, within: DataFrame | None, only: set | None = None) -> DataFrame | None:
+    def _via(self, node, e: Via, env: dict, may: bool, only: set | None = None) -> DataFrame | None:
         t, _ = node
-        rel, out = self.m.types[t][e.tupleset], None
+        rel, found = self.m.types[t][e.tupleset], []
         for kind in sorted({x.type for x in rel.restrictions}):
             child = (kind, e.relation)
             if self.m.relation(*child) is None or (only is not None and child not in only):
                 continue
             v = self._child(child, env, may)
-            if v is None:
-                continue
-            rows = self._scan(t, e.tupleset, within).where((F.col("subject_type") == kind) & (F.col("subject_relation") == "") & (F.col("subject_id") != "*"))
-            f = rows.join(v.select("qid", F.col("object_id").alias("subject_id")), "subject_id").select("qid", "object_id", "condition_name", "condition_context", "ctx")
+            if v is not None:
+                found.append(self._reaching(node, self._parents(t, e.tupleset, kind), v))
+        return self._held(found, {x.condition for x in rel.restrictions}, may)
+
+    def _held(self, found: list, names: set[str], may: bool) -> DataFrame | None:
+        """(qid, object_id) of the tuples found whose conditions hold."""
+        out = None
+        for f in found:
+            f = f.select("qid", "object_id", "condition_name", "condition_context", "ctx")
             out = f if out is None else out.union(f)
-        if out is None:
-            return None
-        return conditions_hold(self.m, self._of_request(out), {x.condition for x in rel.restrictions}, self.contexts, may).select(*VALUE)
+        return None if out is None else conditions_hold(self.m, self._of_request(out), names, self.contexts, may).select(*VALUE)
 
-    def _full(self, node, e, env: dict, may: bool, within: DataFrame | None = None) -> DataFrame | None:
+    def _full(self, node, e, env: dict, may: bool) -> DataFrame | None:
         """Value of an expression; env gives what is known of relations still being computed."""
         if isinstance(e, This):
-            return self._this(node, env, may, within)
+            return self._this(node, env, may)
         if isinstance(e, Computed):
-            v = self._child((node[0], e.relation), env, may)
-            return v.join(within, list(VALUE), "left_semi") if v is not None and within is not None else v
+            return self._child((node[0], e.relation), env, may)
         if isinstance(e, Via):
-            return self._via(node, e, env, may, within)
+            return self._via(node, e, env, may)
         if isinstance(e, Difference):
-            base, minus = self._full(node, e.base, env, may, within), self._full(node, e.subtract, env, not may)
+            base, minus = self._full(node, e.base, env, may), self._full(node, e.subtract, env, not may)
             return base if base is None or minus is None else base.join(minus, list(VALUE), "left_anti")
-        parts = [self._full(node, p, env, may, within) for p in e.parts]
-        return _combined(e, parts)
+        return _combined(e, [self._full(node, p, env, may) for p in e.parts])
 
     # recursion
     def _touches(self, node, e, group: set) -> bool:
@@ -231,11 +331,11 @@ class Evaluator:
         """What the newest rows add to an expression that depends on its own group."""
         group = set(acc)
         if isinstance(e, This):
-            return self._this(node, new, may, None, group)
+            return self._this(node, new, may, group)
         if isinstance(e, Computed):
             return new.get((node[0], e.relation))
         if isinstance(e, Via):
-            return self._via(node, e, new, may, None, group)
+            return self._via(node, e, new, may, group)
         if isinstance(e, Difference):
             if self._touches(node, e.subtract, group):
                 raise ModelError(f"'{node[0]}#{node[1]}' excludes what depends on itself")
@@ -277,12 +377,20 @@ class Evaluator:
                 found[n] = x
             for n, x in found.items():
                 if x is not None:
-                    acc[n] = x if acc[n] is None else acc[n].union(x)
+                    acc[n] = x if acc[n] is None else compacted(acc[n].union(x), depth)
             new = found
         for n in group:
             self.memo[*n, may] = acc[n]
 
 
+COMPACT_ROUNDS = 16
+
+
+def compacted(rows: DataFrame, rounds: int) -> DataFrame:
+    """Every COMPACT_ROUNDS rounds the union of all rounds is written as one, so plans stay small."""
+    return cut(rows) if rounds % COMPACT_ROUNDS == 0 else rows
+
+
 def _combined(e, parts: list) -> DataFrame | None:
     if isinstance(e, Intersection):
         if any(p is None for p in parts):
