@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from relgrid.functions import identifiers as ids
 from relgrid.functions.cel import condition_column
-from relgrid.operators.check import check, list_objects
+from relgrid.operators.check import batch_check, check, list_objects
 from relgrid.operators.evaluate import valid_tuples
 from relgrid.operators.expand import expand
 from relgrid.operators.list_users import list_users
@@ -17,6 +18,8 @@ from relgrid.operators.search import action_search, evaluations, resource_search
 from relgrid.plans.model import Condition, parse_model, validate
 from relgrid.sources import store
 from relgrid.sources.fixtures import MODEL, TUPLES_SQL, changelog, tuples
+from relgrid.sources.storage import shared_dir
+from relgrid.streaming.changes import follow, net_changes, stream_changes
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -37,16 +40,13 @@ def model():
 
 # requests ----------------------------------------------------------------------------------------------------------
 
-#: users whose objects the list queries ask for
-USERS = (0, 3, 7, 10, 40)
+def _subjects(spark: SparkSession, sf_dir: str, object_type: str, relation: str) -> DataFrame:
+    """A request of each user that owns a customer."""
+    users = spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_custkey") % 150).cast("string").alias("uid")).distinct()
+    return users.select(F.concat(F.lit("u"), "uid").alias("qid"), F.lit(object_type).alias("object_type"), F.lit(relation).alias("relation"), F.lit("user").alias("subject_type"), F.col("uid").alias("subject_id"), F.lit("").alias("subject_relation"))
 
 
-def _subjects(spark: SparkSession, object_type: str, relation: str, users=USERS) -> DataFrame:
-    return spark.createDataFrame([(f"u{u}", object_type, relation, "user", str(u), "") for u in users], "qid string, object_type string, relation string, subject_type string, subject_id string, subject_relation string")
-
-
-def _users_sql(users=USERS) -> str:
-    return "asked(qid, uid) AS (VALUES " + ", ".join(f"('u{u}', '{u}')" for u in users) + ")"
+_OWNERS = "asked(qid, uid) AS (SELECT DISTINCT 'u' || CAST(c_custkey % 150 AS VARCHAR), CAST(c_custkey % 150 AS VARCHAR) FROM customer)"
 
 
 def _with(*ctes: str) -> str:
@@ -74,13 +74,13 @@ team_member(qid, object_id) AS (
 , order_can_release AS (SELECT * FROM order_approver INTERSECT SELECT * FROM order_seen)"""
 
 
-def _listed(relation: str, of: str, users=USERS) -> str:
-    return _with(TUPLES_SQL, _users_sql(users), VALUES_SQL) + f"SELECT qid, '{of}:' || object_id AS object FROM {relation}"
+def _listed(relation: str, of: str) -> str:
+    return _with(TUPLES_SQL, _OWNERS, VALUES_SQL) + f"SELECT qid, '{of}:' || object_id AS object FROM {relation}"
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that user 3 may view."""
-    return list_objects(model(), tuples(spark, sf_dir), _subjects(spark, "order", "viewer", (3,)))
+    return list_objects(model(), tuples(spark, sf_dir), _subjects(spark, sf_dir, "order", "viewer").where("subject_id = '3'"))
 
 
 # identifiers -------------------------------------------------------------------------------------------------------
@@ -88,9 +88,11 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TEXTS = ["user:anne", "group:eng#member", "user:*", "*", "anne", "group:eng#", "a:b:c", "a b:c", "doc:1#x#y", ":x", "x:", "group:*#member", ""]
 
 
-@_query("SELECT text, CASE WHEN instr(text, ':') > 0 THEN split_part(text, ':', 1) ELSE '' END AS object_type, CASE WHEN instr(text, ':') > 0 THEN substr(text, instr(text, ':') + 1) ELSE text END AS object_id, CASE WHEN instr(text, '#') > 0 THEN regexp_extract(text, '#([^#]*)$', 1) ELSE '' END AS relation FROM (VALUES " + ", ".join(f"('{t}')" for t in _TEXTS) + ") t(text)")
+@_query(_with(TUPLES_SQL) + "SELECT text, CASE WHEN instr(text, ':') > 0 THEN split_part(text, ':', 1) ELSE '' END AS object_type, CASE WHEN instr(text, ':') > 0 THEN substr(text, instr(text, ':') + 1) ELSE text END AS object_id, CASE WHEN instr(text, '#') > 0 THEN regexp_extract(text, '#([^#]*)$', 1) ELSE '' END AS relation FROM (SELECT DISTINCT subject_type || ':' || subject_id || CASE WHEN subject_relation <> '' THEN '#' || subject_relation ELSE '' END AS text FROM tuples UNION ALL VALUES " + ", ".join(f"('{t}')" for t in _TEXTS) + ") t(text)")
 def identifier_split(spark, sf_dir):
-    df = spark.createDataFrame([(t,) for t in _TEXTS], "text string")
+    """Every user of the tuples, and forms that none of them has."""
+    users = tuples(spark, sf_dir).select(ids.join_user().alias("text")).distinct()
+    df = users.union(spark.createDataFrame([(t,) for t in _TEXTS], "text string"))
     return df.select("text", ids.object_type("text").alias("object_type"), ids.object_id("text").alias("object_id"), ids.userset_relation("text").alias("relation"))
 
 
@@ -108,9 +110,9 @@ def tuple_read_filter(spark, sf_dir):
     return store.read(tuples(spark, sf_dir), object_type="order", relation="approver", subject_type="user").select("object_id", "subject_id")
 
 
-@_query(_with(TUPLES_SQL, _users_sql()) + "SELECT object_id, subject_id FROM tuples WHERE object_type = 'customer' AND relation = 'owner' AND subject_id IN (SELECT uid FROM asked)")
+@_query(_with(TUPLES_SQL, _OWNERS) + "SELECT object_id, subject_id FROM tuples WHERE object_type = 'customer' AND relation = 'owner' AND subject_id IN (SELECT uid FROM asked)")
 def tuple_reverse_read(spark, sf_dir):
-    return store.read_starting_with_users(tuples(spark, sf_dir), "customer", "owner", _subjects(spark, "customer", "owner")).select("object_id", "subject_id")
+    return store.read_starting_with_users(tuples(spark, sf_dir), "customer", "owner", _subjects(spark, sf_dir, "customer", "owner")).select("object_id", "subject_id")
 
 
 @_query(_with(TUPLES_SQL) + "SELECT object_id, subject_type || ':' || subject_id || '#' || subject_relation AS userset FROM tuples WHERE object_type = 'order' AND relation = 'approver' AND subject_type = 'team'")
@@ -119,11 +121,12 @@ def userset_tuples(spark, sf_dir):
     return rows.select("object_id", ids.join_user().alias("userset"))
 
 
-@_query(_with(TUPLES_SQL) + "SELECT object_type, object_id, relation, subject_id FROM tuples WHERE object_type IN ('customer', 'nation') AND relation IN ('owner', 'analyst') AND subject_id IN ('5', '*')")
+@_query(_with(TUPLES_SQL) + "SELECT object_id, subject_id FROM tuples JOIN customer ON object_id = CAST(c_custkey AS VARCHAR) AND subject_id = CAST((c_custkey * 13) % 150 AS VARCHAR) WHERE object_type = 'customer' AND relation = 'owner'")
 def user_tuple_lookup(spark, sf_dir):
-    t = tuples(spark, sf_dir)
-    wanted = t.where("object_type in ('customer', 'nation') and relation in ('owner', 'analyst') and subject_id in ('5', '*')").select(*store.KEY)
-    return store.read_user_tuples(t, wanted).select("object_type", "object_id", "relation", "subject_id")
+    """Exact keys, one for each customer; most are not there."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    wanted = customer.select(F.lit("customer").alias("object_type"), F.col("c_custkey").cast("string").alias("object_id"), F.lit("owner").alias("relation"), F.lit("user").alias("subject_type"), ((F.col("c_custkey") * 13) % 150).cast("string").alias("subject_id"), F.lit("").alias("subject_relation"))
+    return store.read_user_tuples(tuples(spark, sf_dir), wanted).select("object_id", "subject_id")
 
 
 @_query("SELECT lpad(CAST(event_id AS VARCHAR), 26, '0') AS ulid, CAST(event_id AS VARCHAR) AS object_id FROM events WHERE event_id >= 100 ORDER BY event_id LIMIT 51")
@@ -162,39 +165,45 @@ def write_plan_classify(spark, sf_dir):
 # list objects ------------------------------------------------------------------------------------------------------
 
 
-@_query(_with(TUPLES_SQL, _users_sql()) + "SELECT qid, 'customer:' || object_id AS object FROM tuples JOIN asked ON subject_id = uid WHERE object_type = 'customer' AND relation = 'owner'")
+@_query(_with(TUPLES_SQL, _OWNERS) + "SELECT qid, 'customer:' || object_id AS object FROM tuples JOIN asked ON subject_id = uid WHERE object_type = 'customer' AND relation = 'owner'")
 def list_objects_direct(spark, sf_dir):
-    return list_objects(model(), tuples(spark, sf_dir), _subjects(spark, "customer", "owner"))
+    return list_objects(model(), tuples(spark, sf_dir), _subjects(spark, sf_dir, "customer", "owner"))
 
 
-@_query(_with(TUPLES_SQL, _users_sql()) + "SELECT DISTINCT qid, 'nation:' || object_id AS object FROM tuples JOIN asked ON subject_id IN (uid, '*') WHERE object_type = 'nation' AND relation = 'analyst'")
+@_query(_with(TUPLES_SQL, _OWNERS) + "SELECT DISTINCT qid, 'nation:' || object_id AS object FROM tuples JOIN asked ON subject_id IN (uid, '*') WHERE object_type = 'nation' AND relation = 'analyst'")
 def list_objects_wildcard(spark, sf_dir):
-    return list_objects(model(), tuples(spark, sf_dir), _subjects(spark, "nation", "analyst"))
+    return list_objects(model(), tuples(spark, sf_dir), _subjects(spark, sf_dir, "nation", "analyst"))
 
 
 @_query(_listed("nation_viewer", "nation"))
 def list_objects_nation_viewer(spark, sf_dir):
-    return list_objects(model(), tuples(spark, sf_dir), _subjects(spark, "nation", "viewer"))
+    return list_objects(model(), tuples(spark, sf_dir), _subjects(spark, sf_dir, "nation", "viewer"))
 
 
 @_query(_listed("customer_viewer", "customer"))
 def list_objects_customer_viewer(spark, sf_dir):
-    return list_objects(model(), tuples(spark, sf_dir), _subjects(spark, "customer", "viewer"))
+    return list_objects(model(), tuples(spark, sf_dir), _subjects(spark, sf_dir, "customer", "viewer"))
 
 
 @_query(_listed("order_viewer", "order"))
 def list_objects_order_viewer(spark, sf_dir):
-    return list_objects(model(), tuples(spark, sf_dir), _subjects(spark, "order", "viewer"))
+    return list_objects(model(), tuples(spark, sf_dir), _subjects(spark, sf_dir, "order", "viewer"))
 
 
 @_query(_listed("order_can_release", "order"))
 def list_objects_order_can_release(spark, sf_dir):
-    return list_objects(model(), tuples(spark, sf_dir), _subjects(spark, "order", "can_release"))
+    return list_objects(model(), tuples(spark, sf_dir), _subjects(spark, sf_dir, "order", "can_release"))
+
+
+@_query(_with(TUPLES_SQL, _OWNERS, VALUES_SQL) + "SELECT qid, object FROM (SELECT qid, 'customer:' || object_id AS object, row_number() OVER (PARTITION BY qid ORDER BY 'customer:' || object_id) AS place FROM customer_viewer) WHERE place <= 10")
+def list_objects_limited(spark, sf_dir):
+    """The first ten objects of each request."""
+    return list_objects(model(), tuples(spark, sf_dir), _subjects(spark, sf_dir, "customer", "viewer"), max_results=10)
 
 
 @_query(_listed("order_viewer", "order"))
 def resource_search_orders(spark, sf_dir):
-    return resource_search(model(), tuples(spark, sf_dir), _subjects(spark, "order", "viewer"))
+    return resource_search(model(), tuples(spark, sf_dir), _subjects(spark, sf_dir, "order", "viewer"))
 
 
 _ALL_USERS = "asked AS (SELECT DISTINCT 'u' || user_id AS qid, CAST(user_id AS VARCHAR) AS uid FROM events)"
@@ -238,12 +247,23 @@ def check_batch_dedupe(spark, sf_dir):
     return got.where(~F.col("qid").startswith("again")).groupBy("allowed").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT CAST(i AS VARCHAR) AS qid, true AS allowed FROM range(31) t(i)")
-def check_reflexive(spark, sf_dir):
-    asked = spark.range(31).select(F.col("id").cast("string").alias("qid"), F.lit("team").alias("object_type"), F.col("id").cast("string").alias("object_id"), F.lit("member").alias("relation"), F.lit("team").alias("subject_type"), F.col("id").cast("string").alias("subject_id"), F.lit("member").alias("subject_relation"))
+_TEAMS_SQL = "nested(top, below) AS (SELECT CAST(i AS VARCHAR), CAST(i AS VARCHAR) FROM range(31) t(i) UNION SELECT n.top, t.subject_id FROM nested n JOIN tuples t ON t.object_type = 'team' AND t.subject_type = 'team' AND t.object_id = n.below)"
+
+
+@_query(_with(TUPLES_SQL, _TEAMS_SQL) + "SELECT CAST(i AS VARCHAR) AS qid, n.top IS NOT NULL AS allowed FROM range(961) t(i) LEFT JOIN nested n ON n.top = CAST(i // 31 AS VARCHAR) AND n.below = CAST(i % 31 AS VARCHAR)")
+def check_usersets(spark, sf_dir):
+    """Whether one team's members are members of another: of itself always, of others by nesting, all pairs."""
+    a, b = F.floor(F.col("id") / 31).cast("string"), (F.col("id") % 31).cast("string")
+    asked = spark.range(961).select(F.col("id").cast("string").alias("qid"), F.lit("team").alias("object_type"), a.alias("object_id"), F.lit("member").alias("relation"), F.lit("team").alias("subject_type"), b.alias("subject_id"), F.lit("member").alias("subject_relation"))
     return check(model(), tuples(spark, sf_dir), asked).select("qid", "allowed")
 
 
+@_query(_checked("order_can_release"))
+def batch_check_orders(spark, sf_dir):
+    asked = _order_requests(spark, sf_dir, "can_release").withColumnRenamed("qid", "correlation_id")
+    return batch_check(model(), tuples(spark, sf_dir), asked).select(F.col("correlation_id").alias("qid"), "allowed")
+
+
 @_query("SELECT CAST(c_custkey AS VARCHAR) AS qid, c_custkey % 3 = 0 AS allowed FROM customer")
 def check_contextual(spark, sf_dir):
     """A user unknown to the store owns every third customer by tuples of its own requests alone."""
@@ -288,6 +308,50 @@ def in_cidr_v4(spark, sf_dir):
     return events.select(F.col("event_id").cast("string").alias("id"), condition_column(c, F.lit("{}"), F.to_json(F.struct(address.alias("ip")))).alias("inside"))
 
 
+@_query("SELECT CAST(event_id AS VARCHAR) AS id, event_id % 65536 >= 32768 AS inside FROM events")
+def in_cidr_v6(spark, sf_dir):
+    c = Condition("net", (("ip", "ipaddress"),), 'ip.in_cidr("2001:db8:8000::/33")')
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    address = F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.col("event_id") % 65536)), F.lit("::1"))
+    return events.select(F.col("event_id").cast("string").alias("id"), condition_column(c, F.lit("{}"), F.to_json(F.struct(address.alias("ip")))).alias("inside"))
+
+
+@_query("SELECT CAST(event_id AS VARCHAR) AS id, event_id % 5 > 2 OR event_id % 7 > 2 AS some, event_id % 3 = 1 AS own FROM events")
+def condition_lists_and_maps(spark, sf_dir):
+    some = Condition("some", (("l", "list<int>"),), "l.exists(x, x > 2)")
+    own = Condition("own", (("m", "map<int>"),), "m.k == 1 && m.size() == 1")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n = F.col("event_id")
+    context = F.to_json(F.struct(F.array(n % 5, n % 7).alias("l"), F.create_map(F.lit("k"), n % 3).alias("m")))
+    return events.select(n.cast("string").alias("id"), condition_column(some, F.lit("{}"), context).alias("some"), condition_column(own, F.lit("{}"), context).alias("own"))
+
+
+# writes and changes ------------------------------------------------------------------------------------------------
+
+
+@_query(_with(TUPLES_SQL) + "SELECT relation, t.object_id, t.subject_id FROM tuples t JOIN customer c ON t.object_id = CAST(c.c_custkey AS VARCHAR) WHERE object_type = 'customer' AND (relation = 'owner' AND c_acctbal >= 0 OR relation = 'blocked')")
+def store_writes(spark, sf_dir):
+    """Owners are written, those of customers in debt deleted and blocked instead, and all is compacted in between."""
+    s = store.Store(spark, f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    rows = store.read(tuples(spark, sf_dir), object_type="customer")
+    debt = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal < 0").select(F.col("c_custkey").cast("string").alias("object_id"))
+    owners = rows.where("relation = 'owner'")
+    s.write(model(), owners)
+    s.compact()
+    s.write(model(), rows.where("relation = 'blocked'"), owners.join(debt, "object_id", "left_semi"))
+    return s.tuples().select("relation", "object_id", "subject_id")
+
+
+@_query("SELECT object_id, CAST(last AS BIGINT) AS last FROM (SELECT CAST(event_id % 500 AS VARCHAR) AS object_id, max(event_id) AS last, arg_max(event_type, event_id) AS kind FROM events GROUP BY 1) WHERE kind <> 'error'")
+def stream_of_changes(spark, sf_dir):
+    """What a stream over the change log leaves, the last change of each object winning."""
+    folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    log = changelog(spark, sf_dir).withColumn("object_id", (F.col("object_id").cast("bigint") % 500).cast("string")).withColumn("subject_id", F.lit("all"))
+    log.withColumns({"condition_name": F.lit(""), "condition_context": F.lit("")}).repartition(4).write.parquet(f"{folder}/log")
+    follow(stream_changes(spark, f"{folder}/log"), f"{folder}/at", lambda df, n: df.write.mode("append").parquet(f"{folder}/net")).awaitTermination()
+    return net_changes(spark.read.parquet(f"{folder}/net")).where("operation = 0").select("object_id", F.col("ulid").cast("bigint").alias("last"))
+
+
 # list users, expand, searches --------------------------------------------------------------------------------------
 
 
@@ -322,6 +386,25 @@ def list_users_exclusion(spark, sf_dir):
     return list_users(model(), tuples(spark, sf_dir), _objects(spark, "customer", "viewer", keys))
 
 
+_ANYONE = "asked AS (SELECT DISTINCT 'u' || subject_id AS qid, subject_id AS uid FROM tuples WHERE subject_type = 'user' AND subject_id <> '*' AND object_type <> 'resource')"
+
+
+@_query(_with(TUPLES_SQL, _ANYONE, VALUES_SQL) + "SELECT object_id AS qid, 'user:' || substr(qid, 2) AS \"user\" FROM order_can_release")
+def list_users_intersection(spark, sf_dir):
+    """Approvers that may also view the order's customer, by name or by a wildcard that does not exclude them."""
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+    return list_users(model(), tuples(spark, sf_dir), _objects(spark, "order", "can_release", keys))
+
+
+@_query(_with(TUPLES_SQL, _ANYONE, VALUES_SQL, _TEAMS_SQL) + "SELECT object_id AS qid, 'user:' || substr(qid, 2) AS \"user\" FROM order_approver UNION SELECT t.object_id, 'team:' || n.below || '#member' FROM tuples t JOIN nested n ON n.top = t.subject_id WHERE t.object_type = 'order' AND t.relation = 'approver' AND t.subject_type = 'team'")
+def list_users_filters(spark, sf_dir):
+    """Two filters a request: users, and teams as usersets."""
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+    users = _objects(spark, "order", "approver", keys)
+    teams = users.withColumn("filter_type", F.lit("team")).withColumn("filter_relation", F.lit("member"))
+    return list_users(model(), tuples(spark, sf_dir), users.unionByName(teams))
+
+
 @_query(_with(TUPLES_SQL, _NATION_USERS, _CUSTOMER_USERS) + "SELECT object_id AS qid, 'user:' || subject_id AS \"user\" FROM customer_users")
 def subject_search_customers(spark, sf_dir):
     keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"))
@@ -340,15 +423,17 @@ def expand_ttu(spark, sf_dir):
     return expand(model(), tuples(spark, sf_dir), asked).select("qid", "path", "kind", F.array_join("users", ",").alias("users"))
 
 
-_ACTIONS = "asked(qid, uid) AS (VALUES ('7', '7'))"
+_ACTIONS = "asked AS (SELECT DISTINCT CAST((c_custkey * 7) % 150 AS VARCHAR) AS qid, CAST((c_custkey * 7) % 150 AS VARCHAR) AS uid FROM customer), mine AS (SELECT CAST(c_custkey AS VARCHAR) AS id, CAST((c_custkey * 7) % 150 AS VARCHAR) AS uid FROM customer)"
+
+
+def _held(relation: str) -> str:
+    return f"CASE WHEN EXISTS (SELECT 1 FROM tuples t WHERE t.object_type = 'customer' AND t.relation = '{relation}' AND t.subject_id = m.uid AND t.object_id = m.id) THEN '{relation}' END"
 
 
-@_query(_with(TUPLES_SQL, _ACTIONS, VALUES_SQL) + """SELECT CAST(c_custkey AS VARCHAR) AS qid, concat_ws(',',
-  CASE WHEN EXISTS (SELECT 1 FROM tuples t WHERE t.object_type = 'customer' AND t.relation = 'blocked' AND t.subject_id = '7' AND t.object_id = CAST(c_custkey AS VARCHAR)) THEN 'blocked' END,
-  CASE WHEN EXISTS (SELECT 1 FROM tuples t WHERE t.object_type = 'customer' AND t.relation = 'owner' AND t.subject_id = '7' AND t.object_id = CAST(c_custkey AS VARCHAR)) THEN 'owner' END,
-  CASE WHEN EXISTS (SELECT 1 FROM customer_viewer v WHERE v.object_id = CAST(c_custkey AS VARCHAR)) THEN 'viewer' END) AS actions FROM customer""")
+@_query(_with(TUPLES_SQL, _ACTIONS, VALUES_SQL) + f"SELECT id AS qid, concat_ws(',', {_held('blocked')}, {_held('owner')}, CASE WHEN EXISTS (SELECT 1 FROM customer_viewer v WHERE v.object_id = m.id AND v.qid = m.uid) THEN 'viewer' END) AS actions FROM mine m")
 def action_search_customers(spark, sf_dir):
-    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("qid"), F.lit("customer").alias("object_type"), F.col("c_custkey").cast("string").alias("object_id"), F.lit("user").alias("subject_type"), F.lit("7").alias("subject_id"), F.lit("").alias("subject_relation"))
+    """What each customer's possibly blocked user may do."""
+    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("qid"), F.lit("customer").alias("object_type"), F.col("c_custkey").cast("string").alias("object_id"), F.lit("user").alias("subject_type"), ((F.col("c_custkey") * 7) % 150).cast("string").alias("subject_id"), F.lit("").alias("subject_relation"))
     return action_search(model(), tuples(spark, sf_dir), asked).select("qid", F.array_join("actions", ",").alias("actions"))
 
 

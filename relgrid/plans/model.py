@@ -249,6 +249,10 @@ def validate(m: Model) -> Model:
         raise ModelError(f"unsupported schema version {m.schema}")
     if len(m.types) > MAX_TYPES or len(m.text.encode()) > MAX_BYTES:
         raise ModelError("the model is too large")
+    from relgrid.functions.cel import check_condition
+
+    for c in m.conditions.values():
+        check_condition(c)
     for t, relations in m.types.items():
         for name in (t, *relations):
             if not name or name in ("self", "this"):

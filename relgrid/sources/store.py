@@ -2,8 +2,8 @@
 
 A store is a folder of Parquet tables (any path Spark can reach): tuples, changes, models and assertions, plus a
 table of stores. Tuples are partitioned by object type and relation, so scans of one relation read its files
-alone. Writes append to the change log and rebuild the tuples from what is kept and what is new; a single
-writer is assumed, and readers see either the old or the new snapshot.
+alone. A write only appends to the change log: tuples are the last snapshot with the changes since then laid
+over it, and compact() writes a new snapshot. A single writer is assumed; readers see a write whole or not at all.
 """
 
 from __future__ import annotations
@@ -15,16 +15,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgrid.functions.identifiers import is_self_defining, join_object, join_user
-from relgrid.operators.evaluate import valid_tuples
+from relgrid.functions.cel import stored_context_fits
+from relgrid.functions.identifiers import is_object, is_relation, is_self_defining, is_user, join_object, join_user
+from relgrid.operators.evaluate import few, valid_tuples
 from relgrid.plans.model import Model, ModelError, parse_model, validate
 
 KEY = ["object_type", "object_id", "relation", "subject_type", "subject_id", "subject_relation"]
 SCHEMA = "object_type string, object_id string, relation string, subject_type string, subject_id string, subject_relation string, condition_name string, condition_context string, ulid string, inserted_at timestamp"
 CHANGES = SCHEMA + ", operation int"
+CHANGES_COLUMNS = [x.split()[0] for x in CHANGES.split(", ")]
 WRITE, DELETE = 0, 1
 MAX_PAGE, MAX_CONTEXT_BYTES, MAX_TUPLES = 100, 32 * 1024, 100
+MAX_OBJECT, MAX_RELATION, MAX_USER = 256, 50, 512
 _BASE32 = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+_LAST: dict[str, int] = {}  # by store, the time of the last write: later ones never share it
 
 
 def ulid(ms: int | None = None, random: int | None = None) -> str:
@@ -33,6 +37,13 @@ def ulid(ms: int | None = None, random: int | None = None) -> str:
     return "".join(_BASE32[(x >> (5 * k)) & 31] for k in range(25, -1, -1))
 
 
+def _ulids(ms: int) -> Column:
+    """Ids of one write's rows: its time, 30 random bits, and the row's place."""
+    k = F.monotonically_increasing_id()
+    digits = [F.lit(_BASE32).substr(F.shiftright(k, 5 * i).bitwiseAND(31).cast("int") + 1, F.lit(1)) for i in range(9, -1, -1)]
+    return F.concat(F.lit(ulid(ms)[:16]), *digits)
+
+
 # scans -------------------------------------------------------------------------------------------------------------
 
 
@@ -124,6 +135,13 @@ def duplicates(writes: DataFrame, deletes: DataFrame) -> DataFrame:
     return writes.select(*KEY).union(deletes.select(*KEY)).groupBy(*KEY).count().where("count > 1")
 
 
+def ungrammatical(rows: DataFrame) -> DataFrame:
+    """Rows whose object, relation or user is not well formed or too long."""
+    object_, user = join_object("object_type", "object_id"), join_user(relation=F.coalesce("subject_relation", F.lit("")))
+    ok = is_object(object_) & is_relation("relation") & is_user(user) & (F.octet_length(object_) <= MAX_OBJECT) & (F.octet_length("relation") <= MAX_RELATION) & (F.octet_length(user) <= MAX_USER)
+    return rows.where(~F.coalesce(ok, F.lit(False))).select(*KEY)
+
+
 @dataclass
 class Store:
     """One store in a folder."""
@@ -140,14 +158,33 @@ class Store:
             raise
 
     def tuples(self) -> DataFrame:
+        """The last snapshot, and the last change since then of each key that has any."""
         current = self._read("current", "snapshot string, ulid string").orderBy(F.desc("ulid")).limit(1).collect()
-        return self._read(f"tuples/{current[0]['snapshot']}", SCHEMA) if current else self.spark.createDataFrame([], SCHEMA)
+        since = current[0]["ulid"] if current else ""
+        base = self._read(f"tuples/{current[0]['snapshot']}", SCHEMA) if current else self.spark.createDataFrame([], SCHEMA)
+        fresh = self.changes().where(F.col("ulid") > since)
+        rest = [c for c in CHANGES_COLUMNS if c not in KEY]
+        last = fresh.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "ulid").alias("last")).select(*KEY, "last.*")
+        kept = base.join(last.select(*KEY), KEY, "left_anti").select(*CHANGES_COLUMNS[:-1])
+        return kept.union(last.where(f"operation = {WRITE}").select(*CHANGES_COLUMNS[:-1]))
+
+    def compact(self) -> None:
+        """Write all tuples as a new snapshot, so that reads no longer lay changes over the old one."""
+        newest = self.changes().agg(F.max("ulid")).first()[0]
+        if newest:
+            snapshot = uuid.uuid4().hex
+            self.tuples().write.partitionBy("object_type", "relation").parquet(f"{self.path}/tuples/{snapshot}")
+            self.spark.createDataFrame([(snapshot, newest)], "snapshot string, ulid string").write.mode("append").parquet(f"{self.path}/current")
 
     def changes(self) -> DataFrame:
         return self._read("changes", CHANGES)
 
     def write(self, model: Model, writes: DataFrame | None = None, deletes: DataFrame | None = None, *, on_duplicate: str = "error", on_missing: str = "error", max_tuples: int | None = None) -> None:
-        """Apply deletes, then writes, as one step; raises ModelError and changes nothing if any row is not acceptable."""
+        """Apply deletes, then writes, as one step; raises ModelError and changes nothing if any row is not acceptable.
+
+        Identifiers follow the grammar and its lengths, stored contexts name parameters of their condition with
+        values of their types, and tuples fit the model. Only the relations that the rows name are read.
+        """
         empty = self.spark.createDataFrame([], SCHEMA)
         writes = empty if writes is None else writes
         deletes = empty if deletes is None else deletes
@@ -156,30 +193,36 @@ class Store:
             raise ModelError("no tuples given" if not n else f"more than {max_tuples} tuples")
         if not duplicates(writes, deletes).isEmpty():
             raise ModelError("a tuple is named twice", 2004)
+        if not ungrammatical(writes).union(ungrammatical(deletes)).isEmpty():
+            raise ModelError("an object, relation or user is not well formed", 2000)
         full = writes.select(*KEY, F.coalesce("condition_name", F.lit("")).alias("condition_name"), F.coalesce("condition_context", F.lit("")).alias("condition_context"))
         bad = full.join(valid_tuples(model, full).select(*KEY), KEY, "left_anti")
         implied = full.where(is_self_defining(join_object("object_type", "object_id"), "relation", join_user()))
         large = full.where(F.octet_length("condition_context") > MAX_CONTEXT_BYTES)
-        if not (bad.isEmpty() and implied.isEmpty() and large.isEmpty()):
+        alien = full.where(~self._contexts_fit(model, full))
+        if not (bad.isEmpty() and implied.isEmpty() and large.isEmpty() and alien.isEmpty()):
             raise ModelError("a tuple does not fit the model", 2000)
-        tuples = self.tuples()
+        pairs = few(full.select("object_type", "relation").union(deletes.select("object_type", "relation")))
+        named = F.lit(False)
+        for t, r in sorted(map(tuple, pairs)):
+            named = named | ((F.col("object_type") == t) & (F.col("relation") == r))
+        tuples = self.tuples().where(named)
         plan = classify(tuples, full, deletes)
-        errors = (["conflict"] if True else []) + (["duplicate"] if on_duplicate == "error" else []) + (["missing"] if on_missing == "error" else [])
+        errors = ["conflict"] + (["duplicate"] if on_duplicate == "error" else []) + (["missing"] if on_missing == "error" else [])
         if found := plan.where(F.col("outcome").isin(*errors)).select("outcome").limit(1).collect():
             raise ModelError(f"cannot write: {found[0][0]}", 2017)
-        ms = int(time.time() * 1000)
-        stamp = F.to_timestamp(F.timestamp_millis(F.lit(ms)))
-        first = ulid(ms, 0)[:10]
-        done = plan.where(F.col("outcome").isin("insert", "delete")).withColumn("ulid", F.concat(F.lit(first), F.lpad(F.conv(F.monotonically_increasing_id().cast("string"), 10, 32), 16, "0"))).withColumn("inserted_at", stamp)
-        done = done.select(*KEY, "condition_name", "condition_context", "ulid", "inserted_at", "operation")
-        snapshot = uuid.uuid4().hex
-        done.write.parquet(f"{self.path}/pending/{snapshot}")
-        done = self.spark.read.schema(CHANGES).parquet(f"{self.path}/pending/{snapshot}")
-        kept = tuples.join(done.where(f"operation = {DELETE}").select(*KEY), KEY, "left_anti")
-        new = done.where(f"operation = {WRITE}").drop("operation")
-        kept.unionByName(new).write.partitionBy("object_type", "relation").parquet(f"{self.path}/tuples/{snapshot}")
-        done.write.mode("append").parquet(f"{self.path}/changes")
-        self.spark.createDataFrame([(snapshot, ulid(ms + 1))], "snapshot string, ulid string").write.mode("append").parquet(f"{self.path}/current")
+        ms = _LAST[self.path] = max(int(time.time() * 1000), _LAST.get(self.path, 0) + 1)
+        done = plan.where(F.col("outcome").isin("insert", "delete")).withColumn("ulid", _ulids(ms)).withColumn("inserted_at", F.to_timestamp(F.timestamp_millis(F.lit(ms))))
+        done.select(*CHANGES_COLUMNS).write.mode("append").parquet(f"{self.path}/changes")
+
+    @staticmethod
+    def _contexts_fit(model: Model, rows: DataFrame) -> Column:
+        plain = F.col("condition_context") == ""
+        fits = F.when(plain, True)
+        for (name,) in sorted(map(tuple, few(rows.where(~plain).select("condition_name")))):
+            if name in model.conditions:
+                fits = fits.when(F.col("condition_name") == name, stored_context_fits(model.conditions[name])(F.col("condition_context")))
+        return F.coalesce(fits, F.lit(False))
 
     def read_changes(self, *, object_type: str = "", token: str = "", size: int = 50, horizon_ms: int = 0, start_ms: int | None = None) -> tuple[list, str]:
         """A page of changes and its token; an empty page gives the token it was asked with."""
