@@ -175,3 +175,34 @@ def test_more_relations_than_the_limit_raise(spark, monkeypatch):
     with pytest.raises(evaluate.ModelError):
         _targets(asked)
     assert len(_targets(asked.where("relation <> 'r3'"))) == 3
+
+
+def test_check_work_follows_the_requests(spark):
+    """Values hold the pairs asked for, not all that their subjects reach, through recursion as well."""
+    from relgrid.operators.evaluate import Evaluator, with_contextual
+
+    m = validate(parse_model(MODEL))
+    tuples = [row("folder:top#owner@user:x"), *(row(f"folder:f{i}#parent@folder:{'top' if i < 3 else f'f{i - 3}'}") for i in range(60)), *(row(f"doc:{i}#folder@folder:f{i % 60}") for i in range(300))]
+    df = with_contextual(spark.createDataFrame(tuples, TUPLE), None)
+    wanted = spark.createDataFrame([("q", "7"), ("q", "59"), ("q", "none")], "qid string, object_id string")
+    seeds = spark.createDataFrame([("q", "user", "x", "")], "qid string, subject_type string, subject_id string, subject_relation string")
+    e = Evaluator(m, df, seeds)
+    e.demand(("doc", "either"), wanted)
+    assert {r.object_id for r in e.value("doc", "either").collect()} == {"7", "59"}
+    assert e.need["folder", "viewer"].count() == 24  # f7, f4, f1, top, and f59 up to f2
+    assert e.value("folder", "viewer").count() == 24
+    assert {(r.qid, r.object) for r in list_objects(m, df.drop("ctx"), spark.createDataFrame(ask("doc:1#either@user:x"), REQUEST)).collect()} >= {("doc:1#either@user:x", "doc:299")}
+
+
+def test_limits_streams_and_undecided_objects(spark):
+    from relgrid.operators.check import stream_objects, undecided_objects
+
+    m = validate(parse_model(MODEL))
+    df = spark.createDataFrame([*(row(f"doc:{i}#editor@user:x") for i in range(5)), row("doc:9#editor@user:y"), row("doc:8#editor@user:y", "late", '{"least": 9}')], TUPLE)
+    asked = spark.createDataFrame([("a", *row("doc:1#editor@user:x")[:6], "{}"), ("b", *row("doc:1#editor@user:x")[:6], "{}"), ("c", *row("doc:1#editor@user:y")[:6], "{}")], REQUEST)
+    some = {}
+    for r in list_objects(m, df, asked, max_results=2).collect():
+        some.setdefault(r.qid, set()).add(r.object)
+    assert some == {"a": {"doc:0", "doc:1"}, "b": {"doc:0", "doc:1"}, "c": {"doc:9"}}
+    assert len(list(stream_objects(m, df, asked))) == 11
+    assert [tuple(r) for r in undecided_objects(m, df, asked).collect()] == [("c", "doc:8")]

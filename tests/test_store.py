@@ -71,3 +71,32 @@ def test_models_assertions_and_stores(spark, tmp_path):
     s.write(s.model(), rows(spark, "group:a#member@user:x"))
     s.write_assertions(id_, rows(spark, "group:a#member@user:x", "group:a#member@user:y").selectExpr("*", "subject_id = 'x' as expectation").drop("condition_name", "condition_context"))
     assert [r.passed for r in s.run_assertions(id_).collect()] == [True, True]
+
+
+def test_writes_are_checked_and_laid_over_snapshots(spark, tmp_path):
+    m = validate(parse_model(MODEL))
+    s = store.Store(spark, str(tmp_path / "s"))
+    with_context = lambda text, context: spark.createDataFrame([row(text, "late", context)], TUPLE)
+    for bad in ("group:#member@user:x", "group:a b#member@user:x", "group:a#member@user:x#y#z", f"group:{'a' * 300}#member@user:x", "group:a#member@user:a:b"):
+        with pytest.raises(ModelError):
+            s.write(m, rows(spark, bad))
+    for bad in ('{"other": 1}', '{"least": "soon"}', "[1]", "no json"):
+        with pytest.raises(ModelError):
+            s.write(m, with_context("doc:1#editor@user:x", bad))
+    s.write(m, with_context("doc:1#editor@user:x", '{"least": 9}'))
+    s.write(m, rows(spark, *(f"group:a#member@user:{i}" for i in range(40))))
+    s.compact()
+    s.write(m, rows(spark, "group:b#member@user:x"), rows(spark, "group:a#member@user:0"))
+    s.write(m, rows(spark, "group:a#member@user:0"))
+    s.write(m, None, rows(spark, "group:a#member@user:1"))
+    want = {("1", "editor", "x"), ("b", "member", "x"), *(("a", "member", str(i)) for i in range(40) if i != 1)}
+    assert keys(s.tuples()) == want and s.tuples().count() == len(want)
+    s.compact()
+    assert keys(s.tuples()) == want
+    ulids = [r.ulid for r in s.changes().collect()]
+    assert len(set(ulids)) == len(ulids) == 45 and all(len(u) == 26 and set(u) <= set(store._BASE32) for u in ulids)
+
+
+def test_unknown_functions_are_rejected_with_the_model():
+    with pytest.raises(ModelError):
+        validate(parse_model(MODEL.replace("hour >= least", "soon(hour) >= least")))
