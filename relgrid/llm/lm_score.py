@@ -129,14 +129,15 @@ class Vocabulary:
     def classify(self, key: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class of each token, its row among the words of shared classes (-1: own class), and its place among the
         head words (-1: none)."""
-        c = self.shared(key, ending)
-        rest = self.edge[c + 1] - 1
-        if not len(self.keys):
-            return (OWN + c).astype(np.int32), rest, np.full(len(key), -1)
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        at = np.where(self.keys[at] == key, at, -1)
-        return np.where(at >= 0, self.classes[at], OWN + c).astype(np.int32), np.where(at >= 0, self.rows[at], rest), at
+        key, first, back = np.unique(key, return_index=True, return_inverse=True)  # a chunk repeats its words
+        c = self.shared(key, ending[first])
+        w, row, at = (OWN + c).astype(np.int32), self.edge[c + 1] - 1, np.full(len(key), -1)
+        if len(self.keys):
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            met = (self.keys[found] == key).nonzero()[0]
+            at[met] = found[met]
+            w[met], row[met] = self.classes[at[met]], self.rows[at[met]]
+        return w.take(back), row.take(back), at.take(back)
 
 
 def frequent(counts: DataFrame, limit: int) -> DataFrame:
@@ -218,7 +219,10 @@ class LogBilinear:
 
     def predicted(self, a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Vectors that decide inside classes: a, b the context classes, x, y the rows of the words before."""
-        return (self.context[a] + self.own[x]) @ self.first + (self.context[b] + self.own[y]) @ self.second
+        far, near = self.context.take(a, axis=0), self.context.take(b, axis=0)
+        far += self.own.take(x, axis=0)
+        near += self.own.take(y, axis=0)
+        return far @ self.first + near @ self.second
 
     def normalisers(self) -> np.ndarray:
         """Log of the sum over all classes for every pair (class before the last, last class)."""
@@ -252,7 +256,7 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 def segment_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of the runs of rows that begin at `first`."""
-    upto = np.cumsum(rows, axis=0)[np.append(first[1:], len(rows)) - 1]
+    upto = np.cumsum(rows, axis=0).take(np.append(first[1:], len(rows)) - 1, axis=0)
     upto[1:] -= upto[:-1].copy()
     return upto
 
@@ -284,19 +288,21 @@ class Trainer:
         s = at[order]
         first = starts(s)
         out = np.zeros((size, rows.shape[1]), np.float32)
-        out[s[first]] = segment_sums(rows[order], first)
+        out[s[first]] = segment_sums(rows.take(order, axis=0), first)
         return out
 
-    def _rows(self, name: str, at: np.ndarray, grads: np.ndarray) -> None:
-        """AdaGrad steps, one rate a row, for the rows met."""
+    def _rows(self, name: str, at: np.ndarray, grads: np.ndarray, used: int) -> None:
+        """AdaGrad steps, one rate a row, for the rows met; the first `used` count as uses of theirs."""
         order = np.argsort(at, kind="stable")
         s = at[order]
         first = starts(s)
-        g, u = segment_sums(grads[order], first), s[first]
-        past = self.past_rows[name][u] + np.einsum("ij,ij->i", g, g) / DIM
+        g, u = segment_sums(grads.take(order, axis=0), first), s[first]
+        past = self.past_rows[name].take(u) + np.einsum("ij,ij->i", g, g) / DIM
         self.past_rows[name][u] = past
         g *= (WORD_RATE / np.sqrt(past))[:, None]
-        getattr(self.m, name)[u] -= g
+        self.used[name][u] += np.add.reduceat((order < used).astype(np.float32), first)
+        table = getattr(self.m, name)
+        table[u] = table.take(u, axis=0) - g
 
     def _noise_words(self) -> np.ndarray:
         """WORD_NOISE rows of each shared class, by weight."""
@@ -320,26 +326,24 @@ class Trainer:
         first = starts(c)
         drawn = self._noise_words()[c[first]]
         which = np.repeat(np.arange(len(first)), np.diff(first, append=len(c)))
-        vec, noise = m.inner[row], m.inner[drawn][which]
+        vec, noise = m.inner.take(row, axis=0), m.inner.take(drawn, axis=0).take(which, axis=0)
         odds = np.float32(np.log(WORD_NOISE))  # frequencies cancel: counts are part of the logit and of the noise
         g_data = logistic(np.einsum("ij,ij->i", q, vec) - odds) - 1
         g_noise = logistic(np.einsum("ikj,ij->ik", noise, q) - odds)
         back = g_data[:, None] * vec + np.einsum("ik,ikj->ij", g_noise, noise)
         met = segment_sums((g_noise[:, :, None] * q[:, None, :]).reshape(len(q), -1), first)
-        self._rows("inner", np.concatenate([row, drawn.ravel()]), np.concatenate([g_data[:, None] * q, met.reshape(-1, DIM)]))
-        np.add.at(self.used["inner"], row, 1)
+        self._rows("inner", np.concatenate([row, drawn.ravel()]), np.concatenate([g_data[:, None] * q, met.reshape(-1, DIM)]), len(row))
         at = np.concatenate([x, y])
-        self._rows("own", at, np.concatenate([back @ m.first.T, back @ m.second.T]))
-        np.add.at(self.used["own"], at, 1)
+        self._rows("own", at, np.concatenate([back @ m.first.T, back @ m.second.T]), len(at))
 
     def classes(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
         """Step for the parameters of classes; a, b, w: the classes of the two words before and of the word."""
         m, n, size = self.m, len(w), len(self.v.share)
         noise = np.minimum(np.searchsorted(self.edge, self.rng.random(NOISE) * self.edge[-1], "right"), size - 1)
-        ca, cb = m.context[a], m.context[b]
+        ca, cb = m.context.take(a, axis=0), m.context.take(b, axis=0)
         q = ca @ m.first + cb @ m.second
-        qw, qn = m.output[w], m.output[noise]
-        g_data = (logistic(np.einsum("ij,ij->i", q, qw) + m.bias[w] - self.log_noise[w]) - 1) / n
+        qw, qn = m.output.take(w, axis=0), m.output.take(noise, axis=0)
+        g_data = (logistic(np.einsum("ij,ij->i", q, qw) + (m.bias - self.log_noise).take(w)) - 1) / n
         g_noise = logistic(q @ qn.T + (m.bias - self.log_noise)[noise]) / np.float32(n)
         back = g_data[:, None] * qw + g_noise @ qn
         both = np.empty((n + NOISE, DIM + 1), np.float32)
@@ -507,12 +511,12 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilin
         for batch in batches:
             for i, j, buf, off in flat.chunks(batch.column("text")):
                 key, bounds, at, of = placed(v, buf, off)
-                a, b, w = of[:3]
-                p = (far[a, w] + near[b, w] - normal[a, b]).astype(float)
+                a, b, w = (x.astype(np.int64) for x in of[:3])
+                p = (far.take(a * v.n_classes + w) + near.take(b * v.n_classes + w) - normal.take(a * (v.n_classes + 1) + b)).astype(float)
                 p += inner_logs(v, m, log_weight, of)
                 p /= LOG10
                 known = at >= 0
-                own = np.where(known, head_log[at], 0.0) if len(head_log) else np.zeros(len(w))
+                own = np.where(known, head_log.take(at), 0.0) if len(head_log) else np.zeros(len(w))
                 p -= np.where(known, 0.0, rest_log[np.maximum(w - OWN, 0)])
                 row, doc_id = batch.column("row").slice(i, j - i), batch.column("doc_id").slice(i, j - i)
                 number = row.to_numpy(zero_copy_only=False)
@@ -521,9 +525,11 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilin
                 yield pa.RecordBatch.from_arrays([row, pa.array(flat.mix(number.astype(U) ^ U(0xA5A5A5A5A5A5A5A5)).view(np.int64)), pa.array(np.zeros(len(n), np.int64)), doc_id, pa.array(n), pa.array(flat.sums(known, bounds)), pa.array(flat.sums(own, bounds) - n * base), pa.array(flat.sums(p, bounds))], names)
                 rare = np.flatnonzero(~known)
                 doc = np.searchsorted(bounds, rare, "right") - 1
-                pair, count = np.unique(np.rec.fromarrays([doc, key[rare]]), return_counts=True) if len(rare) else (np.rec.fromarrays([doc, key[rare]]), rare)
-                none = pa.nulls(len(pair))
-                yield pa.RecordBatch.from_arrays([pa.array(number[pair["f0"]]), pa.array(np.ascontiguousarray(pair["f1"]).view(np.int64)), pa.array(count.astype(np.int64)), *(none.cast(t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names)
+                order = np.lexsort((key[rare], doc))
+                doc, word = doc[order], key[rare][order]
+                first = np.flatnonzero(np.concatenate([np.ones(min(len(doc), 1), bool), (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])]))
+                none = pa.nulls(len(first))
+                yield pa.RecordBatch.from_arrays([pa.array(number[doc[first]]), pa.array(word[first].view(np.int64)), pa.array(np.diff(first, append=len(doc))), *(none.cast(t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     spread = mapped(rows, run, "row long, key long, n long, doc_id long, n_tokens long, n_known long, base double, model double")

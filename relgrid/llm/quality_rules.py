@@ -4,7 +4,8 @@ Words are maximal runs of characters other than ASCII white space. A null text c
 statistics cover whole texts. The model takes relative frequencies of hashed word 1- and 2-grams and of
 hashed byte 3-grams; its weights come from a bounded sample of labelled rows, its probabilities are
 calibrated on a part of that sample that the weights have not seen, and the verdict compares them with a
-fixed threshold. Duplicate rows are scored row by row; extra columns of the input are ignored.
+fixed threshold, which a probability reaches by being equal to it. Duplicate rows are scored row by row; texts
+count whole, whatever their length; an empty table gives no rows; extra columns of the input are ignored.
 """
 
 from __future__ import annotations

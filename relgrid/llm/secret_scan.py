@@ -104,7 +104,12 @@ def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
 
 
 def scan(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """Adds `spans`, array of (start, end, kind number, value) by start and kind, and `base_spans`."""
+    """Adds `spans`, array of (start, end, kind number, value) by start and kind, and `base_spans`.
+
+    Columns of these names are replaced, and names of ours (__text, __base, __runs, __more and the kinds) are taken.
+    A text of any length is one row; its spans are gathered one after the other, so time grows with the square of
+    the spans in a single text.
+    """
     table_of = F.split(F.lit(",".join(f"{x:g}" for x in ratios.ravel())), ",").cast("array<double>")  # folded to one literal
     found = candidates(base_spans(docs))
 

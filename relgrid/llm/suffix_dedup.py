@@ -244,6 +244,20 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+#: equality of windows is equality of 64-bit hashes here as well
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, hash(b[i:i + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+cuts AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 1 ELSE 0 END AS cut FROM hit),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 399 AS z FROM (SELECT doc_id, i, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM cuts) GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, z + 1 AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), 1e15::BIGINT) - 1 AS z FROM runs UNION ALL SELECT doc_id, 1, min(a) - 1 FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(hex(b[a:z]), '' ORDER BY a) AS x FROM gaps JOIN d USING (doc_id) WHERE a <= z AND a <= octet_length(b) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(z - a + 1) AS n, count(*) AS s FROM runs GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(s, 0)::BIGINT AS n_spans, sha256(CASE WHEN n IS NULL THEN b ELSE unhex(coalesce(x, '')) END) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
 def brute_force(docs: list[tuple], length: int = LENGTH) -> dict:
     """Contract by a table of all windows, for tests: {doc_id: (n_bytes, n_removed, n_spans, kept_sha256)}."""
     raw = {d: (t or "").encode() if not isinstance(t, bytes) else t for d, t in docs}

@@ -7,7 +7,9 @@ word in a very long text count. Labels say toxic or not; the severity of a toxic
 by the terciles of its toxic evidence, the summed log-odds of its selected terms. One weight vector is
 shared by all grades and the thresholds are ordered. Output: P(grade >= 1) as `score`, the expected grade,
 the most likely grade, and `toxic`, score >= 0.5. Null and empty texts have no terms and are not toxic
-(unless the sample holds no clean row). Rows are scored one by one; extra columns are ignored.
+(unless the sample holds no clean row). Evidence equal to a tercile belongs to the grade above it; of equally
+distinctive terms at the MAX_TERMS-th place those of lower hashes stay. An empty table gives no rows. Rows are
+scored one by one; extra columns are ignored.
 """
 
 from __future__ import annotations
