@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
-from .runtime import hidden, id_crc, mapped, table
+from .runtime import give_back, hidden, id_crc, mapped, table
 from .sample import labelled_sample
 
 U = np.uint64
@@ -75,13 +75,30 @@ def project(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return z / np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-9)
 
 
-def truncated_svd(x: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
+class Weighted:
+    """The sample's rows in half precision times the terms' weights, multiplied block by block."""
+
+    def __init__(self, rows: np.ndarray, idf: np.ndarray):
+        self.rows, self.idf, self.shape = rows, idf, rows.shape
+
+    def _blocks(self) -> Iterator[np.ndarray]:
+        for at in range(0, len(self.rows), BLOCK_ROWS):
+            yield self.rows[at : at + BLOCK_ROWS].astype(np.float32) * self.idf
+
+    def __matmul__(self, q: np.ndarray) -> np.ndarray:
+        return np.concatenate([b @ q for b in self._blocks()])
+
+    def transposed(self, q: np.ndarray) -> np.ndarray:
+        return sum(b.T @ q[i * BLOCK_ROWS : (i + 1) * BLOCK_ROWS] for i, b in enumerate(self._blocks()))
+
+
+def truncated_svd(x: Weighted, k: int, seed: int = 7) -> np.ndarray:
     """Right singular vectors (columns) by subspace iteration."""
     rng = np.random.default_rng(seed)
     q = rng.standard_normal((x.shape[1], min(k + 8, *x.shape))).astype(np.float32)
     for _ in range(4):
         q, _ = np.linalg.qr(x @ q)
-        q, _ = np.linalg.qr(x.T @ q)
+        q, _ = np.linalg.qr(x.transposed(q))
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
     return (q @ vt.T)[:, :k]
 
@@ -89,7 +106,7 @@ def truncated_svd(x: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, *, where=None, limit: int = SAMPLE_ROWS) -> Model:
     """Fit on at most `limit` labelled rows of label column quality; `where` restricts them by doc_id."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, off in flat.chunks(batch.column("text"), 1 << 18):
                 x = counts(buf, off).astype(np.float16)
@@ -99,23 +116,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, where=None, limit: int = SAMPLE_R
 
     # only terms that occur travel: a tenth of the dense rows
     sample = labelled_sample(docs, labels, "quality", limit, where).select("label", F.col("text").cast("binary").alias("text"))
-    got = mapped(sample, rows, "label int, cols binary, vals binary").collect()
-    got.sort(key=lambda r: (r["cols"], r["vals"], r["label"]))
-    y = np.array([r["label"] for r in got], np.float32)
+    got = mapped(sample, sparse, "label int, cols binary, vals binary").toArrow()  # at most `limit` rows of DIM terms
+    got = got.sort_by([("cols", "ascending"), ("vals", "ascending"), ("label", "ascending")])
+    y = got["label"].to_numpy().astype(np.float32)
     if not len(y):
         return Model(np.zeros((DIM, 1), np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32), 0.5)
-    x, df = np.zeros((len(got), DIM), np.float32), np.zeros(DIM, np.int64)
-    for i, r in enumerate(got):
-        c = np.frombuffer(r["cols"], np.uint16)
-        x[i, c] = np.frombuffer(r["vals"], np.float16)
+    rows, df = np.zeros((len(y), DIM), np.float16), np.zeros(DIM, np.int64)
+    for i, (cols, vals) in enumerate(zip(got["cols"], got["vals"], strict=True)):
+        c = np.frombuffer(cols.as_buffer(), np.uint16)
+        rows[i, c] = np.frombuffer(vals.as_buffer(), np.float16)
         df[c] += 1
     del got
-    idf = np.where(df > 0, np.log((1 + len(x)) / (1 + df)) + 1, 0).astype(np.float32)
-    x *= idf
-    v = truncated_svd(x, LATENT)
+    x = Weighted(rows, np.where(df > 0, np.log((1 + len(y)) / (1 + df)) + 1, 0).astype(np.float32))
+    v, idf = truncated_svd(x, LATENT), x.idf
     weights = idf[:, None] * v
     z = x @ v
     z /= np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-9)
+    del x, rows
+    give_back()
     return Model(weights.astype(np.float32), z.astype(np.float32), y, float(y.mean()))
 
 

@@ -39,6 +39,13 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     """df.mapInArrow, whose workers give memory back to the system when a task ends, as they live on for others."""
     ship(df.sparkSession)
@@ -47,9 +54,7 @@ def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return df.mapInArrow(tidy, schema)
 
@@ -93,6 +98,7 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
     gc.collect()
     jvm.System.gc()
+    give_back()
 
 
 _STEADY = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "LocalRelation", "LogicalRDD", "Range"}
