@@ -20,7 +20,16 @@ def merged_context(subject: str = "subject_properties", resource: str = "resourc
 
 
 def evaluate(model: Model, tuples: DataFrame, requests: DataFrame, contextual: DataFrame | None = None) -> DataFrame:
-    """One decision for each request (action: the relation)."""
+    """One decision for each request (action: the relation).
+
+    With properties of subjects, resources or actions (maps), these join the request's own context map.
+    """
+    parts = ["subject_properties", "resource_properties", "action_properties"]
+    if set(parts) & set(requests.columns):
+        none = F.lit(None).cast("map<string,string>")
+        for c in [*parts, "context"]:
+            requests = requests.withColumn(c, F.col(c) if c in requests.columns else none)
+        requests = requests.withColumn("context", merged_context()).drop(*parts)
     return check(model, tuples, requests.withColumnRenamed("action", "relation"), contextual).withColumnRenamed("allowed", "decision")
 
 

@@ -168,6 +168,19 @@ class Store:
         kept = base.join(last.select(*KEY), KEY, "left_anti").select(*CHANGES_COLUMNS[:-1])
         return kept.union(last.where(f"operation = {WRITE}").select(*CHANGES_COLUMNS[:-1]))
 
+    def read_tuples(self, *, size: int = 50, token: str = "", **key: str) -> tuple[list, str]:
+        """A page of the tuples that match a key (as for read()), by ulid, and the token of the next page (empty: none).
+
+        A key needs an object type, and an object id or a user with it; without a key all tuples are read.
+        """
+        if any(key.values()) and not (key.get("object_type") and (key.get("object_id") or key.get("subject_id"))):
+            raise ModelError("a key needs an object type, and an object id or a user", 2000)
+        if not 1 <= size <= MAX_PAGE:
+            raise ModelError(f"pages have 1 to {MAX_PAGE} tuples", 2000)
+        if token and (len(token) != 26 or set(token) - set(_BASE32)):
+            raise ModelError("invalid continuation token", 2007)
+        return page(read(self.tuples(), **key), size, token)
+
     def compact(self) -> None:
         """Write all tuples as a new snapshot, so that reads no longer lay changes over the old one."""
         newest = self.changes().agg(F.max("ulid")).first()[0]
@@ -253,7 +266,12 @@ class Store:
         return parse_model(found[0]["text"])
 
     def write_assertions(self, model_id: str, assertions: DataFrame) -> None:
-        """Replace a model's assertions: rows of a check request and `expectation`."""
+        """Replace a model's assertions: rows of a check request and `expectation`; relations must be the model's."""
+        model = self.model(model_id)
+        for t, r in sorted(map(tuple, few(assertions.select("object_type", "relation")))):
+            model.need(t, r)
+        if not ungrammatical(assertions).isEmpty():
+            raise ModelError("an object, relation or user is not well formed", 2000)
         assertions.write.mode("overwrite").parquet(f"{self.path}/assertions/{model_id}")
 
     def assertions(self, model_id: str) -> DataFrame:

@@ -206,3 +206,13 @@ def test_limits_streams_and_undecided_objects(spark):
     assert some == {"a": {"doc:0", "doc:1"}, "b": {"doc:0", "doc:1"}, "c": {"doc:9"}}
     assert len(list(stream_objects(m, df, asked))) == 11
     assert [tuple(r) for r in undecided_objects(m, df, asked).collect()] == [("c", "doc:8")]
+
+
+def test_evaluations_merge_properties_into_the_context(spark):
+    from relgrid.operators.search import evaluate
+
+    m = validate(parse_model(MODEL))
+    df = spark.createDataFrame([row("doc:2#editor@user:x", "late", '{"subject_least": 1}')], TUPLE)
+    m.conditions["late"] = type(m.conditions["late"])("late", (("subject_hour", "int"), ("least", "int")), "subject_hour >= least")
+    asked = spark.createDataFrame([(str(h), "doc", "2", "editor", "user", "x", "", {"hour": str(h)}, {"least": "9"}) for h in (8, 10)], "qid string, object_type string, object_id string, action string, subject_type string, subject_id string, subject_relation string, subject_properties map<string,string>, context map<string,string>")
+    assert {r.qid: r.decision for r in evaluate(m, df, asked).collect()} == {"8": False, "10": True}

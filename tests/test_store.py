@@ -100,3 +100,19 @@ def test_writes_are_checked_and_laid_over_snapshots(spark, tmp_path):
 def test_unknown_functions_are_rejected_with_the_model():
     with pytest.raises(ModelError):
         validate(parse_model(MODEL.replace("hour >= least", "soon(hour) >= least")))
+
+
+def test_pages_of_tuples_and_checked_assertions(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    id_ = s.write_model(MODEL)
+    s.write(s.model(), rows(spark, *(f"group:a#member@user:{i}" for i in range(5)), "group:b#member@user:0"))
+    first, token = s.read_tuples(size=4)
+    rest, end = s.read_tuples(size=4, token=token)
+    assert len(first) == 4 and len(rest) == 2 and end == "" and not {r.ulid for r in first} & {r.ulid for r in rest}
+    assert {r.object_id for r in s.read_tuples(object_type="group", subject_type="user", subject_id="0")[0]} == {"a", "b"}
+    for wrong in ({"object_type": "group"}, {"relation": "member"}, {"size": 0}, {"token": "no"}):
+        with pytest.raises(ModelError):
+            s.read_tuples(**wrong)
+    bad = rows(spark, "group:a#nothing@user:x").selectExpr("*", "true as expectation").drop("condition_name", "condition_context")
+    with pytest.raises(ModelError):
+        s.write_assertions(id_, bad)
