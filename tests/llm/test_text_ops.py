@@ -222,7 +222,8 @@ def test_lm_predicts_words_beyond_the_own_classes(spark, tmp_path):
     rows = [(i, many) for i in range(200)]
     rows += [(1000 + i, " ".join(f"{'ab'[i % 2]}{k}qq" for k in r.permutation(20))) for i in range(300)]
     rows += [(3000, " ".join(f"a{k}qq" for k in range(10)) + " " + " ".join(f"b{k}qq" for k in range(10))), (3001, " ".join(f"{c}{k}qq" for k in range(10) for c in "ab"))]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    # in one task: a few batches teach these words, too few to be shared out among copies
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
     d = spark.read.parquet(str(tmp_path / "d"))
     learn = d.where("doc_id < 3000")
     counts = lm_score.stored(lm_score.count_words(learn), "counts")
