@@ -47,10 +47,13 @@ def with_contextual(tuples: DataFrame, contextual: DataFrame | None) -> DataFram
 
 
 def direct_filter(m: Model, t: str, r: str) -> Column:
-    """Which tuples of t#r the model admits. A condition counts by the subject's type, not by its kind."""
+    """Which tuples of t#r the model admits. A condition counts by the subject's type, not by its kind; having none must
+    be admitted for the kind."""
     allowed = F.lit(False)
     for x in m.types[t][r].restrictions:
-        names = sorted({y.condition for y in m.types[t][r].restrictions if y.type == x.type})
+        same = [y for y in m.types[t][r].restrictions if y.type == x.type]
+        bare = any(not y.condition and (y.relation == x.relation if y.relation else y.wildcard == x.wildcard) for y in same)
+        names = sorted({y.condition for y in same if y.condition} | ({""} if bare else set()))
         kind = (F.col("subject_relation") == x.relation) if x.relation else (F.col("subject_relation") == "")
         star = (F.col("subject_id") == "*") if x.wildcard else (F.col("subject_id") != "*")
         allowed = allowed | ((F.col("subject_type") == x.type) & kind & star & F.col("condition_name").isin(*names))
@@ -72,6 +75,20 @@ def conditions_hold(m: Model, rows: DataFrame, names: set[str], contexts: DataFr
     names = {n for n in names if n}
     if not names:
         return rows
+    rows, ok = _condition(m, rows, names, contexts)
+    return rows.where(F.coalesce(ok, F.lit(may))).drop("__context")
+
+
+def undecided_rows(m: Model, rows: DataFrame, names: set[str], contexts: DataFrame | None) -> DataFrame:
+    """Rows (with qid) whose condition cannot be evaluated."""
+    names = {n for n in names if n}
+    if not names:
+        return rows.limit(0)
+    rows, ok = _condition(m, rows, names, contexts)
+    return rows.where(ok.isNull()).drop("__context")
+
+
+def _condition(m: Model, rows: DataFrame, names: set[str], contexts: DataFrame | None) -> tuple[DataFrame, Column]:
     if contexts is not None:
         rows = rows.join(contexts.select("qid", F.col("context").alias("__context")), "qid", "left")
     else:
@@ -79,7 +96,7 @@ def conditions_hold(m: Model, rows: DataFrame, names: set[str], contexts: DataFr
     ok = F.when(F.col("condition_name") == "", F.lit(True))
     for n in sorted(names):
         ok = ok.when(F.col("condition_name") == n, condition_column(m.conditions[n], F.col("condition_context"), F.col("__context")))
-    return rows.where(F.coalesce(ok, F.lit(may))).drop("__context")
+    return rows, ok
 
 
 MAX_RELATIONS = 10_000

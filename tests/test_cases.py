@@ -12,7 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 
 from relgrid.operators.check import check, list_objects, undecided_objects
-from relgrid.operators.list_users import list_users
+from relgrid.operators.list_users import list_users, undecided_requests
 from relgrid.plans.model import ModelError, parse_model
 
 FOLDER = os.environ.get("CASES_DIR", "")
@@ -97,7 +97,7 @@ class Stage:
             found = {r.qid: set() for r in requests.collect()}
             for r in list_users(self.m, self.tuples, requests, contextual).collect():
                 found[r.qid].add(r.user)
-            return found
+            return found | {r.qid: UNDECIDED for r in undecided_requests(self.m, self.tuples, requests, contextual).collect()}
 
         rows = []
         for a in assertions:
