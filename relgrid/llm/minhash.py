@@ -218,8 +218,10 @@ def missing_links(star: DataFrame, percent: int) -> DataFrame:
             found += [(int(u[x]), int(u[ys[h]])) for h in hit[first]]
         return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
 
-    # dealt by block, for blocks of one centre would otherwise stay where its rows have met
-    return probes.unionByName(members).repartition("v", "i", "j").groupBy("v", "i", "j").applyInArrow(run, "u long, v long").distinct()
+    # dealt by block, for blocks of one centre would otherwise stay where its rows have met; by a given number, for
+    # their work follows rows and not bytes
+    parts = int(star.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return probes.unionByName(members).repartition(parts, "v", "i", "j").groupBy("v", "i", "j").applyInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, rows: int = ROWS, miss: float = MISS) -> DataFrame:
