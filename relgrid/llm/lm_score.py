@@ -247,18 +247,20 @@ def log_sums(z: np.ndarray) -> np.ndarray:
 
 def logistic(x: np.ndarray) -> np.ndarray:
     """In place, in single precision."""
-    np.negative(x, out=x)
-    np.minimum(x, 80, out=x)
-    np.exp(x, out=x)
+    return logistic_of_negative(np.negative(x, out=x))
+
+
+def logistic_of_negative(x: np.ndarray) -> np.ndarray:
+    """Logistic of -x, in place; what overflows gives 0."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
 def segment_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the runs of rows that begin at `first`."""
-    upto = np.cumsum(rows, axis=0).take(np.append(first[1:], len(rows)) - 1, axis=0)
-    upto[1:] -= upto[:-1].copy()
-    return upto
+    """Sums of the runs of rows that begin at `first`; the even number of columns is added two at a time."""
+    return np.add.reduceat(rows.view(np.complex64), first, axis=0).view(np.float32)
 
 
 def starts(s: np.ndarray) -> np.ndarray:
@@ -269,6 +271,14 @@ def starts(s: np.ndarray) -> np.ndarray:
     return new.nonzero()[0]
 
 
+def gathered(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes met, and the sums of their rows."""
+    order = np.argsort(at.astype(np.int16), kind="stable")
+    s = at[order]
+    first = starts(s)
+    return s[first], segment_sums(rows.take(order, axis=0), first)
+
+
 class Trainer:
     """Noise-contrastive estimation with AdaGrad steps; the noise classes of a batch are shared by its tokens, the
     noise words of a class by the batch's tokens of that class."""
@@ -283,24 +293,25 @@ class Trainer:
         self.below = np.concatenate([[0], np.cumsum(v.weight)])
         self.pool, self.seen, self.steps = None, 0, 0
 
-    def _add(self, at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-        order = np.argsort(at.astype(np.int16), kind="stable")
-        s = at[order]
-        first = starts(s)
-        out = np.zeros((size, rows.shape[1]), np.float32)
-        out[s[first]] = segment_sums(rows.take(order, axis=0), first)
-        return out
+    def _step(self, name: str, at: np.ndarray | slice, g: np.ndarray, rate: float) -> None:
+        """AdaGrad step for the rows met; the others have no gradient, which changes nothing."""
+        past = self.past[name][at] + g * g
+        self.past[name][at] = past
+        g = g / np.sqrt(past, out=past)
+        g *= rate
+        getattr(self.m, name)[at] -= g
 
     def _rows(self, name: str, at: np.ndarray, grads: np.ndarray, used: int) -> None:
         """AdaGrad steps, one rate a row, for the rows met; the first `used` count as uses of theirs."""
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at)
         s = at[order]
         first = starts(s)
         g, u = segment_sums(grads.take(order, axis=0), first), s[first]
         past = self.past_rows[name].take(u) + np.einsum("ij,ij->i", g, g) / DIM
         self.past_rows[name][u] = past
         g *= (WORD_RATE / np.sqrt(past))[:, None]
-        self.used[name][u] += np.add.reduceat((order < used).astype(np.float32), first)
+        uses = np.diff(first, append=len(s)) if used == len(s) else np.add.reduceat((order < used).astype(np.float32), first)
+        self.used[name][u] += uses
         table = getattr(self.m, name)
         table[u] = table.take(u, axis=0) - g
 
@@ -333,36 +344,38 @@ class Trainer:
         back = g_data[:, None] * vec + np.einsum("ik,ikj->ij", g_noise, noise)
         met = segment_sums((g_noise[:, :, None] * q[:, None, :]).reshape(len(q), -1), first)
         self._rows("inner", np.concatenate([row, drawn.ravel()]), np.concatenate([g_data[:, None] * q, met.reshape(-1, DIM)]), len(row))
-        at = np.concatenate([x, y])
-        self._rows("own", at, np.concatenate([back @ m.first.T, back @ m.second.T]), len(at))
+        at = np.stack([x, y], axis=1).ravel()
+        self._rows("own", at, (back @ np.concatenate([m.first.T, m.second.T], axis=1)).reshape(-1, DIM), len(at))
 
     def classes(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
         """Step for the parameters of classes; a, b, w: the classes of the two words before and of the word."""
         m, n, size = self.m, len(w), len(self.v.share)
         noise = np.minimum(np.searchsorted(self.edge, self.rng.random(NOISE) * self.edge[-1], "right"), size - 1)
-        ca, cb = m.context.take(a, axis=0), m.context.take(b, axis=0)
-        q = ca @ m.first + cb @ m.second
-        qw, qn = m.output.take(w, axis=0), m.output.take(noise, axis=0)
-        g_data = (logistic(np.einsum("ij,ij->i", q, qw) + (m.bias - self.log_noise).take(w)) - 1) / n
-        g_noise = logistic(q @ qn.T + (m.bias - self.log_noise)[noise]) / np.float32(n)
-        back = g_data[:, None] * qw + g_noise @ qn
-        both = np.empty((n + NOISE, DIM + 1), np.float32)
-        both[:n, :DIM], both[:n, DIM] = g_data[:, None] * q, g_data
-        both[n:, :DIM], both[n:, DIM] = g_noise.T @ q, g_noise.sum(0)
-        grads = {
-            "output": self._add(np.concatenate([w, noise]), both, size),
-            "first": ca.T @ back,
-            "second": cb.T @ back,
-            "context": self._add(np.concatenate([a, b]), np.concatenate([back @ m.first.T, back @ m.second.T]), size + 1),
-        }
-        grads["bias"] = grads["output"][:, -1]
-        grads["output"] = grads["output"][:, :-1]
-        for name, g in grads.items():
-            past = self.past[name]
-            past += g * g
-            g = g / np.sqrt(past)
-            g *= RATE * (0.1 if name in ("first", "second") else 1)
-            getattr(m, name)[...] -= g
+        before = np.empty((n, 2 * DIM), np.float32)
+        before[:, :DIM], before[:, DIM:] = m.context.take(a, axis=0), m.context.take(b, axis=0)
+        both = np.zeros((n + NOISE, DIM + 2), np.float32)  # vectors, a bias, and a column that makes their number even
+        q = both[:n]
+        np.matmul(before, np.concatenate([m.first, m.second]), out=q[:, :DIM])
+        q[:, DIM] = 1
+        qw, qn = m.output.take(w, axis=0), np.zeros((NOISE, DIM + 2), np.float32)
+        np.take(m.output, noise, axis=0, out=qn[:, :DIM])
+        qn[:, DIM] = (m.bias - self.log_noise)[noise]
+        g_data = (logistic(np.einsum("ij,ij->i", q[:, :DIM], qw) + (m.bias - self.log_noise).take(w)) - 1) / n
+        g_noise = logistic_of_negative(q @ -qn.T)
+        qn /= n
+        back = g_noise @ qn[:, :DIM]
+        back += g_data[:, None] * qw
+        np.matmul(g_noise.T, q, out=both[n:])
+        both[n:] /= n
+        q *= g_data[:, None]
+        deep = before.T @ back
+        before = (back @ np.concatenate([m.first.T, m.second.T], axis=1)).reshape(2 * n, DIM)
+        met, g = gathered(np.concatenate([w, noise]), both)
+        self._step("output", met, g[:, :DIM], RATE)
+        self._step("bias", met, g[:, DIM], RATE)
+        self._step("context", *gathered(np.stack([a, b], axis=1).ravel(), before), RATE)
+        self._step("first", slice(None), deep[:DIM], RATE * 0.1)
+        self._step("second", slice(None), deep[DIM:], RATE * 0.1)
 
     def learn(self, *of: np.ndarray, words: bool = True) -> None:
         """a, b, w, x, y, row of a chunk's tokens, in batches; words: whether vectors of words learn too."""
