@@ -48,23 +48,45 @@ DIM, NOISE, BATCH, ROUNDS, RATE = 24, 64, 1024, 2, 0.15
 WORD_NOISE, WORD_RATE = 4, 0.15
 POOL = 64  # drawn noise words of a class; each batch takes WORD_NOISE of them in a row
 BLOCKS, BLOCK_ROWS, FAN, SCORED = 16, 4096, 64, 192
+LONG = 64  # bytes of words hashed eight by eight
+NEAR_BITS, NEAR_PARTS = 20, 1 << 18  # of the tables that tell about where to look for keys and for drawn words
 PAST = 0.1  # start of the sums of squares of words' steps
 END = U(1)
 LOG10 = float(np.log(10))
 
 
+#: class of endings by the last byte and, times 256, the one before
+ENDING = (flat.mix(np.arange(1 << 16, dtype=U) + U(77)) % U(ENDINGS)).astype(np.int32)
+MASKS = np.array([2 ** (8 * i) - 1 for i in range(9)], U)  # of the first bytes of eight
+
+
+def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words, eight bytes at a time; low has eight bytes more than the text."""
+    size = ends - starts
+    eight = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))
+    h = flat.mix((eight[starts] & MASKS.take(size, mode="clip")) + size.astype(U) * U(0x9E3779B97F4A7C15))
+    more, done = (size > 8).nonzero()[0], 8
+    while len(more) and done < LONG:
+        left = size.take(more) - done
+        h[more] = flat.mix(h.take(more) * U(0xD1342543DE82EF95) + (eight[starts.take(more) + done] & MASKS.take(left, mode="clip")))
+        more = more.take((left > 8).nonzero()[0])
+        done += 8
+    if len(more):
+        h[more] = flat.BYTES.spans(flat.BYTES.prefix(low), starts.take(more), ends.take(more))
+    return h
+
+
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes and ending classes of all tokens, and their bounds by document."""
-    low = flat.LOWER[buf]
-    starts, ends, bounds = flat.words(low, off, flat.NOT_SPACE)
-    h = flat.BYTES.spans(flat.BYTES.prefix(low), starts, ends)
+    low = np.zeros(len(buf) + 8, np.uint8)
+    flat.LOWER.take(buf, out=low[: len(buf)], mode="clip")
+    starts, ends, bounds = flat.words(low[: len(buf)], off, flat.NOT_SPACE)
     doc, n = flat.doc_of(bounds), len(off) - 1
-    key, ending = np.full(len(h) + n, END, U), np.zeros(len(h) + n, np.int32)
-    at = np.arange(len(h)) + doc
-    key[at] = h
-    if len(h):
-        last = low[ends - 1].astype(U) | low[np.maximum(ends - 2, starts)].astype(U) << U(8)
-        ending[at] = (flat.mix(last + U(77)) % U(ENDINGS)).astype(np.int32)
+    key, ending = np.full(len(starts) + n, END, U), np.zeros(len(starts) + n, np.int32)
+    at = np.arange(len(starts)) + doc
+    key[at] = word_hashes(low, starts, ends)
+    last = ends - 1
+    ending[at] = ENDING.take(low.take(last).astype(np.int64) | low.take(np.maximum(last - 1, starts)).astype(np.int64) << 8)
     return key, ending, bounds + np.arange(n + 1)
 
 
@@ -72,6 +94,20 @@ def training_document():
     return id_crc() % 7 != 2
 
 
+def starts(s: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.empty(len(s), bool)
+    new[:1] = True
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return new.nonzero()[0]
+
+
+def sorted_runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys, and where in it runs of equal ones begin."""
+    order = np.argsort(key)
+    return order, starts(key.take(order))
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(key, ending, n) over all documents given."""
 
@@ -80,11 +116,12 @@ def count_words(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for _, _, buf, off in flat.chunks(batch.column("text")):
                 key, ending, _ = tokens(buf, off)
-                u, at, n = np.unique(key, return_index=True, return_counts=True)
-                keys.append(u)
-                counts.append(n)
-                endings.append(ending[at])
-                held += len(u)
+                order, first = sorted_runs(key)
+                at = order.take(first)
+                keys.append(key.take(at))
+                counts.append(np.diff(first, append=len(key)))
+                endings.append(ending.take(at))
+                held += len(at)
                 if held > 2_000_000:
                     yield _fold(keys, endings, counts)
                     keys, endings, counts, held = [], [], [], 0
@@ -97,8 +134,10 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def _fold(keys: list, endings: list, counts: list) -> pa.RecordBatch:
     k, e, n = np.concatenate(keys), np.concatenate(endings), np.concatenate(counts)
-    u, at, back = np.unique(k, return_index=True, return_inverse=True)
-    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(e[at]), pa.array(np.bincount(back, n, len(u)).astype(np.int64))], ["key", "ending", "n"])
+    order, first = sorted_runs(k)
+    at = order.take(first)
+    total = np.add.reduceat(n.take(order), first) if len(n) else n
+    return pa.RecordBatch.from_arrays([pa.array(k.take(at).view(np.int64)), pa.array(e.take(at)), pa.array(total.astype(np.int64))], ["key", "ending", "n"])
 
 
 ROW = np.dtype([("id", "<i4"), ("n", "<f4"), ("v", "<f2", (DIM,))])  # of the words' vectors
@@ -116,6 +155,7 @@ class Vocabulary:
     edge: np.ndarray  # by shared class, its first row; its last row stands for the rest
     weight: np.ndarray  # by row: count plus one; of the rest, counts plus words plus one
     share: np.ndarray  # of each class, smoothed
+    near: np.ndarray | None = None  # by the keys' upper bits, how many head words are below; made where it is used
 
     @property
     def n_classes(self) -> int:
@@ -129,15 +169,28 @@ class Vocabulary:
     def classify(self, key: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class of each token, its row among the words of shared classes (-1: own class), and its place among the
         head words (-1: none)."""
-        key, first, back = np.unique(key, return_index=True, return_inverse=True)  # a chunk repeats its words
-        c = self.shared(key, ending[first])
-        w, row, at = (OWN + c).astype(np.int32), self.edge[c + 1] - 1, np.full(len(key), -1)
+        at, row, w = np.full(len(key), -1), np.empty(len(key), np.int64), np.empty(len(key), np.int32)
         if len(self.keys):
-            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            met = (self.keys[found] == key).nonzero()[0]
-            at[met] = found[met]
-            w[met], row[met] = self.classes[at[met]], self.rows[at[met]]
-        return w.take(back), row.take(back), at.take(back)
+            if self.near is None:
+                self.near = np.searchsorted(self.keys, np.arange(1 << NEAR_BITS).astype(U) << U(64 - NEAR_BITS)).astype(np.int32)
+            found = self.near.take((key >> U(64 - NEAR_BITS)).astype(np.int64)).astype(np.int64)
+            got = self.keys.take(found, mode="clip")
+            low = (got < key).nonzero()[0]
+            while len(low):
+                found[low] += 1
+                low = low[found.take(low) < len(self.keys)]
+                got[low] = self.keys.take(found.take(low))
+                low = low[got.take(low) < key.take(low)]
+            met = got == key
+            np.copyto(at, found, where=met)
+            self.classes.take(at, out=w, mode="wrap")
+            self.rows.take(at, out=row, mode="wrap")
+            rare = (~met).nonzero()[0]
+        else:
+            rare = np.arange(len(key))
+        c = self.shared(key.take(rare), ending.take(rare))
+        w[rare], row[rare] = OWN + c, self.edge[c + 1] - 1
+        return w, row, at
 
 
 def frequent(counts: DataFrame, limit: int) -> DataFrame:
@@ -202,11 +255,17 @@ class LogBilinear:
 
     def __init__(self, share: np.ndarray, rows: int, seed: int = 3):
         rng, n = np.random.default_rng(seed), len(share)
-        small = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-        self.context, self.output = small(n + 1, DIM), small(n, DIM)
+
+        def small(count: int) -> np.ndarray:
+            out = np.empty((count, DIM), np.float32)
+            for i in range(0, count, BLOCK_ROWS):  # no large table in double precision
+                out[i : i + BLOCK_ROWS] = rng.standard_normal(out[i : i + BLOCK_ROWS].shape) * 0.1
+            return out
+
+        self.context, self.output = small(n + 1), small(n)
         self.first, self.second = np.eye(DIM, dtype=np.float32) * 0.5, np.eye(DIM, dtype=np.float32) * 0.5
         self.bias = np.log(share).astype(np.float32)
-        self.own, self.inner = small(rows + n + 1, DIM), np.zeros((rows, DIM), np.float32)
+        self.own, self.inner = small(rows + n + 1), np.zeros((rows, DIM), np.float32)
 
     def pack(self) -> np.ndarray:
         return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
@@ -226,36 +285,34 @@ class LogBilinear:
 
     def normalisers(self) -> np.ndarray:
         """Log of the sum over all classes for every pair (class before the last, last class)."""
-        n = len(self.context)
-        out = np.empty((n, n), np.float32)
-        far, near = self.context @ self.first, self.context @ self.second
-        for a in range(n):
-            for i in range(0, n, SCORED):
-                out[a, i : i + SCORED] = log_sums((far[a] + near[i : i + SCORED]) @ self.output.T + self.bias)
+        # exp(far + near) are products of two tables' entries, so the sums are a product of matrices
+        far, near = (self.context.astype(float) @ x for x in (self.first, self.second))
+        near = near @ self.output.T
+        near += self.bias
+        top = near.max(1)
+        near = np.exp(np.subtract(near, top[:, None], out=near), out=near).T
+        out = np.empty((len(far), len(far)), np.float32)
+        for i in range(0, len(far), SCORED):
+            z = far[i : i + SCORED] @ self.output.T
+            most = z.max(1)
+            out[i : i + SCORED] = np.log(np.exp(z - most[:, None]) @ near) + most[:, None] + top
         return out
 
 
-def log_sums(z: np.ndarray) -> np.ndarray:
-    """Log of the sum of exponentials of each row, in place."""
-    top = z.max()
-    if top < 60:  # no overflow in single precision, and counts keep sums far from 0
-        return np.log(np.exp(z, out=z).sum(1))
+def weighted_log_sums(z: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Log of the sum of each row's exponentials times the columns' mass (1 at least), in place."""
     top = z.max(1)
     z -= top[:, None]
-    return top + np.log(np.exp(z, out=z).sum(1))
+    return top + np.log(np.exp(z, out=z) @ mass)
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
     """In place, in single precision."""
-    return logistic_of_negative(np.negative(x, out=x))
-
-
-def logistic_of_negative(x: np.ndarray) -> np.ndarray:
-    """Logistic of -x, in place; what overflows gives 0."""
-    with np.errstate(over="ignore"):
-        np.exp(x, out=x)
+    x *= np.float32(0.5)
+    np.tanh(x, out=x)
     x += 1
-    return np.reciprocal(x, out=x)
+    x *= np.float32(0.5)
+    return x
 
 
 def segment_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -263,20 +320,39 @@ def segment_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(rows.view(np.complex64), first, axis=0).view(np.float32)
 
 
-def starts(s: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin."""
-    new = np.empty(len(s), bool)
-    new[:1] = True
-    np.not_equal(s[1:], s[:-1], out=new[1:])
-    return new.nonzero()[0]
+def add_rows(sums: np.ndarray, to: np.ndarray, rows: np.ndarray) -> None:
+    """Add each row to the row `to` of sums, two of the even number of columns at a time."""
+    width = sums.shape[1] // 2
+    np.add.at(sums.view(np.complex64).reshape(-1), ((to * width)[:, None] + np.arange(width)).ravel(), rows.view(np.complex64).ravel())
 
 
-def gathered(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes met, and the sums of their rows."""
-    order = np.argsort(at.astype(np.int16), kind="stable")
-    s = at[order]
-    first = starts(s)
-    return s[first], segment_sums(rows.take(order, axis=0), first)
+def distinct(at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers met, an item of each, the index of each item's number, and the other items; place: room for all
+    numbers, of any values."""
+    item = np.arange(len(at))
+    place[at] = item  # of equal numbers the last stays
+    last = place.take(at) == item
+    one, more = last.nonzero()[0], (~last).nonzero()[0]
+    u = at.take(one)
+    place[u] = item[: len(u)]
+    return u, one, place.take(at), more
+
+
+def gathered(at: np.ndarray, rows: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers met, the sums of their rows, and each item's index among them; at may run through the rows twice."""
+    u, one, back, more = distinct(at, place)
+    again = more
+    if len(at) > len(rows):
+        one, again = one % len(rows), more % len(rows)
+    sums = rows.take(one, axis=0)
+    add_rows(sums, back.take(more), rows.take(again, axis=0))
+    return u, sums, back
+
+
+def put_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """table[at] = rows, a row being copied as a whole."""
+    whole = np.dtype((np.void, table.itemsize * table.shape[1]))
+    table.view(whole).reshape(-1)[at] = rows.view(whole).reshape(-1)
 
 
 class Trainer:
@@ -292,6 +368,8 @@ class Trainer:
         self.used = {k: np.zeros(len(getattr(model, k)), np.float32) for k in model.ROWS}
         self.below = np.concatenate([[0], np.cumsum(v.weight)])
         self.pool, self.seen, self.steps = None, 0, 0
+        self.place = {"classes": np.zeros(len(v.share) + 1, np.int64), "sides": np.zeros(2 * len(v.share) + 2, np.int64)} | {k: np.zeros(len(getattr(model, k)), np.int64) for k in model.ROWS}
+        self.guide = None
 
     def _step(self, name: str, at: np.ndarray | slice, g: np.ndarray, rate: float) -> None:
         """AdaGrad step for the rows met; the others have no gradient, which changes nothing."""
@@ -301,19 +379,38 @@ class Trainer:
         g *= rate
         getattr(self.m, name)[at] -= g
 
-    def _rows(self, name: str, at: np.ndarray, grads: np.ndarray, used: int) -> None:
-        """AdaGrad steps, one rate a row, for the rows met; the first `used` count as uses of theirs."""
-        order = np.argsort(at)
-        s = at[order]
-        first = starts(s)
-        g, u = segment_sums(grads.take(order, axis=0), first), s[first]
+    def _class_rows(self, name: str, at: np.ndarray, g: np.ndarray) -> None:
+        """_step for rows of a table of class vectors."""
+        past, now = self.past[name], getattr(self.m, name)
+        p = g * g
+        p += past.take(at, axis=0)
+        put_rows(past, at, p)
+        np.divide(g, np.sqrt(p, out=p), out=p)
+        p *= np.float32(RATE)
+        put_rows(now, at, np.subtract(now.take(at, axis=0), p, out=p))
+
+    def _rows(self, name: str, at: np.ndarray, grads: np.ndarray) -> None:
+        """AdaGrad steps, one rate a row, for the rows met."""
+        u, g, _ = gathered(at, grads, self.place[name])
         past = self.past_rows[name].take(u) + np.einsum("ij,ij->i", g, g) / DIM
         self.past_rows[name][u] = past
         g *= (WORD_RATE / np.sqrt(past))[:, None]
-        uses = np.diff(first, append=len(s)) if used == len(s) else np.add.reduceat((order < used).astype(np.float32), first)
-        self.used[name][u] += uses
         table = getattr(self.m, name)
-        table[u] = table.take(u, axis=0) - g
+        put_rows(table, u, np.subtract(table.take(u, axis=0), g, out=g))
+
+    def _drawn(self, at: np.ndarray) -> np.ndarray:
+        """The rows on whose stretch of the summed weights the numbers lie; a table says about where."""
+        part = self.below[-1] / NEAR_PARTS
+        if self.guide is None:
+            self.guide = np.searchsorted(self.below, np.arange(NEAR_PARTS) * part, "right") - 1
+        row = self.guide.take((at / part).astype(np.int64), mode="clip")
+        row -= self.below.take(row) > at  # rounding
+        low = np.arange(len(at))
+        while len(low):
+            low = low[self.below.take(row.take(low) + 1, mode="clip") <= at.take(low)]
+            low = low[row.take(low) < len(self.below) - 2]
+            row[low] += 1
+        return row
 
     def _noise_words(self) -> np.ndarray:
         """WORD_NOISE rows of each shared class, by weight."""
@@ -321,8 +418,7 @@ class Trainer:
         if self.steps % POOL == 0:
             low = self.below[v.edge[:-1], None]
             at = low + self.rng.random((len(v.edge) - 1, POOL)) * (self.below[v.edge[1:], None] - low)
-            rows = np.searchsorted(self.below, at.ravel(), "right").reshape(at.shape) - 1
-            self.pool = np.clip(rows, v.edge[:-1, None], v.edge[1:, None] - 1)
+            self.pool = np.clip(self._drawn(at.ravel()).reshape(at.shape), v.edge[:-1, None], v.edge[1:, None] - 1)
         k = int(self.rng.integers(POOL - WORD_NOISE + 1))
         return self.pool[:, k : k + WORD_NOISE]
 
@@ -331,55 +427,73 @@ class Trainer:
         k = (row >= 0).nonzero()[0]
         if not len(k):
             return
-        k = k[np.argsort(w[k].astype(np.int16), kind="stable")]
-        m, c, row, x, y = self.m, w[k] - OWN, row[k], x[k], y[k]
-        q = m.predicted(a[k], b[k], x, y)
-        first = starts(c)
-        drawn = self._noise_words()[c[first]]
-        which = np.repeat(np.arange(len(first)), np.diff(first, append=len(c)))
+        k = k.take(np.argsort(w.take(k).astype(np.int16), kind="stable"))
+        m, c, row, x, y = self.m, w.take(k) - OWN, row.take(k), x.take(k), y.take(k)
+        q = m.predicted(a.take(k), b.take(k), x, y)
+        new = np.ones(len(c), bool)
+        np.not_equal(c[1:], c[:-1], out=new[1:])
+        first, more = new.nonzero()[0], (~new).nonzero()[0]
+        which = np.cumsum(new) - 1
+        drawn = self._noise_words()[c.take(first)]
         vec, noise = m.inner.take(row, axis=0), m.inner.take(drawn, axis=0).take(which, axis=0)
         odds = np.float32(np.log(WORD_NOISE))  # frequencies cancel: counts are part of the logit and of the noise
         g_data = logistic(np.einsum("ij,ij->i", q, vec) - odds) - 1
         g_noise = logistic(np.einsum("ikj,ij->ik", noise, q) - odds)
-        back = g_data[:, None] * vec + np.einsum("ik,ikj->ij", g_noise, noise)
-        met = segment_sums((g_noise[:, :, None] * q[:, None, :]).reshape(len(q), -1), first)
-        self._rows("inner", np.concatenate([row, drawn.ravel()]), np.concatenate([g_data[:, None] * q, met.reshape(-1, DIM)]), len(row))
+        vec *= g_data[:, None]
+        vec += np.einsum("ik,ikj->ij", g_noise, noise)
+        pulls = np.einsum("ik,ij->ikj", g_noise, q).reshape(len(q), -1)
+        met = pulls.take(first, axis=0)
+        add_rows(met, which.take(more), pulls.take(more, axis=0))
+        q *= g_data[:, None]
+        self._rows("inner", np.concatenate([row, drawn.ravel()]), np.concatenate([q, met.reshape(-1, DIM)]))
         at = np.stack([x, y], axis=1).ravel()
-        self._rows("own", at, (back @ np.concatenate([m.first.T, m.second.T], axis=1)).reshape(-1, DIM), len(at))
+        self._rows("own", at, (vec @ np.concatenate([m.first.T, m.second.T], axis=1)).reshape(-1, DIM))
 
     def classes(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
         """Step for the parameters of classes; a, b, w: the classes of the two words before and of the word."""
         m, n, size = self.m, len(w), len(self.v.share)
         noise = np.minimum(np.searchsorted(self.edge, self.rng.random(NOISE) * self.edge[-1], "right"), size - 1)
-        before = np.empty((n, 2 * DIM), np.float32)
-        before[:, :DIM], before[:, DIM:] = m.context.take(a, axis=0), m.context.take(b, axis=0)
-        both = np.zeros((n + NOISE, DIM + 2), np.float32)  # vectors, a bias, and a column that makes their number even
-        q = both[:n]
-        np.matmul(before, np.concatenate([m.first, m.second]), out=q[:, :DIM])
-        q[:, DIM] = 1
-        qw, qn = m.output.take(w, axis=0), np.zeros((NOISE, DIM + 2), np.float32)
-        np.take(m.output, noise, axis=0, out=qn[:, :DIM])
-        qn[:, DIM] = (m.bias - self.log_noise)[noise]
-        g_data = (logistic(np.einsum("ij,ij->i", q[:, :DIM], qw) + (m.bias - self.log_noise).take(w)) - 1) / n
-        g_noise = logistic_of_negative(q @ -qn.T)
+        # matrices are applied to each context class met once, as the first and as the second word before
+        met, _, back, _ = distinct(np.concatenate([a, b]), self.place["classes"])
+        context, both = m.context.take(met, axis=0), np.concatenate([m.first, m.second], axis=1)
+        sides = (context @ both).reshape(-1, DIM)
+        far, near = back[:n] * 2, back[n:] * 2 + 1
+        pulls = np.empty((n + NOISE, DIM), np.float32)
+        q = np.add(sides.take(far, axis=0), sides.take(near, axis=0), out=pulls[:n])
+        bias = m.bias - self.log_noise
+        qw, qn = m.output.take(w, axis=0), m.output.take(noise, axis=0)
+        shift = np.empty(n + NOISE, np.float32)  # of the biases
+        g_data = np.divide(logistic(np.einsum("ij,ij->i", q, qw) + bias.take(w)) - 1, n, out=shift[:n])
+        qn *= np.float32(0.5)
+        t = np.matmul(q, qn.T)
+        t += bias.take(noise) * np.float32(0.5)
+        np.tanh(t, out=t)
+        t += 1  # twice the logistic
         qn /= n
-        back = g_noise @ qn[:, :DIM]
-        back += g_data[:, None] * qw
-        np.matmul(g_noise.T, q, out=both[n:])
-        both[n:] /= n
+        qw *= g_data[:, None]
+        qw += t @ qn
+        np.matmul(t.T, q, out=pulls[n:])
+        pulls[n:] /= 2 * n
+        np.divide(np.ones(n, np.float32) @ t, 2 * n, out=shift[n:])
         q *= g_data[:, None]
-        deep = before.T @ back
-        before = (back @ np.concatenate([m.first.T, m.second.T], axis=1)).reshape(2 * n, DIM)
-        met, g = gathered(np.concatenate([w, noise]), both)
-        self._step("output", met, g[:, :DIM], RATE)
-        self._step("bias", met, g[:, DIM], RATE)
-        self._step("context", *gathered(np.stack([a, b], axis=1).ravel(), before), RATE)
-        self._step("first", slice(None), deep[:DIM], RATE * 0.1)
-        self._step("second", slice(None), deep[DIM:], RATE * 0.1)
+        at, g, of = gathered(np.concatenate([w, noise]), pulls, self.place["classes"])
+        self._class_rows("output", at, g)
+        self._step("bias", at, np.bincount(of, shift).astype(np.float32), RATE)
+        at, g, _ = gathered(np.concatenate([far, near]), qw, self.place["sides"])
+        back = np.zeros_like(sides)
+        put_rows(back, at, g)
+        deep = context.T @ back.reshape(-1, 2 * DIM)
+        self._class_rows("context", met, back.reshape(-1, 2 * DIM) @ both.T)
+        self._step("first", slice(None), deep[:, :DIM], RATE * 0.1)
+        self._step("second", slice(None), deep[:, DIM:], RATE * 0.1)
 
     def learn(self, *of: np.ndarray, words: bool = True) -> None:
         """a, b, w, x, y, row of a chunk's tokens, in batches; words: whether vectors of words learn too."""
         self.seen += len(of[0])
+        if words:
+            *_, x, y, row = (z[of[5] >= 0] for z in of)
+            for name, rows in (("inner", row), ("own", x), ("own", y)):
+                self.used[name] += np.bincount(rows, minlength=len(self.used[name]))
         for i in range(0, len(of[0]), BATCH):
             batch = [z[i : i + BATCH] for z in of]
             self.classes(*batch[:3])
@@ -442,7 +556,7 @@ def _average(rows: pa.Table) -> pa.Table:
         first = np.flatnonzero(np.concatenate([[True], got["id"][1:] != got["id"][:-1]]))
         part = got[first]
         part["n"] = np.add.reduceat(got["n"], first)
-        part["v"] = np.add.reduceat(got["v"].astype(np.float32) * got["n"][:, None], first, axis=0) / part["n"][:, None]
+        part["v"] = segment_sums(got["v"].astype(np.float32) * got["n"][:, None], first) / part["n"][:, None]
     return pa.table({"block": rows["block"][:1], "copy": rows["copy"][:1], "weight": pa.array([weight.sum()]), "part": pa.array([part.tobytes()], pa.binary())})
 
 
@@ -463,7 +577,7 @@ def train(docs: DataFrame, vocab: Vocabulary, *, rounds: int = ROUNDS) -> LogBil
             from pyspark import TaskContext
 
             v, copy = words.value, TaskContext.get().partitionId()
-            m = LogBilinear(v.share, int(v.edge[-1]))
+            m = LogBilinear(v.share, int(v.edge[-1]) if last else 0)
             m.unpack(start.value)
             t = Trainer(m, v, 1000 * r + copy)
             for batch in batches:
@@ -491,22 +605,36 @@ def train(docs: DataFrame, vocab: Vocabulary, *, rounds: int = ROUNDS) -> LogBil
     return model
 
 
-def inner_logs(v: Vocabulary, m: LogBilinear, log_weight: np.ndarray, of: tuple) -> np.ndarray:
+def reach(v: Vocabulary, m: LogBilinear) -> np.ndarray:
+    """Greatest length of the vectors of each shared class."""
+    return np.sqrt(np.maximum.reduceat(np.einsum("ij,ij->i", m.inner, m.inner), v.edge[:-1]))
+
+
+def inner_logs(v: Vocabulary, m: LogBilinear, log_weight: np.ndarray, of: tuple, longest: np.ndarray | None = None) -> np.ndarray:
     """Log probabilities of tokens inside their classes (0 in own ones): products with the vectors of the whole class."""
     a, b, w, x, y, row = of
     out = np.zeros(len(w))
-    k = np.flatnonzero(row >= 0)
-    k = k[np.argsort(w[k].astype(np.int16), kind="stable")]
-    cuts = np.flatnonzero(np.diff(w[k])) + 1
-    for part in np.split(k, cuts) if len(k) else ():
-        low, high = v.edge[w[part[0]] - OWN], v.edge[w[part[0]] - OWN + 1]
-        vectors, logs = m.inner[low:high].T, log_weight[low:high]
-        for s in range(0, len(part), SCORED):
-            i = part[s : s + SCORED]
-            z = m.predicted(a[i], b[i], x[i], y[i]) @ vectors
-            z += logs
-            own = z[np.arange(len(i)), row[i] - low]
-            out[i] = own - log_sums(z)
+    k = (row >= 0).nonzero()[0]
+    if not len(k):
+        return out
+    k = k.take(np.argsort(w.take(k).astype(np.int16), kind="stable"))
+    c, row = w.take(k) - OWN, row.take(k)
+    q = m.predicted(a.take(k), b.take(k), x.take(k), y.take(k))
+    weight = v.weight.astype(np.float32)
+    longest = reach(v, m) if longest is None else longest
+    safe = longest * np.sqrt(np.einsum("ij,ij->i", q, q).max()) < 30  # no product is larger
+    total = np.empty(len(k), np.float32)
+    cuts = np.append(starts(c), len(c))
+    room = np.empty(SCORED * int(np.diff(v.edge).max()), np.float32)
+    for first, last in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        at = c[first]
+        low, high = v.edge[at], v.edge[at + 1]
+        vectors, mass = m.inner[low:high].T, weight[low:high]
+        for i in range(first, last, SCORED):
+            end = min(i + SCORED, last)
+            z = np.matmul(q[i:end], vectors, out=room[: (end - i) * len(mass)].reshape(end - i, -1))
+            total[i:end] = np.log(np.exp(z, out=z) @ mass) if safe[at] else weighted_log_sums(z, mass)
+    out[k] = np.einsum("ij,ij->i", q, m.inner.take(row, axis=0)) + log_weight.take(row) - total
     return out
 
 
@@ -520,13 +648,14 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m, far, near, normal = shared.value
+        longest = reach(v, m)
         head_log, rest_log, log_weight = np.log10(v.counts + 1.0), np.log10(v.weight[v.edge[1:] - 1]), np.log(v.weight).astype(np.float32)
         for batch in batches:
             for i, j, buf, off in flat.chunks(batch.column("text")):
                 key, bounds, at, of = placed(v, buf, off)
                 a, b, w = (x.astype(np.int64) for x in of[:3])
                 p = (far.take(a * v.n_classes + w) + near.take(b * v.n_classes + w) - normal.take(a * (v.n_classes + 1) + b)).astype(float)
-                p += inner_logs(v, m, log_weight, of)
+                p += inner_logs(v, m, log_weight, of, longest)
                 p /= LOG10
                 known = at >= 0
                 own = np.where(known, head_log.take(at), 0.0) if len(head_log) else np.zeros(len(w))
