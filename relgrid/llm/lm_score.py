@@ -52,6 +52,7 @@ LONG = 64  # bytes of words hashed eight by eight
 NEAR_BITS, NEAR_PARTS = 20, 1 << 18  # of the tables that tell about where to look for keys and for drawn words
 PAST = 0.1  # start of the sums of squares of words' steps
 END = U(1)
+ITEMS = np.arange(4 * BATCH)
 LOG10 = float(np.log(10))
 
 
@@ -60,8 +61,11 @@ ENDING = (flat.mix(np.arange(1 << 16, dtype=U) + U(77)) % U(ENDINGS)).astype(np.
 MASKS = np.array([2 ** (8 * i) - 1 for i in range(9)], U)  # of the first bytes of eight
 
 
+FOLDED = np.where(flat.SPACE, 32, flat.LOWER).astype(np.uint8)
+
+
 def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of words, eight bytes at a time; low has eight bytes more than the text."""
+    """Hashes of words, eight bytes at a time; low has eight bytes more behind the last word."""
     size = ends - starts
     eight = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))
     h = flat.mix((eight[starts] & MASKS.take(size, mode="clip")) + size.astype(U) * U(0x9E3779B97F4A7C15))
@@ -78,10 +82,16 @@ def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes and ending classes of all tokens, and their bounds by document."""
-    low = np.zeros(len(buf) + 8, np.uint8)
-    flat.LOWER.take(buf, out=low[: len(buf)], mode="clip")
-    starts, ends, bounds = flat.words(low[: len(buf)], off, flat.NOT_SPACE)
-    doc, n = flat.doc_of(bounds), len(off) - 1
+    n = len(off) - 1
+    # one space before each document and nine behind the last, so words begin and end where white space does
+    low = np.full(len(buf) + n + 9, 32, np.uint8)
+    text = np.insert(buf, off[:-1], 32)
+    FOLDED.take(text, out=low[: len(text)], mode="clip")
+    word = low != 32
+    edges = (word[1:] != word[:-1]).nonzero()[0] + 1
+    starts, ends = edges[::2], edges[1::2]
+    bounds = np.searchsorted(starts, np.append(off[:-1] + np.arange(n), len(low)))
+    doc = flat.doc_of(bounds)
     key, ending = np.full(len(starts) + n, END, U), np.zeros(len(starts) + n, np.int32)
     at = np.arange(len(starts)) + doc
     key[at] = word_hashes(low, starts, ends)
@@ -140,6 +150,7 @@ def _fold(keys: list, endings: list, counts: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(k.take(at).view(np.int64)), pa.array(e.take(at)), pa.array(total.astype(np.int64))], ["key", "ending", "n"])
 
 
+WHOLE = np.dtype((np.void, 4 * DIM))  # a vector
 ROW = np.dtype([("id", "<i4"), ("n", "<f4"), ("v", "<f2", (DIM,))])  # of the words' vectors
 
 
@@ -329,7 +340,7 @@ def add_rows(sums: np.ndarray, to: np.ndarray, rows: np.ndarray) -> None:
 def distinct(at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The numbers met, an item of each, the index of each item's number, and the other items; place: room for all
     numbers, of any values."""
-    item = np.arange(len(at))
+    item = ITEMS[: len(at)] if len(at) <= len(ITEMS) else np.arange(len(at))
     place[at] = item  # of equal numbers the last stays
     last = place.take(at) == item
     one, more = last.nonzero()[0], (~last).nonzero()[0]
@@ -350,9 +361,8 @@ def gathered(at: np.ndarray, rows: np.ndarray, place: np.ndarray) -> tuple[np.nd
 
 
 def put_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """table[at] = rows, a row being copied as a whole."""
-    whole = np.dtype((np.void, table.itemsize * table.shape[1]))
-    table.view(whole).reshape(-1)[at] = rows.view(whole).reshape(-1)
+    """table[at] = rows, for vectors, each copied as a whole."""
+    table.view(WHOLE).reshape(-1)[at] = rows.view(WHOLE).reshape(-1)
 
 
 class Trainer:
@@ -452,7 +462,7 @@ class Trainer:
     def classes(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
         """Step for the parameters of classes; a, b, w: the classes of the two words before and of the word."""
         m, n, size = self.m, len(w), len(self.v.share)
-        noise = np.minimum(np.searchsorted(self.edge, self.rng.random(NOISE) * self.edge[-1], "right"), size - 1)
+        noise = np.minimum(self.edge.searchsorted(self.rng.random(NOISE) * self.edge[-1], "right"), size - 1)
         # matrices are applied to each context class met once, as the first and as the second word before
         met, _, back, _ = distinct(np.concatenate([a, b]), self.place["classes"])
         context, both = m.context.take(met, axis=0), np.concatenate([m.first, m.second], axis=1)
@@ -493,7 +503,7 @@ class Trainer:
         if words:
             *_, x, y, row = (z[of[5] >= 0] for z in of)
             for name, rows in (("inner", row), ("own", x), ("own", y)):
-                self.used[name] += np.bincount(rows, minlength=len(self.used[name]))
+                np.add.at(self.used[name], rows, np.float32(1))
         for i in range(0, len(of[0]), BATCH):
             batch = [z[i : i + BATCH] for z in of]
             self.classes(*batch[:3])
@@ -512,11 +522,13 @@ def contexts(values: np.ndarray, bounds: np.ndarray, start: int) -> tuple[np.nda
     return far, near
 
 
-def placed(v: Vocabulary, buf: np.ndarray, off: np.ndarray):
-    """Keys and bounds of a chunk's tokens, their places among the head words, and (a, b, w, x, y, row) of each."""
+def placed(v: Vocabulary, buf: np.ndarray, off: np.ndarray, words: bool = True):
+    """Keys and bounds of a chunk's tokens, their places among the head words, and (a, b, w, x, y, row) of each, or (a, b, w)."""
     key, ending, bounds = tokens(buf, off)
     w, row, at = v.classify(key, ending)
     rows = int(v.edge[-1])
+    if not words:
+        return key, bounds, at, (*contexts(w, bounds, v.n_classes), w)
     return key, bounds, at, (*contexts(w, bounds, v.n_classes), w, *contexts(np.where(row >= 0, row, rows + w), bounds, rows + v.n_classes), row)
 
 
@@ -582,7 +594,7 @@ def train(docs: DataFrame, vocab: Vocabulary, *, rounds: int = ROUNDS) -> LogBil
             t = Trainer(m, v, 1000 * r + copy)
             for batch in batches:
                 for _, _, buf, off in flat.chunks(batch.column("text")):
-                    *_, all_of = placed(v, buf, off)
+                    *_, all_of = placed(v, buf, off, last)
                     t.learn(*all_of, words=last)
             if t.seen:
                 yield from _parts(t, copy)
