@@ -52,7 +52,7 @@ LONG = 64  # bytes of words hashed eight by eight
 NEAR_BITS, NEAR_PARTS = 20, 1 << 18  # of the tables that tell about where to look for keys and for drawn words
 PAST = 0.1  # start of the sums of squares of words' steps
 END = U(1)
-ITEMS = np.arange(4 * BATCH)
+ITEMS = np.arange(4 * BATCH, dtype=np.int32)
 LOG10 = float(np.log(10))
 
 
@@ -139,7 +139,8 @@ def count_words(docs: DataFrame) -> DataFrame:
             yield _fold(keys, endings, counts)
 
     texts = docs.select(F.col("text").cast("binary").alias("text"))
-    return mapped(texts, run, "key long, ending int, n long").groupBy("key", "ending").agg(F.sum("n").alias("n"))
+    # a task's words differ, so nothing is added up before they are dealt
+    return mapped(texts, run, "key long, ending int, n long").repartition("key").groupBy("key", "ending").agg(F.sum("n").alias("n"))
 
 
 def _fold(keys: list, endings: list, counts: list) -> pa.RecordBatch:
@@ -273,7 +274,8 @@ class LogBilinear:
                 out[i : i + BLOCK_ROWS] = rng.standard_normal(out[i : i + BLOCK_ROWS].shape) * 0.1
             return out
 
-        self.context, self.output = small(n + 1), small(n)
+        self.vectors = np.concatenate([small(n + 1), small(n)])  # of contexts, then of outputs
+        self.context, self.output = self.vectors[: n + 1], self.vectors[n + 1 :]
         self.first, self.second = np.eye(DIM, dtype=np.float32) * 0.5, np.eye(DIM, dtype=np.float32) * 0.5
         self.bias = np.log(share).astype(np.float32)
         self.own, self.inner = small(rows + n + 1), np.zeros((rows, DIM), np.float32)
@@ -284,7 +286,7 @@ class LogBilinear:
     def unpack(self, x: np.ndarray) -> None:
         for k in self.NAMES:
             a = getattr(self, k)
-            setattr(self, k, x[: a.size].reshape(a.shape).astype(np.float32).copy())
+            a[:] = x[: a.size].reshape(a.shape)
             x = x[a.size :]
 
     def predicted(self, a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -334,13 +336,13 @@ def segment_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
 def add_rows(sums: np.ndarray, to: np.ndarray, rows: np.ndarray) -> None:
     """Add each row to the row `to` of sums, two of the even number of columns at a time."""
     width = sums.shape[1] // 2
-    np.add.at(sums.view(np.complex64).reshape(-1), ((to * width)[:, None] + np.arange(width)).ravel(), rows.view(np.complex64).ravel())
+    np.add.at(sums.view(np.complex64).reshape(-1), ((to.astype(np.int64) * width)[:, None] + np.arange(width)).ravel(), rows.view(np.complex64).ravel())
 
 
 def distinct(at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The numbers met, an item of each, the index of each item's number, and the other items; place: room for all
     numbers, of any values."""
-    item = ITEMS[: len(at)] if len(at) <= len(ITEMS) else np.arange(len(at))
+    item = ITEMS[: len(at)] if len(at) <= len(ITEMS) else np.arange(len(at), dtype=np.int32)
     place[at] = item  # of equal numbers the last stays
     last = place.take(at) == item
     one, more = last.nonzero()[0], (~last).nonzero()[0]
@@ -373,12 +375,13 @@ class Trainer:
         self.m, self.v, self.rng = model, v, np.random.default_rng(seed)
         self.edge = np.cumsum(v.share)
         self.log_noise = np.log(NOISE * v.share).astype(np.float32)
-        self.past = {k: np.full(getattr(model, k).shape, 1e-4, np.float32) for k in model.NAMES}
+        self.past = {k: np.full(getattr(model, k).shape, 1e-4, np.float32) for k in ("vectors", "first", "second", "bias")}
         self.past_rows = {k: np.full(len(getattr(model, k)), PAST, np.float32) for k in model.ROWS}
         self.used = {k: np.zeros(len(getattr(model, k)), np.float32) for k in model.ROWS}
         self.below = np.concatenate([[0], np.cumsum(v.weight)])
         self.pool, self.seen, self.steps = None, 0, 0
-        self.place = {"classes": np.zeros(len(v.share) + 1, np.int64), "sides": np.zeros(2 * len(v.share) + 2, np.int64)} | {k: np.zeros(len(getattr(model, k)), np.int64) for k in model.ROWS}
+        room = {"classes": len(v.share) + 1, "sides": 2 * len(v.share) + 2} | {k: len(getattr(model, k)) for k in model.ROWS}
+        self.place = {k: np.zeros(n, np.int32) for k, n in room.items()}
         self.guide = None
 
     def _step(self, name: str, at: np.ndarray | slice, g: np.ndarray, rate: float) -> None:
@@ -389,11 +392,11 @@ class Trainer:
         g *= rate
         getattr(self.m, name)[at] -= g
 
-    def _class_rows(self, name: str, at: np.ndarray, g: np.ndarray) -> None:
-        """_step for rows of a table of class vectors."""
-        past, now = self.past[name], getattr(self.m, name)
-        p = g * g
-        p += past.take(at, axis=0)
+    def _class_vectors(self, at: np.ndarray, g: np.ndarray) -> None:
+        """_step for rows of the table of classes' vectors."""
+        past, now = self.past["vectors"], self.m.vectors
+        p = past.take(at, axis=0)
+        p += g * g
         put_rows(past, at, p)
         np.divide(g, np.sqrt(p, out=p), out=p)
         p *= np.float32(RATE)
@@ -486,14 +489,13 @@ class Trainer:
         pulls[n:] /= 2 * n
         np.divide(np.ones(n, np.float32) @ t, 2 * n, out=shift[n:])
         q *= g_data[:, None]
-        at, g, of = gathered(np.concatenate([w, noise]), pulls, self.place["classes"])
-        self._class_rows("output", at, g)
-        self._step("bias", at, np.bincount(of, shift).astype(np.float32), RATE)
+        out, of_out, of = gathered(np.concatenate([w, noise]), pulls, self.place["classes"])
         at, g, _ = gathered(np.concatenate([far, near]), qw, self.place["sides"])
         back = np.zeros_like(sides)
         put_rows(back, at, g)
         deep = context.T @ back.reshape(-1, 2 * DIM)
-        self._class_rows("context", met, back.reshape(-1, 2 * DIM) @ both.T)
+        self._class_vectors(np.concatenate([met, out + len(m.context)]), np.concatenate([back.reshape(-1, 2 * DIM) @ both.T, of_out]))
+        self._step("bias", out, np.bincount(of, shift).astype(np.float32), RATE)
         self._step("first", slice(None), deep[:, :DIM], RATE * 0.1)
         self._step("second", slice(None), deep[:, DIM:], RATE * 0.1)
 
@@ -617,12 +619,31 @@ def train(docs: DataFrame, vocab: Vocabulary, *, rounds: int = ROUNDS) -> LogBil
     return model
 
 
-def reach(v: Vocabulary, m: LogBilinear) -> np.ndarray:
-    """Greatest length of the vectors of each shared class."""
+@dataclass
+class Inside:
+    """What decides inside classes, made once a task: by word (rows of shared classes, own classes, a document's
+    start) its part of the predicted vector as the second and as the first word before, class and all, and the
+    greatest length of the vectors of each shared class."""
+
+    far: np.ndarray
+    near: np.ndarray
+    longest: np.ndarray
+
+    @classmethod
+    def of(cls, v: Vocabulary, m: LogBilinear) -> Inside:
+        classes = np.concatenate([np.repeat(np.arange(OWN, v.n_classes), np.diff(v.edge)), np.arange(v.n_classes + 1)])
+        far, near = np.empty_like(m.own), np.empty_like(m.own)
+        for i in range(0, len(m.own), BLOCK_ROWS):
+            both = m.own[i : i + BLOCK_ROWS] + m.context.take(classes[i : i + BLOCK_ROWS], axis=0)
+            far[i : i + BLOCK_ROWS], near[i : i + BLOCK_ROWS] = both @ m.first, both @ m.second
+        return cls(far, near, longest(v, m))
+
+
+def longest(v: Vocabulary, m: LogBilinear) -> np.ndarray:
     return np.sqrt(np.maximum.reduceat(np.einsum("ij,ij->i", m.inner, m.inner), v.edge[:-1]))
 
 
-def inner_logs(v: Vocabulary, m: LogBilinear, log_weight: np.ndarray, of: tuple, longest: np.ndarray | None = None) -> np.ndarray:
+def inner_logs(v: Vocabulary, m: LogBilinear, log_weight: np.ndarray, of: tuple, ready: Inside | None = None) -> np.ndarray:
     """Log probabilities of tokens inside their classes (0 in own ones): products with the vectors of the whole class."""
     a, b, w, x, y, row = of
     out = np.zeros(len(w))
@@ -631,10 +652,13 @@ def inner_logs(v: Vocabulary, m: LogBilinear, log_weight: np.ndarray, of: tuple,
         return out
     k = k.take(np.argsort(w.take(k).astype(np.int16), kind="stable"))
     c, row = w.take(k) - OWN, row.take(k)
-    q = m.predicted(a.take(k), b.take(k), x.take(k), y.take(k))
+    if ready:
+        q = ready.far.take(x.take(k), axis=0)
+        q += ready.near.take(y.take(k), axis=0)
+    else:
+        q = m.predicted(a.take(k), b.take(k), x.take(k), y.take(k))
     weight = v.weight.astype(np.float32)
-    longest = reach(v, m) if longest is None else longest
-    safe = longest * np.sqrt(np.einsum("ij,ij->i", q, q).max()) < 30  # no product is larger
+    safe = (ready.longest if ready else longest(v, m)) * np.sqrt(np.einsum("ij,ij->i", q, q).max()) < 30  # no product is larger
     total = np.empty(len(k), np.float32)
     cuts = np.append(starts(c), len(c))
     room = np.empty(SCORED * int(np.diff(v.edge).max()), np.float32)
@@ -660,14 +684,14 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m, far, near, normal = shared.value
-        longest = reach(v, m)
+        ready = Inside.of(v, m)
         head_log, rest_log, log_weight = np.log10(v.counts + 1.0), np.log10(v.weight[v.edge[1:] - 1]), np.log(v.weight).astype(np.float32)
         for batch in batches:
             for i, j, buf, off in flat.chunks(batch.column("text")):
                 key, bounds, at, of = placed(v, buf, off)
                 a, b, w = (x.astype(np.int64) for x in of[:3])
                 p = (far.take(a * v.n_classes + w) + near.take(b * v.n_classes + w) - normal.take(a * (v.n_classes + 1) + b)).astype(float)
-                p += inner_logs(v, m, log_weight, of, longest)
+                p += inner_logs(v, m, log_weight, of, ready)
                 p /= LOG10
                 known = at >= 0
                 own = np.where(known, head_log.take(at), 0.0) if len(head_log) else np.zeros(len(w))
