@@ -33,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -333,10 +334,17 @@ def segment_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(rows.view(np.complex64), first, axis=0).view(np.float32)
 
 
+@lru_cache
+def cells(width: int) -> np.ndarray:
+    """Places of the entries of the first rows of a table of that width, by row."""
+    return (np.arange(8 * BATCH) * width)[:, None] + np.arange(width)
+
+
 def add_rows(sums: np.ndarray, to: np.ndarray, rows: np.ndarray) -> None:
     """Add each row to the row `to` of sums, two of the even number of columns at a time."""
     width = sums.shape[1] // 2
-    np.add.at(sums.view(np.complex64).reshape(-1), ((to.astype(np.int64) * width)[:, None] + np.arange(width)).ravel(), rows.view(np.complex64).ravel())
+    at = cells(width).take(to, axis=0) if len(sums) <= 8 * BATCH else to[:, None].astype(np.int64) * width + np.arange(width)
+    np.add.at(sums.view(np.complex64).reshape(-1), at.ravel(), rows.view(np.complex64).ravel())
 
 
 def distinct(at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -145,3 +145,13 @@ def test_normalisers_are_sums_of_exponentials():
     z = far[:, None] + near[None] + m.bias
     top = z.max(2)
     assert np.allclose(m.normalisers(), top + np.log(np.exp(z - top[..., None]).sum(2)), rtol=1e-5, atol=1e-3)
+
+
+def test_rows_are_added_to_tables_of_any_length():
+    rng = np.random.default_rng(7)
+    for n in (1, 30, 8 * L.BATCH, 8 * L.BATCH + 5):
+        to, rows = np.append(rng.integers(0, n, 400), n - 1).astype(np.int32), rng.standard_normal((401, 4)).astype(np.float32)
+        got, want = np.ones((n, 4), np.float32), np.ones((n, 4))
+        np.add.at(want, to, rows)
+        L.add_rows(got, to, rows)
+        assert np.allclose(got, want, atol=1e-4)
